@@ -162,29 +162,28 @@ def line_to_borders(vx, vy, x0, y0, width, height) -> Column:
         return F.when(usable & inside, F.struct(whole(x).alias("x"), whole(y).alias("y")))
 
     def vertical(x):
-        y = y0 + vy * ((x - x0) / vx)
+        y = y0 + vy * F.try_divide(x - x0, vx)
         return meet(F.abs(vx) > eps, x, clip(y, F.lit(0.0), bottom), y.between(-2.0, height + 1.0))
 
     def horizontal(y):
-        x = x0 + vx * ((y - y0) / vy)
+        x = x0 + vx * F.try_divide(y - y0, vy)
         return meet(F.abs(vy) > eps, clip(x, F.lit(0.0), right), y, x.between(-2.0, width + 1.0))
 
     found = [vertical(F.lit(0.0)), vertical(right), horizontal(F.lit(0.0)), horizontal(bottom)]
-    pairs = []
-    for i in range(4):
-        for j in range(i + 1, 4):
-            a, b = found[i], found[j]
-            d2 = (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)
-            pairs.append(
-                F.when(
-                    a.isNotNull() & b.isNotNull() & (d2 > 0),
-                    F.struct(
-                        d2.alias("d2"), F.lit(-len(pairs)).alias("prefer"),
-                        a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2"),
-                    ),
-                )
-            )
-    return F.array_max(F.array_compact(F.array(*pairs)))
+    pair_type = "struct<d2:bigint,prefer:int,x1:bigint,y1:bigint,x2:bigint,y2:bigint>"
+
+    def farthest(points):
+        pairs = []
+        for i in range(4):
+            for j in range(i + 1, 4):
+                a, b = points[i], points[j]
+                d2 = (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)
+                pair = F.struct(d2, F.lit(-len(pairs)), a.x, a.y, b.x, b.y).cast(pair_type)
+                pairs.append(F.when(d2 > 0, pair))
+        return F.array_max(F.array_compact(F.array(*pairs)))
+
+    # A one-element transform binds the four points once instead of repeating them in every pair.
+    return F.element_at(F.transform(F.array(F.array(*found)), farthest), 1)
 
 
 def project_to_border(x0, y0, vx, vy, width, height) -> Column:
@@ -193,12 +192,12 @@ def project_to_border(x0, y0, vx, vy, width, height) -> Column:
     right, bottom = width - F.lit(1.0), height - F.lit(1.0)
     hits = []
     for order, xb in enumerate((F.lit(0.0), right)):
-        t = (xb - x0) / vx
+        t = F.try_divide(xb - x0, vx)
         y = y0 + t * vy
         hits.append((F.abs(vx) > eps) & (t >= 0) & y.between(F.lit(0.0), bottom))
         hits[-1] = F.when(hits[-1], F.struct(t.alias("t"), F.lit(order).alias("order"), xb.alias("x"), y.alias("y")))
     for order, yb in enumerate((F.lit(0.0), bottom)):
-        t = (yb - y0) / vy
+        t = F.try_divide(yb - y0, vy)
         x = x0 + t * vx
         hit = (F.abs(vy) > eps) & (t >= 0) & x.between(F.lit(0.0), right)
         hits.append(F.when(hit, F.struct(t.alias("t"), F.lit(order + 2).alias("order"), x.alias("x"), yb.alias("y"))))

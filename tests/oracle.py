@@ -92,7 +92,7 @@ def main(argv):
             verdict = f"ERROR {type(exc).__name__}: {str(exc)[:900]}"
         if not verdict.startswith(("EXACT", "ROWS")):
             bad.append(name)
-        print(f"{name:36s} {time.time() - start:6.2f}s {verdict[:1200]}", flush=True)
+        print(f"{name:36s} {time.time() - start:6.2f}s {' '.join(verdict[:900].split())}", flush=True)
     print(f"{len(picked) - len(bad)}/{len(picked)} good; bad: {bad}")
     spark.stop()
     return 1 if bad else 0
