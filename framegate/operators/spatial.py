@@ -200,30 +200,29 @@ def crop_kind(mask_pixels: Column, min_positive: int = 12) -> Column:
     return F.when(mask_pixels >= min_positive, "candidate_positive").when(mask_pixels == 0, "candidate_negative")
 
 
-def tolerance_counts(pixels: DataFrame, k: int = 2) -> DataFrame:
+def tolerance_counts(pixels: DataFrame, k: int = 2, keys: Sequence[str] = ("frame_id",)) -> DataFrame:
     """True and false positives of the predicted skeleton and misses of the true one, within ``k`` pixels
     (Chebyshev). ``side`` is ``pred`` or ``gt``; only pixel positions travel."""
     k = max(1, k)
-    where = ["frame_id", "x", "y"]
+    where = [*keys, "x", "y"]
     pred = pixels.filter("side = 'pred'").select(*where)
     gt = pixels.filter("side = 'gt'").select(*where)
     steps = F.array(*[F.lit(i) for i in range(-k, k + 1)])
 
     def dilated(df):
         wide = df.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-        return wide.select(
-            "frame_id", (F.col("x") + F.col("_dx")).alias("x"), (F.col("y") + F.col("_dy")).alias("y")
-        )
+        return wide.select(*keys, (F.col("x") + F.col("_dx")).alias("x"), (F.col("y") + F.col("_dy")).alias("y"))
 
-    tagged = (
-        pred.join(dilated(gt), where, "left_semi").select("frame_id", F.lit("tp").alias("kind"))
-        .unionAll(pred.join(dilated(gt), where, "left_anti").select("frame_id", F.lit("fp").alias("kind")))
-        .unionAll(gt.join(dilated(pred), where, "left_anti").select("frame_id", F.lit("fn").alias("kind")))
-    )
-    counts = tagged.groupBy("frame_id").agg(
-        *[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")]
+    def near(df, other):
+        """Rows with a flag whether the other side has a pixel in reach."""
+        reach = dilated(other).distinct().withColumn("_hit", F.lit(1))
+        return df.join(reach, where, "left").withColumn("_hit", F.col("_hit").isNotNull())
+
+    tagged = near(pred, gt).select(*keys, F.when(F.col("_hit"), "tp").otherwise("fp").alias("kind")).unionAll(
+        near(gt, pred).filter(~F.col("_hit")).select(*keys, F.lit("fn").alias("kind"))
     )
-    return pixels.select("frame_id").distinct().join(counts, "frame_id", "left").fillna(0)
+    counts = tagged.groupBy(*keys).agg(*[F.count_if(F.col("kind") == c).alias(c) for c in ("tp", "fp", "fn")])
+    return pixels.select(*keys).distinct().join(counts, list(keys), "left").fillna(0, ["tp", "fp", "fn"])
 
 
 def near_radius(r: Column) -> Column:

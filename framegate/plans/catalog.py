@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from framegate.plans import q_filters, q_geometry, q_joins, q_keys, q_spatial  # noqa: F401
+from framegate.plans import q_filters, q_geometry, q_graph, q_joins, q_keys, q_metrics, q_ranking, q_spatial  # noqa: F401
