@@ -20,7 +20,10 @@ Rule = dict[str, object]
 
 @dataclass(frozen=True)
 class Item:
-    """A winner or candidate held in a struct column with a ``features`` map and a ``flags`` map."""
+    """A winner or candidate held in a struct column.
+
+    It has a ``features`` map and a ``flags`` array; ``extra`` is an optional map of values noted on the way.
+    """
 
     name: str
     fields: frozenset[str]
@@ -29,17 +32,18 @@ class Item:
         return F.col(f"{self.name}.{field}")
 
     def number(self, key: str) -> Column:
-        """The item's own value, else the feature of that name."""
-        feature = F.col(f"{self.name}.features").getItem(key)
+        """The item's own value, else a noted one, else the feature of that name."""
+        places = [self["features"].getItem(key)]
+        if "extra" in self.fields:
+            places.insert(0, self["extra"].getItem(key))
         if key in self.fields:
-            return F.coalesce(self[key].cast("double"), feature)
-        return feature
+            places.insert(0, self[key].cast("double"))
+        return F.coalesce(*places)
 
     def has_flag(self, flag: str) -> Column:
         if not flag:
             return F.lit(True)
-        bare = flag.removeprefix("selected_via_")
-        return F.coalesce(F.col(f"{self.name}.flags").getItem(bare), F.lit(False))
+        return F.coalesce(F.array_contains(self["flags"], flag.removeprefix("selected_via_")), F.lit(False))
 
 
 def all_of(checks: Sequence[Column]) -> Column:

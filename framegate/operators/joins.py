@@ -139,18 +139,22 @@ def availability_label(
 
 def select_by_rules(
     current: DataFrame, pool: DataFrame, rules: Sequence[R.Rule], key: str, position: Sequence[str],
-    current_fields: frozenset[str], candidate_fields: frozenset[str],
+    current_fields: frozenset[str], candidate_fields: frozenset[str], allowed: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Per key the candidate chosen by the first rule that any candidate satisfies.
 
     Each pair gets the number of its first satisfied rule; the smallest number in a key is the first
     rule with an eligible candidate, so one top-1 per key answers the whole rule list. Each side is cut
-    to the rows some rule can use before the join.
+    to the rows some rule can use before the join. ``allowed`` adds one condition per rule that may look
+    at every column of ``current`` (which pools a rule may search).
     """
     cur, cand = R.Item("current", current_fields), R.Item("candidate", candidate_fields)
-    left = current.select(key, "current").filter(R.any_of([R.current_side(cur, r) for r in rules]))
+    left = current.filter(R.any_of([R.current_side(cur, r) for r in rules]))
     right = pool.select(key, "candidate", *position).filter(R.any_of([R.candidate_side(cand, r) for r in rules]))
-    both = [R.current_side(cur, r) & R.candidate_side(cand, r) & R.different_item(cur, cand) for r in rules]
+    extra = allowed or [F.lit(True)] * len(rules)
+    both = [
+        R.current_side(cur, r) & R.candidate_side(cand, r) & R.different_item(cur, cand) & ok for r, ok in zip(rules, extra)
+    ]
     pairs = left.join(right, key).withColumn("rule_no", R.first_matching(both)).filter(F.col("rule_no").isNotNull())
     preference = R.by_number(F.col("rule_no"), [R.selection_order(cand, r) for r in rules])
     return top_per_key(pairs, [key], ["rule_no", preference.desc(), *position])

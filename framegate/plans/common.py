@@ -23,9 +23,8 @@ def features() -> Column:
 
 
 def flags() -> Column:
-    return F.create_map(
-        F.lit("fallback"), F.col("selector_pool") == "fallback", F.lit("rescue"), F.col("selector_pool") == "rescue"
-    )
+    pool = F.col("selector_pool")
+    return F.array_compact(F.array(*[F.when(pool == p, F.lit(p)) for p in ("fallback", "rescue")]))
 
 
 def item(*extra: str) -> Column:

@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 from framegate.functions import geometry as G
 from framegate.plans.registry import query
 
-W, H = F.lit(640), F.lit(360)
 KEYS = ["frame_id", "pos", "l_partkey", "l_suppkey"]
 
 
+def _frame():
+    return F.lit(640), F.lit(360)
+
+
 def _boxes():
     r = F.col("radius")
     return G.box(F.col("cx") - 3 * r, F.col("cy") - 2 * r, F.col("cx") + 3 * r, F.col("cy") + 2 * r)
@@ -29,7 +32,7 @@ SELECT frame_id, pos, l_partkey, l_suppkey, greatest(0, x0) AS c_x0, greatest(0,
   least(640, x1 + 9) AS e_x1, least(360, y1 + 9) AS e_y1, x0 AS r_x0, y0 AS r_y0, x1 AS r_x1, y1 AS r_y1 FROM c""",
 )
 def _(t):
-    b = _boxes()
+    b, (W, H) = _boxes(), _frame()
     return t.fx_candidates.select(
         *KEYS, *_named("c", G.clamp_box(b, W, H)), *_named("n", G.clamp_box_nonempty(b, W, H)),
         *_named("e", G.expand_box(b, 9, W, H)), *_named("r", G.expand_roi(b, 0, W, H)),
@@ -44,7 +47,7 @@ SELECT frame_id, pos, l_partkey, l_suppkey, greatest(0, cx - half) AS s_x0, grea
 )
 def _(t):
     return t.fx_candidates.select(
-        *KEYS, *_named("s", G.square_crop_box(F.col("cx"), F.col("cy"), F.col("radius"), W, H))
+        *KEYS, *_named("s", G.square_crop_box(F.col("cx"), F.col("cy"), F.col("radius"), *_frame()))
     )
 
 
@@ -67,7 +70,7 @@ SELECT frame_id, pos, l_partkey, l_suppkey,
   CAST(140 AS BIGINT) AS f_x0, CAST(0 AS BIGINT) AS f_y0, CAST(500 AS BIGINT) AS f_x1, CAST(360 AS BIGINT) AS f_y1 FROM l""",
 )
 def _(t):
-    b = _boxes()
+    b, (W, H) = _boxes(), _frame()
     return t.fx_candidates.select(
         *KEYS,
         *_named("q", G.square_box_from_xyxy(b, 0.35, W, H)),
@@ -164,7 +167,7 @@ QUALIFY row_number() OVER (PARTITION BY frame_id, pos, l_partkey, l_suppkey ORDE
 def _(t):
     pair = G.line_to_borders(
         (F.col("pos") - 4).cast("double"), (F.col("radius") % 5 - 2).cast("double"),
-        F.col("cx").cast("double"), (F.col("cy") % 360).cast("double"), W, H,
+        F.col("cx").cast("double"), (F.col("cy") % 360).cast("double"), *_frame(),
     )
     rows = t.fx_candidates.dropDuplicates(KEYS).select(*KEYS, pair.alias("pair")).filter("pair IS NOT NULL")
     return rows.select(*KEYS, *[F.col(f"pair.{c}").alias(c) for c in ("x1", "y1", "x2", "y2", "d2")])

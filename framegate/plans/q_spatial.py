@@ -8,7 +8,10 @@ from framegate.plans.registry import query
 # Candidates of many frames folded into fewer, so that frames are crowded.
 CROWD_SQL = """(SELECT frame_id % 300 AS frame_id, cx, cy, radius, score, candidate_source, selector_pool,
   frame_id * 10 + pos AS pos, l_partkey, l_suppkey, row_number() OVER (PARTITION BY frame_id % 300 ORDER BY score DESC, frame_id * 10 + pos, l_partkey, l_suppkey) AS rn FROM fx_candidates)"""
-BEST_FIRST = [-F.col("score"), "pos", "l_partkey", "l_suppkey"]
+
+
+def best_first():
+    return [-F.col("score"), "pos", "l_partkey", "l_suppkey"]
 
 
 def crowd(t):
@@ -199,12 +202,12 @@ SELECT frame_id, k.x AS cx, k.y AS cy, k.r AS radius FROM last"""
 
 @query("W9_suppress_overlaps", _NMS_SQL)
 def _(t):
-    return S.suppress_overlaps(crowd(t), BEST_FIRST).select("frame_id", "cx", "cy", "radius")
+    return S.suppress_overlaps(crowd(t), best_first()).select("frame_id", "cx", "cy", "radius")
 
 
 @query("W9_suppress_crowded", _NMS_SQL)
 def _(t):
-    return S.suppress_overlaps(crowd(t), BEST_FIRST, small_frame=50).select("frame_id", "cx", "cy", "radius")
+    return S.suppress_overlaps(crowd(t), best_first(), small_frame=50).select("frame_id", "cx", "cy", "radius")
 
 
 @query(

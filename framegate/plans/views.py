@@ -29,6 +29,18 @@ SELECT l_orderkey AS frame_id, 'crop_' || LPAD(CAST(l_linenumber AS STRING), 2,
   l_extendedprice / CAST(52500 AS DOUBLE) - CAST(1 AS DOUBLE) AS score, l_tax * 10 AS candidate_score, l_discount * 10 AS candidate_iou,
   CAST(l_quantity AS BIGINT) AS pred_pixels, l_partkey % 640 AS cx, l_suppkey * 4 AS cy, 7 + l_linenumber AS radius,
   l_linenumber AS pos, l_partkey, l_suppkey
+FROM {lineitem}""",
+    "fx_pool": """
+SELECT l_orderkey % 3000 AS frame_id, 'crop_' || LPAD(CAST(l_linenumber AS STRING), 2, '0') AS candidate_id,
+  CASE l_partkey % 5 WHEN 0 THEN 'table_hough' WHEN 1 THEN 'reticle_global_0' WHEN 2 THEN 'reticle_global_1'
+       WHEN 3 THEN 'white_blob' ELSE 'line_endpoint' END AS candidate_source,
+  CASE l_returnflag WHEN 'A' THEN 'primary'
+       WHEN 'N' THEN CASE l_suppkey % 3 WHEN 0 THEN 'fallback' WHEN 1 THEN 'fallback_rescue' ELSE 'secondary_rescue' END
+       ELSE CASE l_suppkey % 5 WHEN 0 THEN 'rescue' WHEN 1 THEN 'reticle_fill_rescue' WHEN 2 THEN 'micro_line_rescue'
+            WHEN 3 THEN 'colored_blob_rescue' ELSE 'wide' END END AS selector_pool,
+  l_extendedprice / CAST(52500 AS DOUBLE) - CAST(1 AS DOUBLE) AS score, l_tax * 10 AS candidate_score, l_discount * 10 AS candidate_iou,
+  CAST(l_quantity AS BIGINT) AS pred_pixels, CASE WHEN l_linenumber <> 3 THEN l_partkey % 640 / CAST(640 AS DOUBLE) END AS reach,
+  l_orderkey AS row_key, l_linenumber AS pos, l_partkey, l_suppkey
 FROM {lineitem}""",
     "fx_frames": """
 SELECT user_id AS video_id, event_id AS frame_index, ts, value AS diff_score, event_type AS split,
