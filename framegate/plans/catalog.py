@@ -1,3 +1,5 @@
 """Importing this module registers every query."""
 
-from framegate.plans import q_cascade, q_filters, q_geometry, q_graph, q_joins, q_keys, q_metrics, q_ranking, q_spatial  # noqa: F401
+from framegate.plans import (  # noqa: F401
+    q_boards, q_cascade, q_features, q_filters, q_geometry, q_graph, q_joins, q_keys, q_metrics, q_ranking, q_spatial,
+)
