@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framegate.functions.geometry import box_shape, clip
 
@@ -25,6 +25,13 @@ def mask_shape(pixels: DataFrame, keys: Sequence[str], width: int, height: int)
     return stats.withColumns(shape)
 
 
+def path_lengths(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Length of every ordered point path; rows stream through a sorted window, nothing is collected."""
+    along = W.partitionBy(*keys).orderBy(*order)
+    step = F.hypot(F.col("x") - F.lag("x").over(along), F.col("y") - F.lag("y").over(along))
+    return points.withColumn("_d", step).groupBy(*keys).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))
+
+
 def overlap_counts(pixels: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """Pixels of both sides per frame: ``gt_pixels, pred_pixels, inter_pixels``.
 

@@ -13,6 +13,9 @@ from framegate.functions.keys import HASH_BITS_SPAN, stable_fraction
 from framegate.operators.order import global_rank, hash_rank, null_safe_join
 
 
+BLOCK_TURNS = 10_000
+
+
 def _with_totals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     return null_safe_join(df, totals, keys) if keys else df.crossJoin(F.broadcast(totals))  # one row
@@ -127,12 +130,18 @@ def round_robin_negatives(
     sized = counts.select("n_pos", "n_neg", intra.alias("n_intra"), (total - intra).alias("n_ext"))
 
     def repeat(source: DataFrame, size: str, wanted: str) -> DataFrame:
-        """Each source row makes as many copies as it has turns, so nothing is generated apart from the source."""
-        facts = source.crossJoin(F.broadcast(sized))  # one row
-        turns = F.when(
-            F.col("_slot") < F.col(wanted), F.sequence(F.col("_slot"), F.col(wanted) - 1, F.greatest(F.lit(1), F.col(size)))
-        )
-        return facts.withColumn("position", F.explode(turns)).drop("n_pos", "n_neg", "n_intra", "n_ext", "_slot")
+        """Each source row makes as many copies as it has turns, so nothing is generated apart from the source.
+
+        Turns are cut into blocks that are spread first, so a short source does not turn into a few long tasks.
+        """
+        facts = source.crossJoin(F.broadcast(sized)).filter(F.col("_slot") < F.col(wanted))  # one row
+        turns = F.floor((F.col(wanted) - 1 - F.col("_slot")) / F.greatest(F.lit(1), F.col(size)))
+        blocks = facts.withColumn("_turns", turns).withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor(turns / BLOCK_TURNS))))
+        first = F.col("_block") * BLOCK_TURNS
+        within = F.sequence(first, F.least(F.col("_turns"), first + BLOCK_TURNS - 1))
+        spread = blocks.repartition("_slot", "_block").withColumn("_turn", F.explode(within))
+        rows = spread.withColumn("position", F.col("_slot") + F.col("_turn") * F.col(size))
+        return rows.drop("n_pos", "n_neg", "n_intra", "n_ext", "_slot", "_turns", "_turn", "_block")
 
     inner = repeat(pos, "n_pos", "n_intra").withColumn("kind", F.lit("intra_negative"))
     outer = repeat(neg, "n_neg", "n_ext").withColumn("kind", F.lit("external_negative"))

@@ -201,15 +201,16 @@ def _(t):
 
 @query(
     "G10_polyline_length",
-    """SELECT frame_id, side, round(sum(sqrt(dx * dx + dy * dy)), 6) AS length FROM (
+    """SELECT frame_id, side, round(sum(sqrt(dx * dx + dy * dy)), 6) AS length, CAST(11 AS DOUBLE) AS fixed FROM (
   SELECT frame_id, side, coalesce(x - lag(x) OVER w, 0) AS dx, coalesce(y - lag(y) OVER w, 0) AS dy FROM fx_pixels
   WINDOW w AS (PARTITION BY frame_id, side ORDER BY x, y)) GROUP BY frame_id, side""",
 )
 def _(t):
-    points = t.fx_pixels.groupBy("frame_id", "side").agg(
-        F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points")
-    )
-    return points.select("frame_id", "side", F.round(G.polyline_length(F.col("points")), 6).alias("length"))
+    from framegate.operators.pixels import path_lengths
+
+    rows = path_lengths(t.fx_pixels, ["frame_id", "side"], ["x", "y"])
+    short = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (3, 4), (3, 10))])
+    return rows.select("frame_id", "side", F.round("length", 6).alias("length"), G.polyline_length(short).alias("fixed"))
 
 
 @query(

@@ -88,11 +88,17 @@ def _(t):
     return G.shortest_paths(line, G.seeds_near(line, points, ["frame_id"]), ["frame_id"])
 
 
-@query("C3_best_endpoint")
+@query(
+    "C3_best_endpoint",
+    _SEEDS_SQL + """, e AS (SELECT b.* FROM best b JOIN deg d ON d.frame_id = b.frame_id AND d.x = b.x AND d.y = b.y WHERE d.degree = 1),
+pt AS (SELECT e.frame_id, e.x, e.y, e.hops, sqrt(CAST((o.x - bx) * (o.x - bx) + (o.y - by_) * (o.y - by_) AS DOUBLE)) AS dist, r FROM e JOIN best o ON o.frame_id = e.frame_id AND starts_with(e.path, o.path) JOIN ball ON ball.frame_id = e.frame_id),
+sc AS (SELECT frame_id, x, y, hops, count(*) FILTER (WHERE dist <= r * CAST(0.9 AS DOUBLE)) AS overlap, min(dist) AS md, count(*) AS len FROM pt GROUP BY ALL)
+SELECT frame_id, x, y, hops, overlap, round(md, 6) AS min_distance, len AS length FROM sc QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY overlap DESC, md, len DESC, y, x) = 1""",
+)
 def _(t):
     line = t.fx_pixels.filter("side = 'gt'").select("frame_id", "x", "y")
     best = G.best_endpoints(line, balls(t), ["frame_id"])
-    return best.withColumn("min_distance", F.round("min_distance", 6))
+    return best.select("frame_id", "x", "y", "hops", "overlap", F.round("min_distance", 6).alias("min_distance"), "length")
 
 
 @query(

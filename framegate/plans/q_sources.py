@@ -31,12 +31,12 @@ def _(t):
 
 
 def _board_docs(t):
-    """One board document per customer segment of orders; the items stay in order."""
+    """One board document per thirty orders; the items stay in order."""
     item = F.struct(
         F.col("o_orderkey").cast("string").alias("id"), F.lit("positive").alias("kind"), F.concat(F.lit("img/"), F.col("o_orderkey")).alias("image_path"),
     )
     rows = t.orders.select(
-        (F.col("o_orderkey") % 500).alias("board"), F.when(F.col("o_orderstatus") == "F", "old_val").otherwise("harvest_holdout").alias("split"),
+        F.floor(F.col("o_orderkey") / 30).alias("board"), F.when(F.col("o_orderstatus") == "F", "old_val").otherwise("harvest_holdout").alias("split"),
         "o_orderkey", item.alias("item"),
     )
     lists = rows.groupBy("board", "split").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "item"))).alias("l"))
@@ -44,7 +44,7 @@ def _board_docs(t):
     return docs.select("board", F.to_json(F.struct("splits")).alias("doc"))
 
 
-_BOARD_SQL = """(SELECT o_orderkey, o_orderkey % 500 AS board, CASE WHEN o_orderstatus = 'F' THEN 'old_val' ELSE 'harvest_holdout' END AS split FROM orders)"""
+_BOARD_SQL = """(SELECT o_orderkey, o_orderkey // 30 AS board, CASE WHEN o_orderstatus = 'F' THEN 'old_val' ELSE 'harvest_holdout' END AS split FROM orders)"""
 
 
 @query(
@@ -58,7 +58,7 @@ def _(t):
 
 @query(
     "S3_normalize_summary",
-    """WITH o AS (SELECT *, o_orderkey % 400 AS run FROM orders WHERE o_orderkey % 400 % 3 <> 2), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o_orderkey) AS rn FROM o)
+    """WITH o AS (SELECT *, o_orderkey // 40 AS run FROM orders WHERE o_orderkey // 40 % 3 <> 2), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o_orderkey) AS rn FROM o)
 SELECT run AS path, CASE WHEN run % 3 = 0 THEN rn ELSE o_orderkey END AS "index", 'img/' || o_orderkey AS image_path, CASE WHEN run % 3 = 0 THEN 'ov' WHEN o_custkey % 2 = 0 THEN 'out/' || o_orderkey ELSE '' END AS overlay_path,
   o_custkey AS pred_area, CASE WHEN run % 3 = 0 THEN 'rows' ELSE 'harvest' END AS summary_type FROM r WHERE run % 3 = 0 OR o_custkey % 7 <> 0""",
 )
@@ -72,7 +72,7 @@ def _(t):
     )
 
     def docs(kind, item, field, extra):
-        lists = t.orders.filter(k % 400 % 3 == kind).groupBy((k % 400).alias("path")).agg(F.array_sort(F.collect_list(F.struct(k, item.alias("item")))).alias("l"))
+        lists = t.orders.filter(F.floor(k / 40) % 3 == kind).groupBy(F.floor(k / 40).alias("path")).agg(F.array_sort(F.collect_list(F.struct(k, item.alias("item")))).alias("l"))
         return lists.select("path", F.to_json(F.struct(F.col("l.item").alias(field), *extra)).alias("doc"))
 
     extra = [F.lit("/out").alias("output_root"), F.lit("/frames").alias("frames_dir")]
