@@ -21,7 +21,6 @@ MASK_FEATURES = (
 )
 RANKER_SOURCES = ("table_hough", "reticle_global_0", "reticle_global_1", "reticle_global_2", "white_blob")
 MAX_RETICLE_DISTANCE = 12.0
-DENSE_KINDS = ("numeric", "source", "source_group", "flag")
 
 
 def _log1p0(value: Column) -> Column:
@@ -85,30 +84,32 @@ def feature_spec(rows: DataFrame, values: str = "values", source: str = "source"
     )
 
 
-def _value_and_has(values: Column, names: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            names,
-            lambda n: F.array(
-                F.coalesce(F.try_element_at(values, n), F.lit(0.0)), F.map_contains_key(values, n).cast("double")
-            ),
-        )
-    )
+def _one_row(spec: DataFrame) -> dict[str, list[str]]:
+    """The spec's name lists; they are the schema of the vectors and become part of the plan."""
+    row = spec.first()
+    return {c.removesuffix("_names"): list(row[c] or []) for c in spec.columns}
+
+
+def _hot(names: Sequence[str], value: Column) -> list[Column]:
+    return [F.when(value == n, 1.0).otherwise(0.0) for n in names]
 
 
-def _hot(names: Column, test) -> Column:
-    return F.transform(names, lambda n: test(n).cast("double"))
+def _flag_hot(names: Sequence[str], flags: Column) -> list[Column]:
+    return [F.coalesce(F.array_contains(flags, n), F.lit(False)).cast("double") for n in names]
 
 
 def dense_vectors(rows: DataFrame, spec: DataFrame, values: str = "values", source: str = "source", flags: str = "flags") -> DataFrame:
     """Adds ``vector``: a value and a has-value flag per number, then one-hot source, group and flags."""
+    names = _one_row(spec)
     s = F.coalesce(source, F.lit(""))
-    group = model_source_group(s)
-    vector = F.concat(
-        _value_and_has(F.col(values), F.col("numeric_names")), _hot(F.col("source_names"), lambda n: n == s),
-        _hot(F.col("source_group_names"), lambda n: n == group), _hot(F.col("flag_names"), lambda n: F.array_contains(flags, n)),
+    numbers = []
+    for n in names["numeric"]:
+        value = F.col(values).getItem(n)
+        numbers += [F.coalesce(value, F.lit(0.0)), value.isNotNull().cast("double")]
+    vector = F.array(
+        *numbers, *_hot(names["source"], s), *_hot(names["source_group"], model_source_group(s)), *_flag_hot(names["flag"], F.col(flags))
     )
-    return rows.crossJoin(F.broadcast(spec)).withColumn("vector", vector).drop(*[f"{k}_names" for k in DENSE_KINDS])  # one row
+    return rows.withColumn("vector", vector)
 
 
 def pair_spec(pairs: DataFrame) -> DataFrame:
@@ -133,32 +134,23 @@ def pair_spec(pairs: DataFrame) -> DataFrame:
 def pair_vectors(pairs: DataFrame, spec: DataFrame) -> DataFrame:
     """Adds ``vector``: per number the current value and flag, the candidate value and flag and the difference
     (zero unless both are known), then one-hot sources, groups and pools of both sides and the flags."""
-    cur, cand = F.col("current.values"), F.col("candidate.values")
-
-    def five(n):
-        a, b = F.try_element_at(cur, n), F.try_element_at(cand, n)
-        known = (a.isNotNull() & b.isNotNull())
-        zero = F.lit(0.0)
-        return F.array(
-            F.coalesce(a, zero), a.isNotNull().cast("double"), F.coalesce(b, zero), b.isNotNull().cast("double"),
-            F.when(known, b - a).otherwise(zero),
-        )
-
-    def sides(names, of):
-        return F.concat(_hot(F.col(names), lambda n: n == of("current")), _hot(F.col(names), lambda n: n == of("candidate")))
-
-    def src(i):
-        return F.coalesce(F.col(f"{i}.source"), F.lit(""))
-
-    vector = F.concat(
-        F.flatten(F.transform("numeric_names", five)), sides("source_names", src),
-        sides("source_group_names", lambda i: model_source_group(src(i))),
-        sides("pool_names", lambda i: F.coalesce(F.nullif(F.col(f"{i}.pool"), F.lit("")), F.lit("none"))),
-        _hot(F.col("current_flag_names"), lambda n: F.array_contains("current.flags", n)),
-        _hot(F.col("candidate_flag_names"), lambda n: F.array_contains("candidate.flags", n)),
-    )
-    names = [c for c in spec.columns if c.endswith("_names")]
-    return pairs.crossJoin(F.broadcast(spec)).withColumn("vector", vector).drop(*names)  # one row
+    names = _one_row(spec)
+    zero = F.lit(0.0)
+    parts: list[Column] = []
+    for n in names["numeric"]:
+        a, b = F.col("current.values").getItem(n), F.col("candidate.values").getItem(n)
+        parts += [F.coalesce(a, zero), a.isNotNull().cast("double"), F.coalesce(b, zero), b.isNotNull().cast("double"), F.coalesce(b - a, zero)]
+    sides = ("current", "candidate")
+    sources = {i: F.coalesce(F.col(f"{i}.source"), F.lit("")) for i in sides}
+    for i in sides:
+        parts += _hot(names["source"], sources[i])
+    for i in sides:
+        parts += _hot(names["source_group"], model_source_group(sources[i]))
+    for i in sides:
+        parts += _hot(names["pool"], F.coalesce(F.nullif(F.col(f"{i}.pool"), F.lit("")), F.lit("none")))
+    for i in sides:
+        parts += _flag_hot(names[f"{i}_flag"], F.col(f"{i}.flags"))
+    return pairs.withColumn("vector", F.array(*parts))
 
 
 def raw_scores(pixels: DataFrame, ball_sizes: DataFrame, threshold: float = 0.35) -> DataFrame:

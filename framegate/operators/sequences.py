@@ -1,11 +1,14 @@
 """Folds over ordered frame sequences.
 
-A sequence is cut into chunks of frame numbers, so one long video is many bounded tasks. Each chunk needs the
-state left by the chunk before it; that small table of chunk states is settled first, then all chunks run at once.
+A sequence is cut into chunks of frame numbers, so one long video is many tasks. Each chunk needs the state left by
+the chunk before it; that small table of chunk states is settled first, then all chunks run at once. The rows of a
+chunk arrive sorted in Arrow batches and only the state is kept between batches, so no group is ever held as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -13,16 +16,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from framegate.runtime import cut
 
 CHUNK_FRAMES = 100_000
+State = tuple[float, float]
 
 
 def thin_decisions(index, value, last_index, last_value, min_gap: int, threshold: float):
     """Decision and score of each frame of a sorted run, given the last kept frame (NaN when none), and the new state."""
     decisions, scores = [], []
     for i, v in zip(index, value):
-        if np.isnan(last_index):
-            decision, score = "kept", np.nan
+        score = np.nan
+        if last_index != last_index:
+            decision = "kept"
         elif i - last_index < min_gap:
-            decision, score = "gap", np.nan
+            decision = "gap"
         else:
             score = abs(v - last_value)
             decision = "dedup" if score < threshold else "kept"
@@ -33,6 +38,42 @@ def thin_decisions(index, value, last_index, last_value, min_gap: int, threshold
     return decisions, scores, last_index, last_value
 
 
+def _chunked(frames: DataFrame, key: str, index: str, value: str, chunk: int) -> DataFrame:
+    return frames.select(
+        key, F.floor(F.col(index) / chunk).cast("bigint").alias("_chunk"), F.col(index), F.col(value).cast("double").alias(value)
+    )
+
+
+def _sorted_runs(rows: DataFrame, starts: DataFrame, key: str, index: str) -> DataFrame:
+    """Rows of every chunk in order, led by one row that carries the chunk's start state (``_s1``, ``_s2``)."""
+    led = rows.withColumn("_lead", F.lit(False)).unionByName(starts.withColumn("_lead", F.lit(True)), allowMissingColumns=True)
+    return led.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", F.col("_lead").desc(), index)
+
+
+def _walk(batches: Iterator[pd.DataFrame], step: Callable, close: Callable | None = None) -> Iterator[pd.DataFrame]:
+    """Go through sorted runs: ``step(part, state)`` per slice of a run, ``close(lead, state)`` once a run has ended."""
+    lead, state = None, (np.nan, np.nan)
+    for pdf in batches:
+        marks = np.flatnonzero(pdf["_lead"].to_numpy())
+        bounds = [0, *marks, len(pdf)]
+        out = []
+        for n, (begin, end) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if n > 0:
+                if close is not None and lead is not None:
+                    out.append(close(lead, state))
+                lead = pdf.iloc[begin]
+                state = (lead["_s1"], lead["_s2"])
+                begin += 1
+            if end > begin:
+                made, state = step(pdf, begin, end, state)
+                if made is not None:
+                    out.append(made)
+        if out:
+            yield pd.concat(out) if isinstance(out[0], pd.DataFrame) else pd.DataFrame(out)
+    if close is not None and lead is not None:
+        yield pd.DataFrame([close(lead, state)])
+
+
 def thin_sequence(
     frames: DataFrame, key: str, index: str, value: str, min_gap: int, threshold: float, chunk: int = CHUNK_FRAMES
 ) -> DataFrame:
@@ -43,43 +84,41 @@ def thin_sequence(
     state runs again, until no start changes. The state usually agrees after one or two rounds.
     """
     gap = max(0, min_gap)
-    rows = frames.select(key, index, value).withColumn("_chunk", F.floor(F.col(index) / chunk).cast("bigint"))
-    key_type = dict(frames.dtypes)[key]
-    state_schema = f"{key} {key_type}, _chunk bigint, end_index double, end_value double"
-
-    def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        first = pdf.iloc[0]
-        _, _, last, kept = thin_decisions(
-            pdf[index].to_numpy("float64"), pdf[value].to_numpy("float64"), first["start_index"], first["start_value"], gap, threshold
-        )
-        return pd.DataFrame({key: [first[key]], "_chunk": [first["_chunk"]], "end_index": [last], "end_value": [kept]})
+    rows = _chunked(frames, key, index, value, chunk)
+    types = dict(rows.dtypes)
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        first = pdf.iloc[0]
-        decisions, scores, _, _ = thin_decisions(
-            pdf[index].to_numpy("float64"), pdf[value].to_numpy("float64"), first["start_index"], first["start_value"], gap, threshold
+    def decide(pdf, begin, end, state):
+        decisions, scores, *state = thin_decisions(
+            pdf[index].to_numpy("float64")[begin:end], pdf[value].to_numpy("float64")[begin:end], *state, gap, threshold
         )
-        return pdf[[key, index, value]].assign(decision=decisions, score=scores)
+        made = pdf[[key, index, value]].iloc[begin:end].assign(decision=decisions, score=scores)
+        return made, tuple(state)
+
+    def advance(pdf, begin, end, state):
+        return None, decide(pdf, begin, end, state)[1]
+
+    def ending(lead, state):
+        return {key: lead[key], "_chunk": lead["_chunk"], "_e1": state[0], "_e2": state[1]}
 
     nothing = F.lit(None).cast("double")
-    starts = cut(rows.select(key, "_chunk").distinct().withColumns({"start_index": nothing, "start_value": nothing}))
+    starts = cut(rows.select(key, "_chunk").distinct().withColumns({"_s1": nothing, "_s2": nothing}))
     todo, ends = starts, None
     in_order = W.partitionBy(key).orderBy("_chunk")  # one row per chunk
-    while starts.groupBy(key).count().filter("count > 1").limit(1).count() and not todo.isEmpty():
-        run = rows.join(todo, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(end_state, state_schema)
-        run = run.withColumns({c: F.nanvl(c, nothing) for c in ("end_index", "end_value")})
-        ends = cut(run if ends is None else run.unionByName(ends.join(todo, [key, "_chunk"], "left_anti")))
-        moved = ends.select(
-            key, "_chunk", F.lag("end_index").over(in_order).alias("start_index"), F.lag("end_value").over(in_order).alias("start_value")
+    chained = starts.groupBy(key).count().filter("count > 1").limit(1).count() > 0
+    while chained and not todo.isEmpty():
+        again = rows.join(todo.select(key, "_chunk"), [key, "_chunk"], "left_semi")
+        run = _sorted_runs(again, todo, key, index).mapInPandas(
+            lambda b: _walk(b, advance, ending), f"{key} {types[key]}, _chunk bigint, _e1 double, _e2 double"
         )
-        old = starts.withColumnsRenamed({"start_index": "_i", "start_value": "_v"})
-        same = F.col("start_index").eqNullSafe(F.col("_i")) & F.col("start_value").eqNullSafe(F.col("_v"))
-        todo = cut(moved.join(old, [key, "_chunk"]).filter(~same).drop("_i", "_v"))
-        starts = cut(moved)
-    schema = f"{key} {key_type}, {index} {dict(frames.dtypes)[index]}, {value} double, decision string, score double"
-    out = rows.join(starts, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(decide, schema)
+        run = run.withColumns({c: F.nanvl(c, nothing) for c in ("_e1", "_e2")})
+        ends = cut(run if ends is None else run.unionByName(ends.join(todo, [key, "_chunk"], "left_anti")))
+        moved = cut(ends.select(key, "_chunk", *[F.lag(e).over(in_order).alias(s) for e, s in (("_e1", "_s1"), ("_e2", "_s2"))]))
+        old = starts.withColumnsRenamed({"_s1": "_o1", "_s2": "_o2"})
+        same = F.col("_s1").eqNullSafe(F.col("_o1")) & F.col("_s2").eqNullSafe(F.col("_o2"))
+        todo = cut(moved.join(old, [key, "_chunk"]).filter(~same).drop("_o1", "_o2"))
+        starts = moved
+    schema = f"{key} {types[key]}, {index} {types[index]}, {value} double, decision string, score double"
+    out = _sorted_runs(rows, starts, key, index).mapInPandas(lambda b: _walk(b, decide), schema)
     return out.withColumn("score", F.nanvl("score", nothing))
 
 
@@ -91,39 +130,39 @@ def moving_average(
     The recurrence is linear, so a chunk is summed up by its length and its own share; the chunk starts follow from
     those two numbers, and each chunk then runs by itself.
     """
-    rows = frames.select(key, index, value).withColumn("_chunk", F.floor(F.col(index) / chunk).cast("bigint"))
-    key_type, index_type = dict(frames.dtypes)[key], dict(frames.dtypes)[index]
-
-    def run(values: np.ndarray, start: float) -> np.ndarray:
-        series = pd.Series(values if np.isnan(start) else np.concatenate([[start], values]))
-        out = series.ewm(alpha=1.0 - keep, adjust=False).mean().to_numpy()
-        return out if np.isnan(start) else out[1:]
-
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(index)[value].to_numpy("float64")
-        return pd.DataFrame(
-            {
-                key: [pdf[key].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]], "decay": [keep ** len(values)],
-                "from_zero": [run(values, 0.0)[-1]], "from_first": [run(values, np.nan)[-1]],
-            }
-        )
+    rows = _chunked(frames, key, index, value, chunk)
+    types = dict(rows.dtypes)
+    take = 1.0 - keep
 
-    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        starts, state = [], np.nan
-        for row in pdf.itertuples():
-            starts.append(state)
-            state = row.from_first if np.isnan(state) else row.decay * state + row.from_zero
-        return pd.DataFrame({key: pdf[key], "_chunk": pdf["_chunk"], "start": starts})
+    def average(pdf, begin, end, state):
+        now, out = state[0], []
+        for v in pdf[value].to_numpy("float64")[begin:end]:
+            now = v if now != now else keep * now + take * v
+            out.append(now)
+        return pdf[[key, index, value]].iloc[begin:end].assign(average=out), (now, state[1])
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        return pdf[[key, index, value]].assign(average=run(pdf[value].to_numpy("float64"), pdf["start"].iloc[0]))
-
-    shares = rows.groupBy(key, "_chunk").applyInPandas(
-        share, f"{key} {key_type}, _chunk bigint, decay double, from_zero double, from_first double"
-    )
-    starts = shares.groupBy(key).applyInPandas(begin, f"{key} {key_type}, _chunk bigint, start double")
-    return rows.join(starts, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(
-        finish, f"{key} {key_type}, {index} {index_type}, {value} double, average double"
+    nothing = F.lit(None).cast("double")
+    # A chunk's share: its weighted sum from zero, from its own first value, and the decay over its length.
+    place = W.partitionBy(key, "_chunk").orderBy(F.col(index).desc())
+    weighed = rows.withColumn("_w", F.pow(F.lit(keep), F.row_number().over(place) - 1))
+    shares = weighed.groupBy(key, "_chunk").agg(
+        F.pow(F.lit(keep), F.count("*")).alias("decay"), F.sum(F.col(value) * F.col("_w") * take).alias("from_zero"),
+        F.min_by(value, index).alias("_x0"), F.min_by("_w", index).alias("_w0"),
     )
+    shares = cut(shares.withColumn("from_first", F.col("from_zero") + F.col("_x0") * F.col("_w0") * keep))
+    lead = shares.withColumn("_lead", F.lit(False)).repartition(key).sortWithinPartitions(key, "_chunk")
+
+    def begin_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), np.nan
+        for pdf in batches:
+            starts = []
+            for k, decay, zero, first in zip(pdf[key], pdf["decay"], pdf["from_zero"], pdf["from_first"]):
+                if k != last:
+                    last, state = k, np.nan
+                starts.append(state)
+                state = first if state != state else decay * state + zero
+            yield pd.DataFrame({key: pdf[key], "_chunk": pdf["_chunk"], "_s1": starts})
+
+    starts = lead.mapInPandas(begin_states, f"{key} {types[key]}, _chunk bigint, _s1 double").withColumn("_s2", nothing)
+    schema = f"{key} {types[key]}, {index} {types[index]}, {value} double, average double"
+    return _sorted_runs(rows, starts, key, index).mapInPandas(lambda b: _walk(b, average), schema)

@@ -11,7 +11,7 @@ from framegate.operators.ranking import keep_first, top_per_key
 from framegate.runtime import cut
 
 CELL = 32
-SMALL_FRAME = 2_000
+SMALL_FRAME = 512
 CIRCLE = ["frame_id", "cx", "cy", "radius"]
 
 
@@ -202,27 +202,31 @@ def crop_kind(mask_pixels: Column, min_positive: int = 12) -> Column:
 
 def tolerance_counts(pixels: DataFrame, k: int = 2, keys: Sequence[str] = ("frame_id",)) -> DataFrame:
     """True and false positives of the predicted skeleton and misses of the true one, within ``k`` pixels
-    (Chebyshev). ``side`` is ``pred`` or ``gt``; only pixel positions travel."""
+    (Chebyshev). ``side`` is ``pred`` or ``gt``.
+
+    A cell is as wide as the reach of a pixel, so a pixel is seen from at most four cells: the other side is copied
+    to those, and every asking pixel meets one cell in a semi join.
+    """
     k = max(1, k)
-    where = [*keys, "x", "y"]
-    pred = pixels.filter("side = 'pred'").select(*where)
-    gt = pixels.filter("side = 'gt'").select(*where)
-    steps = F.array(*[F.lit(i) for i in range(-k, k + 1)])
-
-    def dilated(df):
-        wide = df.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-        return wide.select(*keys, (F.col("x") + F.col("_dx")).alias("x"), (F.col("y") + F.col("_dy")).alias("y"))
-
-    def near(df, other):
-        """Rows with a flag whether the other side has a pixel in reach."""
-        reach = dilated(other).distinct().withColumn("_hit", F.lit(1))
-        return df.join(reach, where, "left").withColumn("_hit", F.col("_hit").isNotNull())
-
-    tagged = near(pred, gt).select(*keys, F.when(F.col("_hit"), "tp").otherwise("fp").alias("kind")).unionAll(
-        near(gt, pred).filter(~F.col("_hit")).select(*keys, F.lit("fn").alias("kind"))
+    side = 2 * k + 1
+    keys = list(keys)
+    pred = in_cells(pixels.filter("side = 'pred'").select(*keys, "x", "y"), "x", "y", side)
+    gt = in_cells(pixels.filter("side = 'gt'").select(*keys, "x", "y"), "x", "y", side)
+
+    def near(asking: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        ox, oy = F.col("ox"), F.col("oy")
+        seen = over_cells(other.select(*keys, F.col("x").alias("ox"), F.col("y").alias("oy")), ox - k, oy - k, ox + k, oy + k, side)
+        a, b = asking.alias("a"), seen.alias("b")
+        met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "_gx", "_gy")]
+        close = (F.abs(F.col("a.x") - F.col("b.ox")) <= k) & (F.abs(F.col("a.y") - F.col("b.oy")) <= k)
+        hits = a.join(b, [*met, close], "left_semi")
+        return hits.groupBy(*keys).agg(F.count("*").alias(name))
+
+    totals = pixels.groupBy(*keys).agg(
+        F.count_if(F.col("side") == "pred").alias("n_pred"), F.count_if(F.col("side") == "gt").alias("n_gt")
     )
-    counts = tagged.groupBy(*keys).agg(*[F.count_if(F.col("kind") == c).alias(c) for c in ("tp", "fp", "fn")])
-    return pixels.select(*keys).distinct().join(counts, list(keys), "left").fillna(0, ["tp", "fp", "fn"])
+    joined = totals.join(near(pred, gt, "tp"), keys, "left").join(near(gt, pred, "found"), keys, "left").fillna(0, ["tp", "found"])
+    return joined.select(*keys, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("found")).alias("fn"))
 
 
 def near_radius(r: Column) -> Column:
