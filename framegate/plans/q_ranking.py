@@ -297,7 +297,7 @@ def _(t):
     "W28_resume_from",
     """WITH r AS (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) - 1 AS position FROM pages)
 SELECT 'path' AS kind, page_id, position FROM r WHERE position >= (SELECT min(position) FROM r WHERE lower(url) = (SELECT lower(url) FROM pages WHERE page_id = 17))
-UNION ALL SELECT 'index', page_id, position FROM r WHERE position >= 200 UNION ALL SELECT 'clamped', page_id, position FROM r WHERE position = (SELECT max(position) FROM r)""",
+UNION ALL SELECT 'index', page_id, position FROM r WHERE position >= least(200, (SELECT max(position) FROM r)) UNION ALL SELECT 'clamped', page_id, position FROM r WHERE position = (SELECT max(position) FROM r)""",
 )
 def _(t):
     pages = t.pages.select("page_id", "url")
