@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from framegate.functions import keys as K
 from framegate.operators import joins as J
-from framegate.operators.ranking import top_per_key
 from framegate.plans.common import CANDIDATE_ORDER, ITEM_FIELDS, WINNER_SQL, frame_winners, item
 from framegate.plans.registry import query
 
