@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from framegate.llm.common import stage, text_or_empty
 
 SHARDS, SEED, BUCKET_BYTES = 16, 20240601, 8 << 20
+#: Their starts, a row per bucket, are broadcast up to this many buckets and joined by a shuffle beyond.
+BROADCAST_BUCKETS = 100_000
 
 
 def shard_of(doc_id: Column, shards: int, seed: int = SEED) -> Column:
@@ -46,7 +48,7 @@ def shard_documents(
     scattered = sized.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.element_at(count, F.col("shard"))))
     row = F.struct("draw", F.struct(*kept, "size", "grown_shard").alias("row"))
     shuffled = (
-        scattered.repartition(max(1, sum(buckets.values()) // 4), "shard", "bucket")
+        scattered.repartition(max(1, sum(buckets.values())), "shard", "bucket")
         .groupBy("shard", "bucket")
         .agg(F.sort_array(F.collect_list(row)).alias("rows"))
         .sortWithinPartitions("shard", "bucket")
@@ -56,6 +58,8 @@ def shard_documents(
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = table.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     bases = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if sum(buckets.values()) <= BROADCAST_BUCKETS:
+        bases = F.broadcast(bases)
     return table.join(bases, ["shard", "bucket"]).select(
         *kept, "size", "shard", (F.col("base") + F.col("pos")).alias("slot"), "grown_shard"
     )
