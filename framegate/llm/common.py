@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framegate.runtime import scratch_path
@@ -12,6 +17,7 @@ from framegate.runtime import scratch_path
 #: Rows and bytes of one Arrow batch that goes to Python; a single longer row travels alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 LAST_ID = (1 << 63) - 1
+T = TypeVar("T")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +32,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, thing: T) -> Callable[[], T]:
+    """Broadcast a bounded object by value; the function it returns gives it inside a task, loaded once."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    held: list[T] = []
+
+    def get() -> T:
+        if not held:
+            held.append(pickle.loads(data.value))
+        return held[0]
+
+    return get
+
+
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -43,6 +62,64 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def extend(
+    rows: DataFrame, carry: list[str], fn: Callable[[pa.RecordBatch], list[pa.Array]], added: str
+) -> DataFrame:
+    """The ``carry`` columns of ``rows`` and the ``added`` ones (a schema) that ``fn`` makes from each batch."""
+    kinds = dict(rows.dtypes)
+    names = [*carry, *(c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", added))]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *fn(batch)], names)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), added])
+    return map_batches(rows, run, schema)
+
+
+def map_groups(
+    rows: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str
+) -> DataFrame:
+    """Call ``fn`` with the columns of every group of two or more rows; it returns rows of numbers for ``schema``.
+
+    Groups stream through a task one after the other, so there may be very many small ones; a task holds one group at a
+    time, which the caller keeps bounded.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def done(columns: dict[str, np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+            out: list[tuple] = []
+            for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+                if hi - lo > 1:
+                    out += fn({n: c[lo:hi] for n, c in columns.items()})
+            found = list(zip(*out)) or [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            held = {n: np.concatenate([held[n], c]) for n, c in new.items()} if held else new
+            changed = np.zeros(len(held[keys[0]]) - 1, bool)
+            for k in keys:
+                changed |= held[k][1:] != held[k][:-1]
+            edges = np.r_[0, np.flatnonzero(changed) + 1]
+            yield done(held, edges)
+            held = {n: c[edges[-1] :] for n, c in held.items()}
+        if held:
+            yield done(held, np.array([0, len(held[keys[0]])]))
+
+    bounded_batches(rows.sparkSession)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
+    """``docs`` written with a number per row, ``__row``, so that rows can be told apart whatever they hold."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def order_id(doc_id: str | Column = "doc_id") -> Column:
     """The id that orders documents; a missing one comes last."""
     return F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(LAST_ID)).cast("long")

@@ -8,7 +8,18 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framegate.llm import packing, sharding, simhash
+from framegate.llm import (
+    fingerprints,
+    language,
+    licenses,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    vectors,
+)
 from framegate.llm.common import read, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,15 +30,84 @@ def tokenizer_json() -> str:
     return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(read(spark, sf_dir, "documents"))
+    names = {f"__{n}": n for n in ("tokens", "epoch", "block", "slot")}
+    return drawn.withColumnsRenamed(names)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "shares", "known")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_json()).drop("ids")
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    words = F.filter(F.split("left", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS h FROM w, unnest(range(1, len(words) - 48)) AS t(i)
+), r AS (
+  SELECT g.doc_id, list(g.i ORDER BY g.i) AS starts FROM g JOIN (SELECT h, min(doc_id) AS first FROM g GROUP BY h) m USING (h)
+  WHERE m.first < g.doc_id GROUP BY g.doc_id
+), s AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(starts, x -> range(x, x + 50)))) AS gone FROM r
+), k AS (
+  SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN words ELSE list_select(words, list_sort(list_filter(range(1, len(words) + 1), i -> NOT list_contains(gone, i)))) END AS kept
+  FROM w LEFT JOIN s USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"))
     crc = F.crc32(text_or_empty()).alias("text_crc32")
@@ -35,6 +115,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_simhash_near_dedup, op7_best_fit_packing, op10_sharding)
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_quality_classifier,
+        op3_source_mixing,
+        op4_language_id,
+        op5_simhash_near_dedup,
+        op6_license_scan,
+        op7_best_fit_packing,
+        op8_document_fingerprints,
+        op9_substring_dedup,
+        op10_sharding,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op9_substring_dedup": OP9_SQL}

@@ -17,12 +17,11 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framegate.llm.common import components, map_batches, stage, text_or_empty
+from framegate.llm.common import components, extend, map_groups, numbered, order_id, stage, text_or_empty
 
 WORDS, RADIUS, BLOCKS, PIVOTS, SEED = 3, 3, 5, 24, 42
 #: Fingerprints of one meeting place that are compared in one go.
@@ -52,15 +51,14 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(sum(1 << i for i in range(64) if 2 * ones[i] > n))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``print`` (the fingerprint's bits as a signed long) of every row; a null text is empty."""
+def fingerprints(docs: DataFrame, words: int = WORDS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns and ``print`` (the fingerprint's bits as a signed long) of every row; null is empty."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "print"])
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [fingerprint(t, words) for t in batch.column("__text").to_pylist()]
+        return [pa.array(np.array(found, np.uint64).view(np.int64))]
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty())
-    return map_batches(rows, run, "doc_id long, print long")
+    return extend(docs.select(*carry, text_or_empty().alias("__text")), list(carry), run, "print long")
 
 
 def references(pivots: int = PIVOTS, seed: int = SEED) -> np.ndarray:
@@ -137,76 +135,51 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk:
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     met = rows.join(sizes.select("choice", "bits", chunks.alias("c")), ["choice", "bits"])
     own = F.pmod(F.xxhash64("print", F.lit(SEED)), F.col("c")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y")))
-    dealt = met.withColumn("own", own).withColumn("p", F.explode(pairs))
+    others = F.sequence(F.lit(0), F.col("c") - 1)
+    both = F.transform(others, lambda i: F.struct(F.least(i, "own").alias("x"), F.greatest(i, "own").alias("y")))
+    dealt = met.withColumn("own", own).withColumn("p", F.explode(both))
     dealt = dealt.select("choice", "bits", "p.x", "p.y", "own", "print")
     pivots = references()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted by place; one place is kept at a time.
-        held: list[pd.DataFrame] = []
-
-        def place(group: pd.DataFrame) -> list[tuple[int, int]]:
-            values = group["print"].to_numpy(np.int64).view(np.uint64)
-            own, x, y = group["own"].to_numpy(), group["x"].iloc[0], group["y"].iloc[0]
-            if len(values) == 2:
-                if int(values[0] ^ values[1]).bit_count() <= radius and (x == y or own[0] != own[1]):
-                    return [tuple(values.astype(np.int64).tolist())]
-                return []
-            if x == y:
-                i, j = close_pairs(values, values, pivots, radius)
-                keep = i < j
-                i, j = i[keep], j[keep]
-            else:
-                left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-                i, j = close_pairs(values[left], values[right], pivots, radius)
-                i, j = left[i], right[j]
-            signed = values.view(np.int64)
-            return [(int(signed[a]), int(signed[b])) for a, b in _forest(i.tolist(), j.tolist(), len(values))]
-
-        def flush(frame: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            keys = frame[["choice", "bits", "x", "y"]].to_numpy()
-            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1), True])
-            for lo, hi in zip(edges, edges[1:]):
-                if hi - lo > 1:
-                    out += place(frame.iloc[lo:hi])
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-        for frame in batches:
-            if held:
-                frame = pd.concat([*held, frame], ignore_index=True)
-            keys = frame[["choice", "bits", "x", "y"]].to_numpy()
-            start = int(np.flatnonzero((keys != keys[-1]).any(1))[-1]) + 1 if (keys != keys[-1]).any() else 0
-            held = [frame.iloc[start:]]
-            if start:
-                yield flush(frame.iloc[:start])
-        if held:
-            yield flush(held[0])
-
-    return (
-        dealt.repartition("choice", "bits", "x", "y")
-        .sortWithinPartitions("choice", "bits", "x", "y")
-        .mapInPandas(run, "a long, b long")
-    )
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``doc_id``, ``print``, ``component_id`` for every row of ``docs``.
+    def compare(group: dict[str, np.ndarray]) -> list[tuple]:
+        values, own, x, y = group["print"].view(np.uint64), group["own"], group["x"][0], group["y"][0]
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        i, j = close_pairs(values[left], values[right], pivots, radius)
+        i, j = left[i], right[j]
+        if x == y:
+            i, j = i[i < j], j[i < j]
+        signed = group["print"]
+        return [(int(signed[a]), int(signed[b])) for a, b in _forest(i.tolist(), j.tolist(), len(values))]
+
+    return map_groups(dealt, ["choice", "bits", "x", "y"], compare, "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id``, the ``carry`` columns, ``print``, ``root`` and ``component_id`` for every row of ``docs``.
 
     Equal fingerprints are one node; nodes link at ``radius`` or fewer differing bits; ``component_id`` is the smallest
-    doc_id reachable. Null, empty and word-free texts have fingerprint zero and link like any other. Repeated rows and
-    ids each keep their row; a null doc_id keeps its row and never is the smallest while another is there. Columns beside
-    doc_id and text are left out; an empty table gives no rows.
+    doc_id reachable, ``root`` one fingerprint of the component. Null, empty and word-free texts have fingerprint zero and
+    link like any other. Repeated rows and ids each keep their row; a null doc_id keeps its row and never is the smallest
+    while another is there. Other columns are left out; an empty table gives no rows.
     """
-    rows = stage(fingerprints(docs, words), "prints")
+    rows = stage(fingerprints(docs, words, ("doc_id", *carry)), "prints")
     nodes = stage(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("print"), radius), "simhash")
     rooted = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left")
     rooted = stage(rooted.select("print", "first", F.coalesce("root", "print").alias("root")), "roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("print", "component_id")
-    return rows.join(named, "print").select("doc_id", "print", "component_id")
+    named = rooted.join(least, "root").select("print", "root", "component_id")
+    return rows.join(named, "print").select("doc_id", *carry, "print", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component, the row with the smallest doc_id (one of them if repeated)."""
+    rows = numbered(docs)
+    found = near_duplicates(rows, words, radius, ("__row",))
+    kept = found.groupBy("root").agg(F.min(F.struct(order_id(), "__row")).getField("__row").alias("__row"))
+    return rows.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def hex_print(value: str = "print") -> Column:
