@@ -80,14 +80,14 @@ def source_weights(sizes: DataFrame, entropy: float | None = None, max_repeats:
     return sizes.select("source", "n", weight.alias("weight"), repeats.alias("repeats")), t
 
 
-def _running(rows: DataFrame, keys: list[str], bucket: str, order: list[str], amount: str) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``amount`` over the rows of the same keys that come earlier. ``bucket``
+def _running(rows: DataFrame, keys: list[str], stretch: str, order: list[Column | str], amount: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``amount`` over the rows of the same keys that come earlier. ``stretch``
     numbers bounded stretches of the order, so only their totals meet per key."""
-    inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, bucket).agg(F.sum(amount).alias("total"))
-    bases = totals.select(*keys, bucket, F.coalesce(F.sum("total").over(outer), F.lit(0)).alias("base"))
-    joined = rows.join(bases, [*keys, bucket])
+    inner = Window.partitionBy(*keys, stretch).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, stretch).agg(F.sum(amount).alias("total"))
+    bases = totals.select(*keys, stretch, F.coalesce(F.sum("total").over(outer), F.lit(0)).alias("base"))
+    joined = rows.join(bases, [*keys, stretch])
     return joined.withColumn("before", F.col("base") + F.coalesce(F.sum(amount).over(inner), F.lit(0))).drop("base")
 
 
@@ -99,27 +99,34 @@ def mix(
 
     The least repeated source is read once, so every document is drawn at least once; a source's last, partial epoch
     takes the documents that start before its budget ends. ``__block`` numbers the blocks, ``__slot`` the documents of a
-    block from 0 in shuffled order. A null source is the source named ''; a null text is empty and counts one token;
-    repeated rows and ids are documents of their own; other columns are left out; an empty table gives no rows.
+    block from 0 in shuffled order. Draws hang on the seed, the ids and the texts, not on the files. A null source is the
+    source named ''; a null text is empty and counts one token; repeated rows and ids are documents of their own; other
+    columns are left out; an empty table gives no rows.
     """
     base = stage(
         docs.select(
             *columns, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"),
-            tokens(text_or_empty()).alias("__tokens"), F.monotonically_increasing_id().alias("__row"),
+            tokens(text_or_empty()).alias("__tokens"), F.col("doc_id").alias("__doc"),
+            F.xxhash64(text_or_empty()).alias("__th"), F.monotonically_increasing_id().alias("__row"),
         ),
         "sized",
     )
-    narrow = base.select("__row", F.col("__source").alias("source"), F.col("__tokens").alias("tokens"))
+    renamed = {"__source": "source", "__tokens": "tokens", "__doc": "doc", "__th": "th"}
+    narrow = base.select("__row", *(F.col(c).alias(n) for c, n in renamed.items()))
     sizes = stage(narrow.groupBy("source").agg(F.sum("tokens").alias("n")), "sources")
     weights, _ = source_weights(sizes, entropy, max_repeats)
     weights = weights.select("source", "n", "weight", "repeats", F.ceil(F.col("n") / BUCKET_TOKENS).alias("buckets"))
     epochs = F.sequence(F.lit(0), F.greatest(F.ceil("repeats") - 1, F.lit(0)).cast("int"))
     rows = narrow.join(weights, "source").withColumn("epoch", F.explode(epochs))
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "source", "epoch", "__row"))
-    share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
-    rows = rows.withColumn("bucket", F.floor(share * F.col("buckets")))
-    order = [F.shiftrightunsigned("draw", 11), F.col("__row")]
-    placed = _running(rows, ["source", "epoch"], "bucket", order, "tokens")
+    rows = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "epoch", "doc", "th"), 11))
+    rows = rows.withColumn("bucket", F.floor(F.col("draw") / float(1 << 53) * F.col("buckets")))
+    # A bucket is crowded only by repeats of one row, which have one hash: those are dealt on by row.
+    place = ["source", "epoch", "bucket"]
+    crowd = rows.groupBy(*place).agg(F.ceil(F.sum("tokens") / (4 * BUCKET_TOKENS)).alias("parts"))
+    rows = rows.join(stage(crowd, "buckets"), place)
+    part = F.pmod(F.col("__row"), F.col("parts"))
+    rows = rows.withColumn("stretch", F.struct("bucket", part.alias("part")))
+    placed = _running(rows, ["source", "epoch"], "stretch", ["draw", "__row"], "tokens")
     position = F.col("epoch") * F.col("n") + F.col("before")
     placed = placed.withColumn("position", position).where(F.col("position") < F.col("repeats") * F.col("n"))
     block = F.floor(F.col("position") / (F.col("weight") * block_tokens)).cast("long")
