@@ -37,8 +37,8 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), p AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
@@ -91,17 +91,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), g AS (
   SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS h FROM w, unnest(range(1, len(words) - 48)) AS t(i)
 ), r AS (
   SELECT g.doc_id, list(g.i ORDER BY g.i) AS starts FROM g JOIN (SELECT h, min(doc_id) AS first FROM g GROUP BY h) m USING (h)
   WHERE m.first < g.doc_id GROUP BY g.doc_id
 ), s AS (
-  SELECT doc_id, list_distinct(flatten(list_transform(starts, x -> range(x, x + 50)))) AS gone FROM r
+  SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda x: range(x, x + 50)))) AS gone FROM r
 ), k AS (
   SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
-    CASE WHEN gone IS NULL THEN words ELSE list_select(words, list_sort(list_filter(range(1, len(words) + 1), i -> NOT list_contains(gone, i)))) END AS kept
+    CASE WHEN gone IS NULL THEN words ELSE list_select(words, list_sort(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)))) END AS kept
   FROM w LEFT JOIN s USING (doc_id)
 )
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
