@@ -60,20 +60,25 @@ def sanitize_stem(name: Column) -> Column:
 
 
 def frame_group_key(path: Column, bucket_size: int = 25) -> Column:
-    """``parent/video:bucketNNNNNNNN`` for numbered frames, ``parent/stem`` for everything else."""
+    """``parent/video:bucketNNNNNNNN`` for numbered frames, ``parent/stem`` for everything else.
+
+    Backslashes separate like slashes. Without a parent the key is ``./video:bucketNNNNNNNN`` or the stem alone.
+    """
+    path = F.translate(path, "\\", "/")
+    nested = path.contains("/")
     digits = F.regexp_extract(path, FRAME_PATTERN, 1)
     bucket = F.floor(digits.try_cast("decimal(38,0)") / F.lit(max(1, bucket_size)).cast("bigint"))
     width = F.greatest(F.lit(8), F.length(bucket.cast("string")))
     numbered = F.concat(
-        parent_dir(path),
+        F.when(nested, parent_dir(path)).otherwise(F.lit(".")),
         F.lit("/"),
         F.regexp_replace(file_name(path), FRAME_PATTERN, ""),
         F.lit(":bucket"),
         F.lpad(bucket.cast("string"), width, F.lit("0")),
     )
-    return F.when(digits != "", numbered).otherwise(
-        F.concat(parent_dir(path), F.lit("/"), strip_suffix(file_name(path)))
-    )
+    stem = strip_suffix(file_name(path))
+    plain = F.when(nested, F.concat(parent_dir(path), F.lit("/"), stem)).otherwise(stem)
+    return F.when(digits != "", numbered).otherwise(plain)
 
 
 def candidate_source_group(source: Column) -> Column:

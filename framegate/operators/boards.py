@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framegate.functions import geometry as G
 from framegate.functions import keys as K
@@ -142,6 +142,16 @@ def gold_board(
     return board
 
 
+def exclude_ids(board: DataFrame) -> DataFrame:
+    """The ids on the board, each once: rows that must not be trained on."""
+    return board.select("id").distinct()
+
+
+def board_policy(spark: SparkSession, fraction: float, bucket_size: int = 25) -> DataFrame:
+    """The one row of settings that goes with a board."""
+    return spark.createDataFrame([(3, float(fraction), int(bucket_size))], "version int, holdout_fraction double, frame_bucket_size int")
+
+
 def veto_train_board(index: DataFrame, split: str, position: Sequence[str], limit: int | None = None) -> DataFrame:
     """Board of one index split: positives, rejected and external negatives, first row per image."""
     kind = F.col("kind")

@@ -42,15 +42,26 @@ EXTERNAL_BANDS = {
     "blob": "external_main_blob_rescue",
     "tiny_blob": "external_tiny_blob_rescue",
 }
+# Further numbers an item may carry; rules find them by name.
+ITEM_NUMBERS = (
+    "heuristic_score", "raw_score", "confidence", "reranker_score", "validity_score", "reticle_distance", "candidate_radius",
+    "meta_selector_logit",
+)
 CURRENT = R.Item("current", FIELDS)
 
 
 def as_items(pool: DataFrame, position: Sequence[str]) -> DataFrame:
-    """``(frame_id, candidate, position…)`` from flat candidate rows with a ``features`` map."""
+    """``(frame_id, candidate, position…)`` from flat candidate rows with a ``features`` map.
+
+    Rules look a number up among the item's own values first, then among the ``ITEM_NUMBERS`` columns the rows have and
+    what earlier stages noted, then among the features.
+    """
+    numbers = [x for c in ITEM_NUMBERS if c in pool.columns for x in (F.lit(c), F.col(c).cast("double"))]
+    extra = F.map_filter(F.create_map(*numbers).cast("map<string,double>"), lambda _, v: v.isNotNull())
     item = F.struct(
         "candidate_id", "candidate_source", "selector_pool", F.col("score").cast("double"),
         F.col("candidate_score").cast("double"), F.col("pred_pixels").cast("bigint"), F.col("pred_pixels").cast("bigint"),
-        "features", F.array().cast("array<string>"), F.create_map().cast("map<string,double>"),
+        "features", F.array().cast("array<string>"), extra,
     ).cast(ITEM_TYPE)
     return pool.select("frame_id", item.alias("candidate"), *position)
 
@@ -135,7 +146,10 @@ def fallback(state: DataFrame, cfg: dict) -> DataFrame:
     has = F.col("fallback").isNotNull()
     if cfg.get("chooser"):
         chosen = F.coalesce(F.col(cfg["chooser"]), F.lit(False))
-        return _switch(_open(state, "fallback", has), chosen, F.col("fallback"), "fallback", "fallback", "fallback")
+        # The chooser leaves its own mark on the item it chose.
+        marked = F.when(has, _mark(F.col("fallback"), ["meta_selector"], {}))
+        state = _open(state, "fallback", has).withColumn("fallback", F.when(chosen, marked).otherwise(F.col("fallback")))
+        return _switch(state, chosen, F.col("fallback"), "fallback", "fallback", "fallback")
     low = CURRENT["score"] < cfg["score_threshold"]
     # A frame above the threshold never ran the fallback model, so its fallback winner is unknown later on.
     state = _open(state, "fallback", has & low)
@@ -238,10 +252,16 @@ def colored_blob_pools(state: DataFrame, cfg: object) -> DataFrame:
     return open_pools(state, [{**c, "pool": "colored_blob_rescue"} for c in _configs(cfg)])
 
 
-def _take(state: DataFrame, picks: DataFrame, stage: str, notes: dict[str, Column]) -> DataFrame:
-    """Switch to the picked ``candidate`` of each frame; ``notes`` are values taken from the pick."""
+def _take(
+    state: DataFrame, picks: DataFrame, stage: str, notes: dict[str, Column], pooled: Column | None = None
+) -> DataFrame:
+    """Switch to the picked ``candidate`` of each frame; ``notes`` are values taken from the pick, ``pooled`` says that
+    a rule with pools of its own picked it."""
     joined = state.join(picks, "frame_id", "left")
     marked = F.col("candidate")
+    if pooled is not None:
+        flagged = F.array_union(marked["flags"], F.array(F.lit(f"pooled_{stage}")))
+        marked = marked.withField("flags", F.when(pooled, flagged).otherwise(marked["flags"]))
     for key, value in notes.items():
         marked = marked.withField("extra", _noted(marked["extra"], key, value))
     return _switch(joined, F.col("candidate").isNotNull(), marked, stage).drop(*[c for c in picks.columns if c != "frame_id"])
@@ -261,7 +281,7 @@ def selector(
     current = state.select("frame_id", "current", "active_pool", "open_pools")
     picks = select_by_rules(current, pool, [*active, *pooled], "frame_id", position, FIELDS, FIELDS, allowed)
     rule = F.col("rule_no").cast("double")
-    return _take(state, picks.select("frame_id", "candidate", "rule_no"), stage, {f"{stage}_rule": rule})
+    return _take(state, picks.select("frame_id", "candidate", "rule_no"), stage, {f"{stage}_rule": rule}, rule > len(active))
 
 
 def arbiter(

@@ -32,9 +32,9 @@ def _(t):
     ).select("id", "dataset_split", "save_mode", "source", "url")
 
 
-@query("U2_distinct_ids", "SELECT doc_id AS id FROM labels UNION SELECT item_id FROM benchmark UNION SELECT id FROM fx_annotations WHERE id % 4 = 0")
+@query("U2_distinct_ids", "SELECT doc_id AS id FROM labels UNION SELECT item_id FROM benchmark UNION SELECT id FROM fx_annotations")
 def _(t):
-    parts = [t.labels.select(F.col("doc_id").alias("id")), t.benchmark.select(F.col("item_id").alias("id")), t.fx_annotations.filter("id % 4 = 0")]
+    parts = [t.labels.select(F.col("doc_id").alias("id")), t.benchmark.select(F.col("item_id").alias("id")), t.fx_annotations]
     return B.distinct_ids(parts, "id")
 
 
@@ -96,17 +96,17 @@ def _(t):
     return B.work_list(jobs, jobs.filter("frame_index % 3 = 0"), "stem").select("stem")
 
 
-@query(
-    "U7_gold_board",
-    f"""WITH h AS (SELECT 'a' || frame_index AS id, 'C:/video_infer_harvest/video_' || video_id || '/clip:bucket' || lpad(CAST(frame_index // 25 AS VARCHAR), 8, '0') AS g FROM fx_frames WHERE split = 'view' AND 'a' || frame_index NOT IN (SELECT 'a' || frame_index FROM fx_frames WHERE frame_index % 40 IN (0, 1))),
+_BOARD_SQL = f"""WITH h AS (SELECT 'a' || frame_index AS id, 'C:/video_infer_harvest/video_' || video_id || '/clip:bucket' || lpad(CAST(frame_index // 25 AS VARCHAR), 8, '0') AS g FROM fx_frames WHERE split = 'view' AND 'a' || frame_index NOT IN (SELECT 'a' || frame_index FROM fx_frames WHERE frame_index % 40 IN (0, 1))),
 n AS (SELECT 'r' || frame_index AS id, 'C:/video_infer_harvest/video_' || video_id || '/clip:bucket' || lpad(CAST(frame_index // 25 AS VARCHAR), 8, '0') AS g FROM fx_frames WHERE split = 'click'),
 f AS (SELECT 'page' || page_id AS id, '/neg/page' || page_id AS g FROM pages)
 SELECT 'old_val' AS split, 'a' || frame_index AS id, 'positive' AS kind, CAST(NULL AS VARCHAR) AS group_key FROM fx_frames WHERE frame_index % 40 = 0
 UNION ALL SELECT 'old_hard_val', 'a' || frame_index, 'positive', NULL FROM fx_frames WHERE frame_index % 40 = 1
 UNION ALL SELECT 'harvest_holdout', id, 'positive', g FROM h WHERE {fraction('g')} < 0.2 UNION ALL SELECT 'rejected_negatives', id, 'image_negative', g FROM n WHERE {fraction('g')} < 0.2
-UNION ALL SELECT 'flat_negatives', id, 'flat_negative', g FROM f WHERE {fraction('g')} < 0.2""",
-)
-def _(t):
+UNION ALL SELECT 'flat_negatives', id, 'flat_negative', g FROM f WHERE {fraction('g')} < 0.2"""
+
+
+@query("U7_gold_board", _BOARD_SQL)
+def gold_board_query(t):
     frames = t.fx_frames.withColumn("source_image_path", F.replace("path", F.lit("C:/frames"), F.lit("C:/video_infer_harvest")))
     name = F.col("frame_index").cast("string")
 
@@ -125,6 +125,20 @@ def _(t):
     return board.select("split", "id", "kind", "group_key")
 
 
+@query("U7_exclude_ids", f"SELECT DISTINCT id FROM ({_BOARD_SQL})")
+def _(t):
+    return B.exclude_ids(gold_board_query(t))
+
+
+@query(
+    "U7_board_policy",
+    f"SELECT 3 AS version, CAST(0.2 AS DOUBLE) AS holdout_fraction, 25 AS frame_bucket_size, count(*) AS rows FROM ({_BOARD_SQL})",
+)
+def _(t):
+    rows = gold_board_query(t).agg(F.count("*").alias("rows"))
+    return B.board_policy(t.spark, 0.2).crossJoin(F.broadcast(rows))  # one row each
+
+
 def _index(t):
     kinds = F.element_at(
         F.array(*[F.lit(k) for k in ("view_positive", "bbox_positive", "candidate_positive", "rejected_negative", "external_negative")]),
@@ -265,12 +279,12 @@ def _(t):
 
 @query(
     "U14_image_negatives",
-    """WITH i AS (SELECT o_orderkey AS frame_id FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT c.*, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, pos, l_partkey, l_suppkey) - 1 AS n FROM fx_candidates c WHERE frame_id IN (SELECT frame_id FROM i) AND selector_pool = 'primary')
+    """WITH i AS (SELECT o_orderkey AS frame_id FROM orders), c AS (SELECT c.*, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, pos, l_partkey, l_suppkey) - 1 AS n FROM fx_candidates c WHERE frame_id IN (SELECT frame_id FROM i) AND selector_pool = 'primary')
 SELECT frame_id || '_' || n AS id, candidate_source, CAST(radius AS BIGINT) AS radius, greatest(0, cx - CAST(round_even(radius * 4.25 + 24, 0) AS BIGINT)) AS x0 FROM c WHERE n < 2
 UNION ALL SELECT frame_id || '_0', 'full_image', 29, 140 FROM i WHERE frame_id NOT IN (SELECT frame_id FROM c)""",
 )
 def _(t):
-    images = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("frame_id"))
+    images = t.orders.select(F.col("o_orderkey").alias("frame_id"))
     primary = t.fx_candidates.filter("selector_pool = 'primary'")
     rows = B.image_negatives(images, primary, 2, "rejected_negative", 640, 360, [F.desc("score"), *AT])
     return rows.select("id", "candidate_source", "radius", "x0")
@@ -311,18 +325,17 @@ def _(t):
 
 @query(
     "U17_policy_difference",
-    """WITH a AS (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 50 = 0)
+    """WITH a AS (SELECT o_orderkey AS k, o_custkey AS v FROM orders)
 SELECT 'r' || k || '.min' AS name, CAST(v AS VARCHAR) AS "left", CAST(v + 1 AS VARCHAR) AS "right" FROM a WHERE k % 200 = 0 UNION ALL SELECT 'r' || k || '.only', NULL, 'true' FROM a WHERE k % 150 = 0""",
 )
 def _(t):
     """One document per rule; the two policies differ in some values, some keys and all checkpoint paths."""
     k, v = F.col("o_orderkey"), F.col("o_custkey")
-    rules = t.orders.filter("o_orderkey % 50 = 0")
 
     def doc(minimum, only, folder):
         body = F.struct(minimum.alias("min"), only.alias("only"), F.concat(F.lit(folder), k.cast("string"), F.lit(".PT")).alias("checkpoint"))
         name = F.concat(F.lit("r"), k.cast("string"))
-        return rules.select(F.to_json(F.create_map(name, body)).alias("doc"))
+        return t.orders.select(F.to_json(F.create_map(name, body)).alias("doc"))
 
     left = doc(v, F.lit(None).cast("boolean"), "/old/")
     right = doc(F.when(k % 200 == 0, v + 1).otherwise(v), F.when(k % 150 == 0, True), "/new/")

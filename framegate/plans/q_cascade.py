@@ -116,7 +116,7 @@ def externals(t):
         )
         for i, b in enumerate(C.EXTERNAL_BANDS)
     ]
-    return t.orders.filter(key < 3000).select(key.alias("frame_id"), F.inline(F.array(*bands)))
+    return t.orders.select(key.alias("frame_id"), F.inline(F.array(*bands)))
 
 
 def refined_masks(t):
@@ -191,7 +191,7 @@ class _Layers:
         self.ctes.append(f"m{len(self.ctes) + 1} AS MATERIALIZED (SELECT * FROM {self.at})")
         self.at = f"m{len(self.ctes)}"
         name = f"s{len(self.ctes) + 1}"
-        item = _item("pick", fl=f"['{flag}']")
+        item = _item("pick", fl=f"list_concat(pick.fl, ['{flag}'])")
         final = f", CASE WHEN pick IS NOT NULL THEN pick.px ELSE fin END AS fin" if keep_pixels else ""
         self.ctes.append(
             f"""{name} AS (SELECT * EXCLUDE (pick) REPLACE (CASE WHEN pick IS NOT NULL THEN {item} ELSE cur END AS cur{final}) FROM {self.at} LEFT JOIN ({pairs.replace("@", self.at)}) k USING (frame_id))"""
@@ -204,9 +204,15 @@ _OTHER = "NOT (p.cid = s.cur.id AND p.pool IS NOT DISTINCT FROM s.cur.pool)"
 _PROB = "1 / (1 + exp(-((p.sc - s.cur.sc) * 2 + p.bf - 0.5 * coalesce(p.rc, 0))))"
 
 
-def _selector_pairs(rules):
+def _selector_pairs(rules, pooled=None):
+    """``pooled`` gives the flag of rules that name their pools; the others search the active pool."""
+
+    def item(where):
+        named = pooled and "list_contains(s.pools, p.pool)" in where
+        return _P_ITEM.replace("CAST([] AS VARCHAR[])", f"['{pooled}']") if named else _P_ITEM
+
     parts = [
-        f"SELECT s.frame_id, {_P_ITEM} AS item, {i} AS rule_no, {pref} AS pref, p.rk, p.pos, p.lp, p.ls FROM @ s JOIN p ON s.frame_id = p.frame_id WHERE {_OTHER} AND {where}"
+        f"SELECT s.frame_id, {item(where)} AS item, {i} AS rule_no, {pref} AS pref, p.rk, p.pos, p.lp, p.ls FROM @ s JOIN p ON s.frame_id = p.frame_id WHERE {_OTHER} AND {where}"
         for i, (where, pref) in enumerate(rules)
     ]
     return (
@@ -285,7 +291,7 @@ def cascade_sql(last):
             (f"p.pool = s.active AND {_starts('s.cur.src', 'reticle_global')} AND p.src = 'line_endpoint' AND s.cur.px <= 25 AND p.sc >= 0", "CAST(-p.px AS DOUBLE)"),
             ("list_contains(s.pools, p.pool) AND p.pool IN ('micro_line_rescue', 'colored_blob_rescue') AND p.src = 'white_blob' AND s.cur.src = 'table_hough' AND p.rc >= 0.3", "p.bf"),
         ]
-        q.pick(_selector_pairs(rules), "candidate_selector_rescue")
+        q.pick(_selector_pairs(rules, "pooled_candidate_selector_rescue"), "candidate_selector_rescue")
 
     def arbiter():
         configs = [
@@ -315,7 +321,7 @@ def cascade_sql(last):
 
     def post_external_rules():
         rules = [(f"list_contains(s.pools, p.pool) AND p.pool = 'primary' AND p.src = 'table_hough' AND {_starts('s.cur.src', 'external_main')} AND p.sc >= 0.5", "p.sc")]
-        q.pick(_selector_pairs(rules), "post_external_candidate_selector_rescue")
+        q.pick(_selector_pairs(rules, "pooled_post_external_candidate_selector_rescue"), "post_external_candidate_selector_rescue")
 
     def post_external_arbiter():
         q.pick(_arbiter_pairs([("p.pool = 'wide' AND s.cur.sc <= 0.6", 0.75)]), "post_external_rescue_arbiter")
@@ -366,7 +372,7 @@ def cascade_sql(last):
             ("p.src = 'line_endpoint' AND p.pool = 'primary' AND list_contains(s.pools, p.pool) AND p.sc >= 0.3 AND s.cur.sc <= 0.8 AND s.fin <= 0", "p.sc"),
             (f"{_starts('p.src', 'reticle_global')} AND p.pool = 'primary' AND list_contains(s.pools, p.pool) AND s.fin <= 2 AND s.cur.src = 'external_main_rescue'", "p.sc"),
         ]
-        q.pick(_selector_pairs(rules), "post_final_candidate_selector_rescue", keep_pixels=True)
+        q.pick(_selector_pairs(rules, "pooled_post_final_candidate_selector_rescue"), "post_final_candidate_selector_rescue", keep_pixels=True)
 
     steps = locals()
     for stage in C.STAGES:
@@ -380,7 +386,7 @@ def cascade_sql(last):
     )
     base = f"""WITH p AS MATERIALIZED (SELECT frame_id, candidate_id AS cid, candidate_source AS src, selector_pool AS pool, score AS sc, pred_pixels AS px, candidate_iou AS bf, reach AS rc, row_key AS rk, pos, l_partkey AS lp, l_suppkey AS ls FROM fx_pool),
 w AS (SELECT frame_id, {winners} FROM p GROUP BY frame_id),
-s0 AS (SELECT w.*, w_primary AS cur, 'primary' AS active, ['primary'] AS pools, o_custkey AS ck FROM w LEFT JOIN orders ON o_orderkey = frame_id AND o_orderkey < 3000 WHERE w_primary IS NOT NULL)"""
+s0 AS (SELECT w.*, w_primary AS cur, 'primary' AS active, ['primary'] AS pools, o_custkey AS ck FROM w LEFT JOIN orders ON o_orderkey = frame_id WHERE w_primary IS NOT NULL)"""
     pixels = "CAST(fin AS BIGINT)" if C.STAGES.index(last) >= C.STAGES.index("reject_final_fallback") else "CAST(cur.mk AS BIGINT)"
     return (
         ",\n".join([base, *q.ctes])

@@ -139,14 +139,15 @@ def _(t):
 
 @query(
     "E6_mlp_score",
-    """WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 2 AS a, CAST(embedding[2] AS DOUBLE) * 2 AS b, CAST(embedding[3] AS DOUBLE) * 2 AS c FROM embeddings),
-h AS (SELECT vec_id, greatest(0, a - b + 0.5 * c + CAST(0.1 AS DOUBLE)) AS h1, greatest(0, 2 * b + c - CAST(0.05 AS DOUBLE)) AS h2 FROM x)
+    """WITH x AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * 2 * (i % 5 - 2) / 4) AS p, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * 2 * (i % 3) / 4) AS q FROM embeddings),
+h AS (SELECT vec_id, greatest(0, list_sum(p) + CAST(0.1 AS DOUBLE)) AS h1, greatest(0, list_sum(q) - CAST(0.05 AS DOUBLE)) AS h2 FROM x)
 SELECT vec_id, round(1 / (1 + exp(-(CAST(1.5 AS DOUBLE) * h1 - CAST(0.7 AS DOUBLE) * h2 + CAST(0.2 AS DOUBLE)))), 6) AS score FROM h""",
 )
 def _(t):
-    first = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
-    layers = [([[1.0, -1.0, 0.5], [0.0, 2.0, 1.0]], [0.1, -0.05]), ([[1.5, -0.7]], [0.2])]
-    score = X.mlp_score(first, layers, mean=[0.0] * 3, std=[0.5] * 3)
+    values = F.transform("embedding", lambda v: v.cast("double"))
+    hidden = [[(i % 5 - 2) / 4 for i in range(1, 65)], [i % 3 / 4 for i in range(1, 65)]]
+    layers = [(hidden, [0.1, -0.05]), ([[1.5, -0.7]], [0.2])]
+    score = X.mlp_score(values, layers, mean=[0.0] * 64, std=[0.5] * 64)
     return t.embeddings.select("vec_id", F.round(score, 6).alias("score"))
 
 

@@ -14,30 +14,31 @@ seed AS (SELECT p.* FROM px p WHERE NOT EXISTS (SELECT 1 FROM px q WHERE q.frame
 reach(frame_id, side, x, y, label) AS (SELECT frame_id, side, x, y, k FROM seed
   UNION SELECT p.frame_id, p.side, p.x, p.y, r.label FROM reach r JOIN px p ON p.frame_id = r.frame_id AND p.side = r.side AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1),
 lab AS (SELECT frame_id, side, x, y, min(label) AS label FROM reach GROUP BY frame_id, side, x, y)"""
-# Every fifth column is removed, so the lines fall into several components.
-BROKEN = "x % 5 <> 4"
+def broken(pixels):
+    """All pixels, with a gap after every fourth column, so that the lines fall into several components."""
+    return pixels.withColumn("x", F.col("x") + F.floor(F.col("x") / 4))
 
 
-def labels_sql(source="(SELECT * FROM fx_pixels WHERE x % 5 <> 4)"):
+def labels_sql(source="(SELECT frame_id, side, x + x // 4 AS x, y FROM fx_pixels)"):
     return "WITH RECURSIVE " + _LABELS.replace("{source}", source)
 
 
 @query("C1_connected_components", labels_sql() + " SELECT frame_id, side, x, y, label FROM lab")
 def _(t):
-    return G.pixel_components(t.fx_pixels.filter(BROKEN), KEYS)
+    return G.pixel_components(broken(t.fx_pixels), KEYS)
 
 
 @query(
     "C1_match_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 1700 AS b FROM orders WHERE o_orderkey % 13 = 0),
+    """WITH RECURSIVE e AS (SELECT o_custkey AS a, 1000000 + o_orderkey AS b FROM orders UNION SELECT o_custkey, o_custkey - o_custkey % 5 FROM orders),
 both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), v AS (SELECT DISTINCT a AS id FROM both_),
 r(id, label) AS (SELECT id, id FROM v UNION SELECT both_.b, r.label FROM r JOIN both_ ON both_.a = r.id)
 SELECT id, min(label) AS label FROM r GROUP BY id""",
 )
 def _(t):
-    edges = t.orders.filter("o_orderkey % 13 = 0").select(
-        F.lit(0).alias("graph"), F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1700 + 1_000_000).alias("b")
-    )
+    customer = F.col("o_custkey")
+    others = F.array(F.col("o_orderkey") + 1_000_000, customer - customer % 5)
+    edges = t.orders.select(F.lit(0).alias("graph"), customer.alias("a"), F.explode(others).alias("b"))
     vertices = edges.select("graph", F.col("a").alias("id")).unionAll(edges.select("graph", F.col("b").alias("id")))
     return G.connected_components(vertices, edges, ["graph"]).select("id", "label")
 
@@ -106,7 +107,7 @@ def _(t):
     labels_sql() + """ SELECT frame_id, side, x, y FROM lab WHERE (frame_id, side, label) IN (SELECT frame_id, side, label FROM lab WHERE (x * 3 + y) % 17 = 0)""",
 )
 def _(t):
-    allowed = t.fx_pixels.filter(BROKEN)
+    allowed = broken(t.fx_pixels)
     return G.grow_from_seeds(allowed, allowed.filter("(x * 3 + y) % 17 = 0"), KEYS)
 
 
@@ -120,7 +121,7 @@ SELECT frame_id, side, label, area, score FROM b""",
 def _(t):
     sides = t.spark.createDataFrame([("gt",), ("pred",)], "side string")
     discs = balls(t).crossJoin(F.broadcast(sides))  # two rows
-    kept = G.component_filter(t.fx_pixels.filter(BROKEN), KEYS, 3, discs)
+    kept = G.component_filter(broken(t.fx_pixels), KEYS, 3, discs)
     return kept.select(*KEYS, "label", "area", "score").distinct()
 
 
@@ -133,7 +134,7 @@ def _(t):
     return G.prune_spurs(line.unionByName(nub), ["frame_id"])
 
 
-_DISCS_SQL = """d AS (SELECT DISTINCT frame_id, candidate_source, pos, l_partkey, l_suppkey, cx % 120 AS cx, cy % 60 AS cy, radius % 9 + 3 AS radius FROM fx_candidates WHERE frame_id IN (SELECT p_partkey FROM part WHERE p_partkey % 4 = 0)),
+_DISCS_SQL = """d AS (SELECT DISTINCT frame_id, candidate_source, pos, l_partkey, l_suppkey, cx % 120 AS cx, cy % 60 AS cy, radius % 9 + 3 AS radius FROM fx_candidates WHERE frame_id IN (SELECT p_partkey FROM part)),
 m AS (SELECT frame_id, cx, cy, radius, row_number() OVER (PARTITION BY frame_id ORDER BY pos, l_partkey, l_suppkey) AS rank FROM d),
 px AS (SELECT frame_id, rank, cx + a.dx AS x, cy + b.dy AS y FROM m, range(-12, 13) a(dx), range(-12, 13) b(dy) WHERE a.dx * a.dx + b.dy * b.dy <= radius * radius)"""
 
@@ -149,7 +150,7 @@ l AS (SELECT frame_id, kept FROM w QUALIFY row_number() OVER (PARTITION BY frame
 SELECT frame_id, unnest(kept[1:3]) AS rank FROM l""",
 )
 def _(t):
-    discs = circles(t).filter("frame_id % 4 = 0").distinct()
+    discs = circles(t).distinct()
     from pyspark.sql import Window
 
     order = Window.partitionBy("frame_id").orderBy("pos", "l_partkey", "l_suppkey")

@@ -51,13 +51,16 @@ def _(t):
     "P5_frame_group_key",
     """SELECT frame_index, 'C:/frames/video_' || video_id || '/clip:bucket' ||
   lpad(CAST(frame_index // 25 AS VARCHAR), 8, '0') AS group_key,
-  'C:/frames/video_' || video_id || '/still' AS plain_key FROM fx_frames""",
+  'C:/frames/video_' || video_id || '/still' AS plain_key, './clip:bucket' || lpad(CAST(frame_index // 25 AS VARCHAR), 8, '0') AS bare_key,
+  'still' AS bare_plain_key, 'C:/frames/video_' || video_id || '/clip:bucket' || lpad(CAST(frame_index // 25 AS VARCHAR), 8, '0') AS back_key FROM fx_frames""",
 )
 def _(t):
-    plain = F.concat(K.parent_dir(F.col("path")), F.lit("/still.png"))
-    return t.fx_frames.select(
-        "frame_index", K.frame_group_key(F.col("path")).alias("group_key"), K.frame_group_key(plain).alias("plain_key")
-    )
+    path = F.col("path")
+    forms = {
+        "group_key": path, "plain_key": F.concat(K.parent_dir(path), F.lit("/still.png")), "bare_key": K.file_name(path),
+        "bare_plain_key": F.lit("still.png"), "back_key": F.translate(path, "/", "\\"),
+    }
+    return t.fx_frames.select("frame_index", *(K.frame_group_key(p).alias(name) for name, p in forms.items()))
 
 
 @query(

@@ -80,14 +80,14 @@ def _(t):
 
 @query(
     "A5_mask_iou_dice",
-    """WITH p AS (SELECT frame_id, x, y, max(CASE WHEN side = 'gt' THEN 1 ELSE 0 END) AS g, max(CASE WHEN side = 'pred' THEN 1 ELSE 0 END) AS p FROM fx_pixels WHERE frame_id % 9 <> 0 GROUP BY ALL),
+    """WITH p AS (SELECT frame_id, x, y, max(CASE WHEN side = 'gt' THEN 1 ELSE 0 END) AS g, max(CASE WHEN side = 'pred' THEN 1 ELSE 0 END) AS p FROM fx_pixels GROUP BY ALL),
 c AS (SELECT f.p_partkey AS frame_id, CAST(coalesce(sum(g), 0) AS BIGINT) AS gt_pixels, CAST(coalesce(sum(p), 0) AS BIGINT) AS pred_pixels, CAST(coalesce(sum(g * p), 0) AS BIGINT) AS i FROM part f LEFT JOIN p ON p.frame_id = f.p_partkey GROUP BY ALL)
 SELECT frame_id, gt_pixels, pred_pixels, round(CASE WHEN gt_pixels + pred_pixels = i THEN 1 ELSE i / CAST(gt_pixels + pred_pixels - i AS DOUBLE) END, 6) AS gate_iou,
   round(CASE WHEN gt_pixels + pred_pixels = i THEN 0 ELSE i / CAST(gt_pixels + pred_pixels - i AS DOUBLE) END, 6) AS diagnostic_iou, round((2 * i + 1) / CAST(gt_pixels + pred_pixels + 1 AS DOUBLE), 6) AS dice FROM c""",
 )
 def _(t):
     frames = t.part.select(F.col("p_partkey").alias("frame_id"))
-    counts = P.overlap_counts(t.fx_pixels.filter("frame_id % 9 <> 0"), frames)
+    counts = P.overlap_counts(t.fx_pixels, frames)
     args = [F.col(c) for c in ("gt_pixels", "pred_pixels", "inter_pixels")]
     return rounded(
         counts.select(

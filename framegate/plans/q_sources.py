@@ -58,7 +58,7 @@ def _(t):
 
 @query(
     "S3_normalize_summary",
-    """WITH o AS (SELECT *, o_orderkey // 40 AS run FROM orders WHERE o_orderkey // 40 % 3 <> 2), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o_orderkey) AS rn FROM o)
+    """WITH o AS (SELECT *, o_orderkey // 40 AS run FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o_orderkey) AS rn FROM o)
 SELECT run AS path, CASE WHEN run % 3 = 0 THEN rn ELSE o_orderkey END AS "index", 'img/' || o_orderkey AS image_path, CASE WHEN run % 3 = 0 THEN 'ov' WHEN o_custkey % 2 = 0 THEN 'out/' || o_orderkey ELSE '' END AS overlay_path,
   o_custkey AS pred_area, CASE WHEN run % 3 = 0 THEN 'rows' ELSE 'harvest' END AS summary_type FROM r WHERE run % 3 = 0 OR o_custkey % 7 <> 0""",
 )
@@ -71,12 +71,14 @@ def _(t):
         F.when(c % 2 == 0, " Predicted").otherwise("no_prediction").alias("decision"), F.concat(F.lit("out/"), k).alias("output_path"), c.alias("mask_pixels"),
     )
 
-    def docs(kind, item, field, extra):
-        lists = t.orders.filter(F.floor(k / 40) % 3 == kind).groupBy(F.floor(k / 40).alias("path")).agg(F.array_sort(F.collect_list(F.struct(k, item.alias("item")))).alias("l"))
+    plain = F.floor(k / 40) % 3 == 0  # the older of the two document shapes
+
+    def docs(shape, item, field, extra):
+        lists = t.orders.filter(shape).groupBy(F.floor(k / 40).alias("path")).agg(F.array_sort(F.collect_list(F.struct(k, item.alias("item")))).alias("l"))
         return lists.select("path", F.to_json(F.struct(F.col("l.item").alias(field), *extra)).alias("doc"))
 
     extra = [F.lit("/out").alias("output_root"), F.lit("/frames").alias("frames_dir")]
-    both = docs(0, row, "rows", []).unionByName(docs(1, entry, "entries", extra))
+    both = docs(plain, row, "rows", []).unionByName(docs(~plain, entry, "entries", extra))
     return R.normalize_summary(both, "doc", "path").select("path", "index", "image_path", "overlay_path", "pred_area", "summary_type")
 
 

@@ -62,7 +62,7 @@ def _(t):
     twice.write.mode("append").parquet(path)  # files with frames that were seen before
     stream = S.file_stream(t.spark, path, 6)
     S.harvest(stream, lambda df: routed_frames(df).select("frame_index", "decision", "output_path", "mask_output_path"), table, "frame_index")
-    return t.spark.read.option("basePath", table).parquet(table).drop("batch")
+    return t.spark.read.option("basePath", table).parquet(table).drop("run", "batch")
 
 
 @query("ST5_unique_stream", "SELECT DISTINCT video_id, frame_index FROM fx_frames")
@@ -110,7 +110,7 @@ def _(t):
     for newer in (True, False):
         half = t.fx_frames.filter((F.col("frame_index") > newest // 2) == F.lit(newer))
         half.write.mode("append").parquet(path)
-        S.split_late(S.file_stream(t.spark, path), "2 HOURS", table, late)
+        S.split_late(S.file_stream(t.spark, path), "2 HOURS", table, late, ["video_id", "frame_index"])
     counts = [
         t.spark.read.option("basePath", p).parquet(p).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
         for kind, p in (("in_time", table), ("late", late))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from framegate.operators.metrics import gate_measures, gate_metrics
+from framegate.operators.ranking import keep_first
 from framegate.operators.sequences import thin_decisions
 from framegate.runtime import scratch_path
 
@@ -140,31 +141,45 @@ def unique_stream(frames: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def harvest(stream: DataFrame, decide: Callable[[DataFrame], DataFrame], table: str, key: str) -> None:
-    """Score and route new frames into ``table``, once each, whatever is retried.
+def _earlier(batch: DataFrame, table: str, number: int) -> tuple[str, DataFrame | None]:
+    """The stream's run id, which its checkpoint keeps, and the rows that other runs and earlier batches wrote."""
+    from framegate.sources.readers import path_exists
 
-    Frames that are already in the table are skipped. Every batch has its own folder, which a retry replaces; the
-    skip list leaves that folder out, so a repeated batch gives the same rows.
-    """
-    spark = stream.sparkSession
+    spark = batch.sparkSession
+    run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not path_exists(spark, table):
+        return run, None
+    rows = spark.read.option("basePath", table).parquet(table)
+    return run, rows.filter((F.col("run") != run) | (F.col("batch") < number))
 
-    def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        done = _done(spark, table, key, number)
-        if done is not None:
-            fresh = fresh.join(done, key, "left_anti")
-        decide(fresh).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    base = f"{table}-checkpoint"
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
+def _fresh(batch: DataFrame, keys: list[str], *done: DataFrame | None) -> DataFrame:
+    for rows in done:
+        if rows is not None:
+            batch = batch.join(rows.select(*keys).distinct(), keys, "left_anti")
+    return batch
 
 
-def _done(spark: SparkSession, table: str, key: str, number: int) -> DataFrame | None:
-    from framegate.sources.readers import path_exists
+def harvest(
+    stream: DataFrame, decide: Callable[[DataFrame], DataFrame], table: str, key: str,
+    order: list[str] | None = None, checkpoint: str | None = None,
+) -> None:
+    """Score and route new frames into ``table``, once each, whatever is retried or restarted.
+
+    Of the rows with one key in a batch the first by ``order`` counts (all other columns by default). Every batch of a
+    run has its own folder, which only a retry of that batch replaces; the run id lives in the checkpoint, so a lost
+    checkpoint or a second job starts folders of its own. Frames that any other run or an earlier batch has written are
+    skipped, so no id comes twice and nothing that was written goes away.
+    """
+    order = order or [c for c in stream.columns if c != key]
+
+    def write(batch: DataFrame, number: int) -> None:
+        run, done = _earlier(batch, table, number)
+        fresh = _fresh(keep_first(batch, [key], order), [key], done)
+        decide(fresh).write.mode("overwrite").parquet(f"{table}/run={run}/batch={number}")
 
-    if number == 0 or not path_exists(spark, table):
-        return None
-    return spark.read.option("basePath", table).parquet(table).filter(F.col("batch") < number).select(key)
+    base = checkpoint or f"{table}-checkpoint"
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
 
 
 def apply_rules(frames: DataFrame, conditions: dict[str, Column]) -> DataFrame:
@@ -175,29 +190,32 @@ def apply_rules(frames: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return frames.withColumn("rule", name)
 
 
-def split_late(stream: DataFrame, delay: str, table: str, late_table: str) -> None:
+def split_late(
+    stream: DataFrame, delay: str, table: str, late_table: str, keys: list[str], checkpoint: str | None = None
+) -> None:
     """Write frames in time to ``table`` and frames older than the newest seen time minus ``delay`` to ``late_table``.
 
-    The newest time of earlier batches is read back from a small table, one row per batch, so the fate of a frame
-    does not change when a batch is repeated. Batch numbers come from the stream's checkpoint.
+    The newest time seen before is read back from a small table, one row per batch, so the fate of a frame does not
+    change when a batch is repeated. Folders go by run and batch like those of ``harvest``; frames whose ``keys`` another
+    run or an earlier batch has written to either table are skipped.
     """
-    spark = stream.sparkSession
     seen = f"{table}-seen"
 
     def write(batch: DataFrame, number: int) -> None:
-        from framegate.sources.readers import path_exists
-
         timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
-        newest = None
-        if number > 0 and path_exists(spark, seen):
-            newest = spark.read.parquet(seen).filter(F.col("number") < number).agg(F.max("newest").alias("n")).first()["n"]
+        run, in_time = _earlier(batch, table, number)
+        timed = _fresh(timed, keys, in_time, _earlier(batch, late_table, number)[1])
+        before = _earlier(batch, seen, number)[1]
+        newest = None if before is None else before.agg(F.max("newest").alias("n")).first()["n"]
         limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         late = F.coalesce(F.col("ts") < limit, F.lit(False))
-        timed.filter(~late).write.mode("overwrite").parquet(f"{table}/batch={number}")
-        timed.filter(late).write.mode("overwrite").parquet(f"{late_table}/batch={number}")
-        timed.agg(F.max("ts").alias("newest")).withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        folder = f"run={run}/batch={number}"
+        newer = timed.agg(F.max("ts").alias("newest"))
+        for rows, target in ((timed.filter(~late), table), (timed.filter(late), late_table), (newer, seen)):
+            rows.write.mode("overwrite").parquet(f"{target}/{folder}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{table}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    base = checkpoint or f"{table}-checkpoint"
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
 
 
 def fresh_table(spark: SparkSession, name: str) -> str:

@@ -9,6 +9,7 @@ from framegate.functions import rules as R
 from framegate.operators import boards, cascade, filters, graph, joins, metrics, order, pixels, ranking, sequences, spatial, splits
 from framegate.operators import thresholds as T
 from framegate.sources import readers
+from framegate.streaming import frames
 
 
 def rows(df, *columns):
@@ -261,3 +262,127 @@ def test_selector_rule_skips_the_current_item(spark):
     got = cascade.selector(state, [{"candidate_source": "white_blob"}], pool, ["pos"])
     out = cascade.report(got).first()
     assert out["candidate_id"] == "c1" and out["flags"] == ["candidate_selector_rescue"] and out["lineage"][0]["candidate_id"] == "c0"
+
+
+def test_frame_groups_of_bare_and_backslash_names(spark):
+    keys = {
+        "clip_f00000030.png": "./clip:bucket00000001", "still.png": "still", "v/still.png": "v/still",
+        "C:\\v\\clip_f00000030.png": "C:/v/clip:bucket00000001", "C:\\v\\still.png": "C:/v/still", "/clip_f00000030.png": "/clip:bucket00000001",
+    }
+    for path, key in keys.items():
+        assert one(spark, K.frame_group_key(F.lit(path))) == key
+
+
+def test_no_group_on_both_sides_of_a_holdout(spark):
+    """Neighbouring frames stay together whatever form their paths have."""
+    paths = [f"{folder}clip{v}_f{n:08d}.png" for folder in ("", "a/b/", "C:\\w\\") for v in range(6) for n in range(0, 100, 5)]
+    items = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("g", K.frame_group_key(F.col("path")))
+    held = {r["path"] for r in splits.group_holdout(items, "g", 0.3).collect()}
+    buckets = {}
+    for p in paths:
+        stem, number = p.removesuffix(".png").rsplit("_f", 1)
+        buckets.setdefault((stem, int(number) // 25), set()).add(p in held)
+    assert 0 < len(held) < len(paths) and all(len(sides) == 1 for sides in buckets.values())
+
+
+def item_rows(spark, data):
+    names = "frame_id long, candidate_id string, candidate_source string, selector_pool string, score double, candidate_score double, pred_pixels long, pos int, heuristic_score double, confidence double"
+    flat = spark.createDataFrame(data, names).withColumn("features", F.create_map(F.lit("ball_fill_fraction"), F.lit(0.5), F.lit("confidence"), F.lit(0.9)))
+    return cascade.as_items(flat, ["pos"])
+
+
+@pytest.mark.parametrize(
+    "rule, winner",
+    [
+        ({"min_candidate_heuristic_score": 2.5}, "b"), ({"min_candidate_heuristic_score": 9.5}, "a"),
+        ({"max_candidate_heuristic_score": 9.0, "max_current_heuristic_score": 1.0}, "b"), ({"min_current_heuristic_score": 1.5}, "a"),
+        ({"min_candidate_confidence": 0.8}, "a"), ({"max_candidate_confidence": 0.3}, "b"), ({"min_candidate_ball_fill_fraction": 0.4}, "b"),
+        ({"min_candidate_raw_score": 0.0}, "a"),
+    ],
+)
+def test_rules_see_every_number_of_an_item(spark, rule, winner):
+    """An item's own number goes before a feature of the same name; a missing one never matches."""
+    pool = item_rows(spark, [(1, "a", "table_hough", "primary", 0.9, 0.0, 5, 0, 1.0, 0.1), (1, "b", "white_blob", "primary", 0.2, 0.0, 5, 1, 9.0, 0.2)])
+    state = cascade.selector(cascade.initial_state(pool, ["pos"]), [{"candidate_source": "white_blob", **rule}], pool, ["pos"])
+    assert cascade.report(state).first()["candidate_id"] == winner
+
+
+def test_pooled_rules_and_choosers_leave_their_flags(spark):
+    data = [(1, "a", "table_hough", "primary", 0.9, 0.0, 5, 0, None, None), (1, "b", "white_blob", "fallback", 0.8, 0.0, 5, 1, None, None)]
+    pool = item_rows(spark, data)
+    state = cascade.initial_state(pool, ["pos"]).withColumn("open_pools", F.array(F.lit("primary"), F.lit("fallback")))
+    rule = {"candidate_source": "white_blob", "candidate_pool": "fallback"}
+    flags = cascade.report(cascade.selector(state, [rule], pool, ["pos"])).first()["flags"]
+    assert set(flags) == {"candidate_selector_rescue", "pooled_candidate_selector_rescue"}
+    for chosen, expected in ((True, {"fallback", "meta_selector"}), (False, set())):
+        after = cascade.fallback(cascade.initial_state(pool, ["pos"]).withColumn("use", F.lit(chosen)), {"chooser": "use"})
+        assert set(cascade.report(after).first()["flags"]) == expected
+
+
+def harvested(spark, table):
+    rows_ = spark.read.option("basePath", table).parquet(table)
+    return sorted((r["id"], r["v"]) for r in rows_.collect())
+
+
+def test_harvest_survives_a_lost_checkpoint_and_a_second_job(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def add(ids, v):
+        spark.createDataFrame([(i, v) for i in ids], "id long, v long").coalesce(1).write.mode("append").parquet(source)
+
+    def run(checkpoint):
+        frames.harvest(frames.file_stream(spark, source), lambda df: df, table, "id", checkpoint=str(tmp_path / checkpoint))
+
+    add(range(10), 1)
+    run("one")
+    first = harvested(spark, table)
+    assert [i for i, _ in first] == list(range(10))
+    add([3, 3, 10, 11], 2)
+    run("one")
+    assert harvested(spark, table) == first + [(10, 2), (11, 2)]
+    before = harvested(spark, table)
+    run("lost")  # reads every file again
+    assert harvested(spark, table) == before
+    add(range(5, 15), 3)
+    run("other job")
+    assert harvested(spark, table) == before + [(12, 3), (13, 3), (14, 3)]
+    run("one")
+    assert harvested(spark, table) == before + [(12, 3), (13, 3), (14, 3)]
+
+
+def test_harvest_repeats_a_batch_with_the_same_rows(spark, tmp_path):
+    """A batch that failed after it wrote is replaced, not added; the first row of a key by the order stays."""
+    source, table = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(i % 5, i) for i in range(20)], "id long, v long").repartition(4).write.parquet(source)
+    failed = []
+
+    def decide(batch):
+        if not failed:
+            failed.append(True)
+            raise ValueError("once")
+        return batch
+
+    for attempt in range(2):
+        try:
+            frames.harvest(frames.file_stream(spark, source), decide, table, "id", order=["v"], checkpoint=str(tmp_path / "c"))
+        except Exception:  # noqa: BLE001  (the stream wraps it)
+            assert attempt == 0
+    assert harvested(spark, table) == [(i, i) for i in range(5)]
+
+
+def test_late_split_keeps_what_other_runs_wrote(spark, tmp_path):
+    source, table, late = (str(tmp_path / n) for n in ("in", "ok", "late"))
+
+    def add(rows_):
+        df = spark.createDataFrame(rows_, "id long, at string").select("id", F.to_timestamp("at").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(source)
+
+    def run(checkpoint):
+        frames.split_late(frames.file_stream(spark, source), "1 HOUR", table, late, ["id"], checkpoint=str(tmp_path / checkpoint))
+        return [sorted(r["id"] for r in spark.read.option("basePath", p).parquet(p).collect()) for p in (table, late)]
+
+    add([(1, "2026-01-01 12:00:00"), (2, "2026-01-01 08:00:00")])
+    assert run("one") == [[1, 2], []]
+    add([(3, "2026-01-01 09:00:00"), (4, "2026-01-01 11:30:00")])
+    assert run("one") == [[1, 2, 4], [3]]
+    assert run("lost") == [[1, 2, 4], [3]]
