@@ -16,10 +16,9 @@ def lookup(rows: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(base, list(keys), "inner")
 
 
-def missing(rows: DataFrame, base: DataFrame, keys: Sequence[str], report: int = 100) -> DataFrame:
-    """The first ``report`` keys that the base does not hold (a bounded report)."""
-    lost = rows.select(*keys).distinct().join(base.select(*keys), list(keys), "left_anti")
-    return lost.orderBy(*keys).limit(report)
+def missing(rows: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that the base does not hold, each once."""
+    return rows.select(*keys).distinct().join(base.select(*keys), list(keys), "left_anti")
 
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], created_at: str, position: Sequence[str]) -> DataFrame:

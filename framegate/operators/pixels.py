@@ -279,6 +279,38 @@ def threshold_counts(pixels: DataFrame, frames: DataFrame, thresholds: Sequence[
     )
 
 
+def tolerance_threshold_counts(pixels: DataFrame, tolerance: int, thresholds: Sequence[float]) -> DataFrame:
+    """``threshold, tp, fp, fn`` of lines that may be ``tolerance`` pixels apart, for pixels ``(frame_id, x, y, p, g)``.
+
+    A predicted pixel hits if a true one is near, whatever the threshold; a true pixel is found at a threshold if the
+    largest probability near it reaches it. Both are maxima over a square, taken along x and then along y, so pixels meet
+    neither thresholds nor pairs; the sums per threshold come from a handful of counts.
+    """
+    ordered = sorted(thresholds)
+    reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in ordered]), lambda t: t <= F.col("p")))
+    rows = pixels.select(
+        "frame_id", "x", "y", F.coalesce(reached, F.lit(0)).alias("step"), F.coalesce("g", F.lit(False)).alias("g")
+    ).withColumns({"own_step": F.col("step"), "own_g": F.col("g")})
+    for axis in ("x", "y"):
+        spread = rows.withColumn("d", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))))
+        here = F.col("d") == 0
+        spread = spread.withColumns(
+            {axis: F.col(axis) + F.col("d"), "own_step": F.when(here, F.col("own_step")), "own_g": F.when(here, F.col("own_g"))}
+        )
+        rows = spread.groupBy("frame_id", "x", "y").agg(*[F.max(c).alias(c) for c in ("step", "g", "own_step", "own_g")])
+    counts = rows.filter("own_step IS NOT NULL").groupBy("own_step", "own_g", "step", "g").agg(F.count("*").alias("n"))
+    numbered = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(ordered, 1)])
+    on = F.col("own_step") >= F.col("e.i")
+
+    def total(where):
+        return F.sum(F.when(where, F.col("n")).otherwise(F.lit(0)))
+
+    return counts.withColumn("e", F.explode(numbered)).groupBy(F.col("e.threshold").alias("threshold")).agg(
+        total(on & F.col("g")).alias("tp"), total(on & ~F.col("g")).alias("fp"),
+        total(F.col("own_g") & (F.col("step") < F.col("e.i"))).alias("fn"),
+    )
+
+
 def frame_difference(pixels: DataFrame, key: str) -> DataFrame:
     """Mean absolute gray difference to the previous frame, over the pixels both frames have, in 0..1."""
     now = pixels.select(key, "frame_index", "x", "y", F.col("gray").alias("_a"))

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from framegate.operators import metrics as M
 from framegate.operators import pixels as P
-from framegate.operators import spatial as S
 from framegate.operators import thresholds as T
 from framegate.plans.q_spatial import valued_pixels
 from framegate.plans.registry import query
@@ -142,18 +141,9 @@ def sweep(t):
     negative = F.col("frame_id") % 4 == 0
     frames = t.part.select(F.col("p_partkey").alias("frame_id")).withColumn("is_negative", negative)
     counts = P.threshold_counts(px, frames, SWEEP)
-    thresholds = F.explode(F.array(*[F.lit(v) for v in SWEEP]))
-    positive = px.filter(~negative)
-    # The skeleton relation of every threshold: here each pixel line is its own skeleton.
-    pred = positive.withColumn("threshold", thresholds).filter("p >= threshold").select(
-        "threshold", "frame_id", F.lit("pred").alias("side"), "x", "y"
-    )
-    gt = positive.filter("g").withColumn("threshold", thresholds).select(
-        "threshold", "frame_id", F.lit("gt").alias("side"), "x", "y"
-    )
-    lines = S.tolerance_counts(pred.unionByName(gt), 2, ["threshold", "frame_id"]).groupBy("threshold").agg(
-        *[F.sum(c).alias(f"cl_{c}") for c in ("tp", "fp", "fn")]
-    )
+    # Here each pixel line is its own skeleton, at every threshold.
+    lines = P.tolerance_threshold_counts(px.filter(~negative), 2, SWEEP)
+    lines = lines.withColumnsRenamed({c: f"cl_{c}" for c in ("tp", "fp", "fn")})
     joined = counts.join(lines, "threshold", "left").fillna(0)
     p, r, f1 = M.precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
     _, _, cf1 = M.precision_recall_f1(F.col("cl_tp"), F.col("cl_fp"), F.col("cl_fn"))

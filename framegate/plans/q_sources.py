@@ -95,10 +95,22 @@ def _(t):
     return R.latest_run(runs).select("root", "run")
 
 
-@query("S5_list_files")
+def text_folder(t):
+    """The documents as text files, one per source, in a new folder."""
+    path = scratch_path(t.spark, "texts")
+    rows = t.documents.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text")
+    rows.write.partitionBy("source").text(path)
+    return path
+
+
+def source_of(path):
+    return F.regexp_extract(path, r"/source=([^/]*)/[^/]+$", 1).alias("source")
+
+
+@query("S5_list_files", "SELECT source, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY source")
 def _(t):
-    files = R.list_images(t.spark, t.sf_dir, suffixes=("parquet",))
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size").orderBy("name")
+    files = R.list_images(t.spark, text_folder(t), suffixes=("txt",))
+    return files.select(source_of("path"), "size")
 
 
 @query(
@@ -175,6 +187,14 @@ def _(t):
     return R.verify_checksums(registry, files)
 
 
+@query(
+    "S11_file_checksums",
+    "SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY source",
+)
+def _(t):
+    return R.file_checksums(t.spark, text_folder(t)).select(source_of("path"), "bytes", "sha256")
+
+
 @query(
     "S12_dependency_check",
     """SELECT o_orderkey AS id, 'C:/m/' || o_orderkey || '.PT' AS path, 'missing_or_absolute' AS problem FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT o_orderkey, 'm/' || o_custkey || '.pth', 'missing_or_absolute' FROM orders WHERE o_custkey % 5 = 0
