@@ -7,6 +7,8 @@ library's bounded-error matching verifies them and reports spans and edits.
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -90,7 +92,7 @@ def exact_places(line: str, phrase: str) -> list[int]:
 
 
 def fuzzy_spans(line: str, notices: tuple[tuple[str, str, int], ...]) -> list[tuple[str, int, int, int, float]]:
-    """(label, first character, end, edits, score) of every separate match, best first where windows meet."""
+    """(label, first character, end, edits, score) of the matches of every notice."""
     out = []
     for notice, label, edits, parts, pattern in _compiled(notices):
         windows: list[list[int]] = []
@@ -108,6 +110,19 @@ def fuzzy_spans(line: str, notices: tuple[tuple[str, str, int], ...]) -> list[tu
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 
+def best_spans(spans: list[tuple[str, int, int, int, float]]) -> list[tuple[str, int, int, int, float]]:
+    """Of matches that overlap, the one with the best score, then the longest, then the first stays."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for span in sorted(spans, key=lambda s: (-s[4], s[1] - s[2], s[1], s[0])):
+        at = bisect.bisect_left(kept, (span[1], span[2]))
+        if (at and kept[at - 1][1] > span[1]) or (at < len(kept) and kept[at][0] < span[2]):
+            continue
+        kept.insert(at, (span[1], span[2]))
+        out.append(span)
+    return sorted(out, key=lambda s: s[1])
+
+
 def scan(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> tuple:
     """Words, places of base phrases, smallest and largest of them, base labels, all labels, score, spans in words."""
     line = folded(text)
@@ -118,7 +133,7 @@ def scan(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> tupl
             places += found
             base.add(label)
     spans, words, before = [], 0, 0
-    for label, lo, hi, edits, score in fuzzy_spans(line, notices):
+    for label, lo, hi, edits, score in best_spans(fuzzy_spans(line, notices)):
         while line[lo] == " " and lo < hi - 1:
             lo += 1
         words += line.count(" ", before, lo)
@@ -134,8 +149,8 @@ def scan(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> tupl
 def find_licenses(docs: DataFrame, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> DataFrame:
     """One row per row of ``docs``: n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    ``spans`` holds every separate match of a notice: label, first and last word, edits, and 1 - edits / length. The score
-    is 1 with an exact phrase, else that of the best span, else 0. A null text is empty: no words, no places, empty label
+    ``spans`` holds every match of a notice (of matches that overlap, the best): label, first and last word, edits, and
+    1 - edits / length. The score is 1 with an exact phrase, else that of the best span, else 0. A null text is empty: no words, no places, empty label
     strings. Repeated rows and null ids keep their rows. Columns beside doc_id and text are left out; an empty table gives
     no rows. Texts of any length are searched whole.
     """

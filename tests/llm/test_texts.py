@@ -145,15 +145,23 @@ def test_seeds_lose_no_match_within_the_bound():
                 kind = rng.choice("ids")
                 chars[at : at + (kind != "i")] = rng.choice("abcxyz") if kind != "d" else ""
             text = f"{edge.prose(rng.randrange(999), 40)} {''.join(chars)} {edge.prose(rng.randrange(999), 40)}"
-            spans = licenses.scan(text)[7]
-            assert any(s["label"] == label and s["edits"] <= edits for s in spans), (notice, "".join(chars))
-            words = licenses.folded(text).split()
+            line = licenses.folded(text)
+            raw = licenses.fuzzy_spans(line, licenses.NOTICES)
+            assert any(s[0] == label and s[3] <= edits for s in raw), (notice, "".join(chars))
+            words, spans = line.split(), licenses.scan(text)[7]
+            assert spans
             for s in spans:
                 part = " ".join(words[s["first"] : s["last"] + 1])
                 bound = {(n, k) for n, name, k in licenses.NOTICES if name == s["label"]}
                 assert any(regex.search(f"(?:{n}){{e<={k}}}", f" {part} ") for n, k in bound)
 
 
+def test_the_best_of_overlapping_notices_counts():
+    found = licenses.scan("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.")
+    assert found[4] == "cc-by" and found[5] == "cc-by,cc-by-nc" and [s["label"] for s in found[7]] == ["cc-by-nc", "cc-by"]
+    assert [(s["first"], s["last"]) for s in found[7]] == [(0, 4), (7, 10)]
+
+
 def test_near_notices_get_labels(spark):
     docs = spark.createDataFrame([(1, "Released under the MTI Licence"), (2, "All rights reservd."), (3, "nothing here")], "doc_id long, text string")
     found = {r["doc_id"]: r for r in licenses.find_licenses(docs).collect()}
