@@ -21,6 +21,8 @@ BUCKETS, GRAM = 1 << 15, 3
 #: the number of trigrams; neighbouring trigrams share letters, so evidence counts one GRAM-th.
 PRIOR, PENALTY, ROUNDS, TOLERANCE = 1.0, 3.0, 40, 1e-4
 SMOOTHING = 0.05
+#: Trigrams a text must have before it can count as noise.
+NOISE_GRAMS = 30
 UNKNOWN = "und"
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -60,7 +62,7 @@ class Model:
         return share, float(counts @ np.log(share @ likelihood))
 
     def infer(self, text: str | None) -> tuple[str, float, dict[str, float], bool]:
-        """Main language, score, proportions, and whether any language explains the text better than uniform noise."""
+        """Main language, score, proportions, and whether the languages explain the text (uniform noise does not)."""
         found = grams(text)
         if found is None or not self.names:
             return UNKNOWN, 0.0, {}, False
@@ -86,7 +88,10 @@ class Model:
         sure = posterior[chosen].sum() / posterior.sum()
         score = float(min(1.0, max(0.0, proportions[top] * sure)))
         shares = {self.names[i]: float(p) for i, p in zip(chosen, proportions)}
-        return self.names[chosen[top]], score, shares, bool(value > -n * np.log(BUCKETS) / GRAM)
+        # Noise is one more candidate and has to win by as much as a language; a few letters prove nothing.
+        lead = -n * np.log(BUCKETS) / GRAM - value
+        known = bool(n < NOISE_GRAMS or lead <= PENALTY * np.log(n + 1))
+        return self.names[chosen[top]], score, shares, known
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -124,8 +129,8 @@ def train(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of every row of ``docs``, with held_out, lang_pred, score, shares (map), known.
 
-    A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. ``known`` says
-    that the learned languages explain the text better than noise. Very short texts lean on the languages' frequencies;
+    A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. ``known`` is
+    false where uniform noise explains a text of some length better than the learned languages do. Very short texts lean on the languages' frequencies;
     ties go to the first name. Repeated rows and null ids keep their rows; a null id is not held out. Other columns play
     no part; an empty table gives no rows.
     """
