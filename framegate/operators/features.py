@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,32 +84,34 @@ def feature_spec(rows: DataFrame, values: str = "values", source: str = "source"
     )
 
 
-def _one_row(spec: DataFrame) -> dict[str, list[str]]:
-    """The spec's name lists; they are the schema of the vectors and become part of the plan."""
-    row = spec.first()
-    return {c.removesuffix("_names"): list(row[c] or []) for c in spec.columns}
+def _hot(names: str, value: Column) -> Column:
+    return F.transform(names, lambda n: F.when(n == value, 1.0).otherwise(0.0))
 
 
-def _hot(names: Sequence[str], value: Column) -> list[Column]:
-    return [F.when(value == n, 1.0).otherwise(0.0) for n in names]
+def _flag_hot(names: str, flags: Column) -> Column:
+    return F.transform(names, lambda n: F.coalesce(F.array_contains(flags, n), F.lit(False)).cast("double"))
 
 
-def _flag_hot(names: Sequence[str], flags: Column) -> list[Column]:
-    return [F.coalesce(F.array_contains(flags, n), F.lit(False)).cast("double") for n in names]
+def _with_spec(rows: DataFrame, spec: DataFrame, parts: Callable[[], list[Column]]) -> DataFrame:
+    """Adds ``vector`` from the name lists of ``spec``, whose one row goes to every task; no name enters the plan."""
+    return rows.crossJoin(F.broadcast(spec)).withColumn("vector", F.concat(*parts())).drop(*spec.columns)
 
 
 def dense_vectors(rows: DataFrame, spec: DataFrame, values: str = "values", source: str = "source", flags: str = "flags") -> DataFrame:
     """Adds ``vector``: a value and a has-value flag per number, then one-hot source, group and flags."""
-    names = _one_row(spec)
     s = F.coalesce(source, F.lit(""))
-    numbers = []
-    for n in names["numeric"]:
-        value = F.col(values).getItem(n)
-        numbers += [F.coalesce(value, F.lit(0.0)), value.isNotNull().cast("double")]
-    vector = F.array(
-        *numbers, *_hot(names["source"], s), *_hot(names["source_group"], model_source_group(s)), *_flag_hot(names["flag"], F.col(flags))
-    )
-    return rows.withColumn("vector", vector)
+
+    def number(n: Column) -> Column:
+        value = F.try_element_at(F.col(values), n)
+        return F.array(F.coalesce(value, F.lit(0.0)), value.isNotNull().cast("double"))
+
+    return _with_spec(
+        rows, spec,
+        lambda: [
+            F.flatten(F.transform("numeric_names", number)), _hot("source_names", s),
+            _hot("source_group_names", model_source_group(s)), _flag_hot("flag_names", F.col(flags)),
+        ],
+    )
 
 
 def pair_spec(pairs: DataFrame) -> DataFrame:
@@ -134,23 +136,25 @@ def pair_spec(pairs: DataFrame) -> DataFrame:
 def pair_vectors(pairs: DataFrame, spec: DataFrame) -> DataFrame:
     """Adds ``vector``: per number the current value and flag, the candidate value and flag and the difference
     (zero unless both are known), then one-hot sources, groups and pools of both sides and the flags."""
-    names = _one_row(spec)
     zero = F.lit(0.0)
-    parts: list[Column] = []
-    for n in names["numeric"]:
-        a, b = F.col("current.values").getItem(n), F.col("candidate.values").getItem(n)
-        parts += [F.coalesce(a, zero), a.isNotNull().cast("double"), F.coalesce(b, zero), b.isNotNull().cast("double"), F.coalesce(b - a, zero)]
+
+    def number(n: Column) -> Column:
+        a, b = (F.try_element_at(F.col(f"{i}.values"), n) for i in ("current", "candidate"))
+        return F.array(
+            F.coalesce(a, zero), a.isNotNull().cast("double"), F.coalesce(b, zero), b.isNotNull().cast("double"), F.coalesce(b - a, zero)
+        )
+
     sides = ("current", "candidate")
     sources = {i: F.coalesce(F.col(f"{i}.source"), F.lit("")) for i in sides}
-    for i in sides:
-        parts += _hot(names["source"], sources[i])
-    for i in sides:
-        parts += _hot(names["source_group"], model_source_group(sources[i]))
-    for i in sides:
-        parts += _hot(names["pool"], F.coalesce(F.nullif(F.col(f"{i}.pool"), F.lit("")), F.lit("none")))
-    for i in sides:
-        parts += _flag_hot(names[f"{i}_flag"], F.col(f"{i}.flags"))
-    return pairs.withColumn("vector", F.array(*parts))
+    pools = {i: F.coalesce(F.nullif(F.col(f"{i}.pool"), F.lit("")), F.lit("none")) for i in sides}
+    return _with_spec(
+        pairs, spec,
+        lambda: [
+            F.flatten(F.transform("numeric_names", number)), *(_hot("source_names", sources[i]) for i in sides),
+            *(_hot("source_group_names", model_source_group(sources[i])) for i in sides), *(_hot("pool_names", pools[i]) for i in sides),
+            *(_flag_hot(f"{i}_flag_names", F.col(f"{i}.flags")) for i in sides),
+        ],
+    )
 
 
 def raw_scores(pixels: DataFrame, ball_sizes: DataFrame, threshold: float = 0.35) -> DataFrame:
