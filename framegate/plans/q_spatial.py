@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from framegate.operators import spatial as S
 from framegate.plans.registry import query
 
-# Candidates of many frames folded into fewer, so that frames are crowded.
-CROWD_SQL = """(SELECT frame_id % 300 AS frame_id, cx, cy, radius, score, candidate_source, selector_pool,
-  frame_id * 10 + pos AS pos, l_partkey, l_suppkey, row_number() OVER (PARTITION BY frame_id % 300 ORDER BY score DESC, frame_id * 10 + pos, l_partkey, l_suppkey) AS rn FROM fx_candidates)"""
+# Fifty frames in a row folded into one, so that frames are crowded; more data make more of them.
+CROWD_SQL = """(SELECT frame_id // 50 AS frame_id, cx, cy, radius, score, candidate_source, selector_pool,
+  frame_id * 10 + pos AS pos, l_partkey, l_suppkey, row_number() OVER (PARTITION BY frame_id // 50 ORDER BY score DESC, frame_id * 10 + pos, l_partkey, l_suppkey) AS rn FROM fx_candidates)"""
 
 
 def best_first():
@@ -16,7 +16,7 @@ def best_first():
 
 def crowd(t):
     return t.fx_candidates.select(
-        (F.col("frame_id") % 300).alias("frame_id"), "cx", "cy", "radius", "score", "candidate_source", "selector_pool",
+        F.floor(F.col("frame_id") / 50).alias("frame_id"), "cx", "cy", "radius", "score", "candidate_source", "selector_pool",
         (F.col("frame_id") * 10 + F.col("pos")).alias("pos"), "l_partkey", "l_suppkey",
     )
 
@@ -55,12 +55,12 @@ def _(t):
 @query(
     "J11_ring_members",
     f"""SELECT frame_id, ring_rank, cx, cy, round(score, 9) AS score FROM (SELECT c.*, row_number() OVER (PARTITION BY c.frame_id ORDER BY score DESC, pos, l_partkey, l_suppkey) - 1 AS ring_rank
-  FROM (SELECT *, CAST((cx - (100 + frame_id)) * (cx - (100 + frame_id)) + (cy - 200) * (cy - 200) AS DOUBLE) AS d2, CAST(20 + frame_id % 40 AS DOUBLE) AS rr FROM {CROWD_SQL}) c
+  FROM (SELECT *, CAST((cx - (100 + frame_id % 300)) * (cx - (100 + frame_id % 300)) + (cy - 200) * (cy - 200) AS DOUBLE) AS d2, CAST(20 + frame_id % 40 AS DOUBLE) AS rr FROM {CROWD_SQL}) c
   WHERE d2 > 0.49 * rr * rr AND d2 < 7.84 * rr * rr) WHERE ring_rank < 3""",
 )
 def _(t):
-    rings = t.orders.select((F.col("o_orderkey") % 300).alias("frame_id")).distinct().select(
-        "frame_id", (F.col("frame_id") + 100).alias("ring_x"), F.lit(200).alias("ring_y"),
+    rings = t.orders.select(F.floor(F.col("o_orderkey") / 50).alias("frame_id")).distinct().select(
+        "frame_id", (F.col("frame_id") % 300 + 100).alias("ring_x"), F.lit(200).alias("ring_y"),
         (F.col("frame_id") % 40 + 20).alias("ring_radius"),
     )
     top = S.ring_members(crowd(t), rings, [F.desc("score"), "pos", "l_partkey", "l_suppkey"])

@@ -386,3 +386,10 @@ def test_late_split_keeps_what_other_runs_wrote(spark, tmp_path):
     add([(3, "2026-01-01 09:00:00"), (4, "2026-01-01 11:30:00")])
     assert run("one") == [[1, 2, 4], [3]]
     assert run("lost") == [[1, 2, 4], [3]]
+
+
+def test_ring_members_lie_between_two_radii(spark):
+    circles = spark.createDataFrame([(1, 100 + d, 50, s) for d, s in ((6, 0.9), (7, 0.8), (8, 0.1), (20, 0.5), (27, 0.7), (28, 0.95), (40, 0.99))], "frame_id long, cx int, cy int, score double")
+    rings = spark.createDataFrame([(1, 100, 50, 10)], "frame_id long, ring_x int, ring_y int, ring_radius int")
+    got = spatial.ring_members(circles, rings, [F.desc("score")])
+    assert rows(got, "ring_rank", "cx") == [(0, 127), (1, 120), (2, 108)]
