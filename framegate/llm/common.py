@@ -29,7 +29,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete written tables whose readers have been written themselves."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ship(spark: SparkSession, thing: T) -> Callable[[], T]:
@@ -154,9 +164,11 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
         right = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = links.join(left, "a").join(right, "b").where("x <> y")
         moves.append(move)
+        before = links
         links = stage(
             moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name
         )
+        unstage(before)
     if not moves:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = moves[-1].select("node", F.col("to").alias("root"))

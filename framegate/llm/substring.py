@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from framegate.llm.common import extend, map_batches, order_id, stage, text_or_empty
+from framegate.llm.common import extend, map_batches, order_id, stage, text_or_empty, unstage
 
 WINDOW, GRAM, VARIANTS = 50, 25, 256
 #: Words of a reference shard, about; words handled at a time.
@@ -254,8 +254,11 @@ def _by_window(reference: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, variants: int = VARIANTS) -> DataFrame:
     """``id, th, spans``: per document with a repeat, (first word, bit mask of repeated windows from there)."""
     found = stage(segments(docs, window, gram), "segments")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    held = stage(found.join(shared.select("anchor"), "anchor"), "shared")
+    ends = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    # Written first, so that a join on a very common anchor can be split.
+    anchors = stage(ends.where("lo < hi").select("anchor"), "anchors")
+    held = stage(found.join(anchors, "anchor"), "shared")
+    unstage(found, anchors)
     distinct = stage(
         held.groupBy("anchor", "variant").agg(F.min(F.struct("id", "th", "start", "n")).alias("f")).select("anchor", "variant", "f.*"),
         "variants",
@@ -265,6 +268,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, vari
     shards = max(1, words.where("not many").count() * (window + 13) // SHARD_WORDS)
     firsts = _by_automaton(words.where("not many"), shards, window).unionByName(_by_window(words.where("many"), window))
     firsts = stage(firsts, "firsts")
+    unstage(words, distinct)
     mask = F.expr("aggregate(reverse(firsts), 0L, (mask, x) -> 2 * mask + if(x < id, 1L, 0L))")
     marked = held.join(firsts, ["anchor", "variant"]).select("id", "th", "start", mask.alias("mask")).where("mask <> 0")
     return marked.groupBy("id", "th").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
