@@ -11,14 +11,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from framegate.llm.common import bounded_batches, map_batches, order_id, stage, text_or_empty
+from framegate.llm.common import bounded_batches, map_batches, order_id, ship, text_or_empty
 
 WORDS, FRACTION = 5, 1 / 8
+#: Ranges of documents per shuffle task, and keys of the sample that bounds them.
+RANGES_PER_TASK, SAMPLE_PER_RANGE = 4, 32
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,13 +92,12 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _compare(text: str, following: str) -> tuple:
+def _compare(text: str, own: np.ndarray, following: str, nxt: np.ndarray) -> tuple:
     new = edited(text, following)
-    own, other, nxt = sketch(text), sketch(new), sketch(following)
-    digest = hashlib.sha256(new.encode()).hexdigest()
+    other = sketch(new)
     small, large = sorted((own, other), key=len)
     near = likeness(own, other), likeness(own, nxt), containment(small, large)
-    return len(text), digest, as_text(own), as_text(other), *near
+    return len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(own), as_text(other), *near
 
 
 COLUMNS = [
@@ -106,63 +107,73 @@ COLUMNS = [
 ]
 
 
-def _batch(rows: list[tuple]) -> list[pa.Array]:
-    return [pa.array(c, t) for c, (_, _, t) in zip(zip(*rows), COLUMNS)]
+def sort_keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """(id, text hash) pairs as 16 bytes each, in the same order."""
+    flipped = np.stack([ids, hashes], 1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.frombuffer(flipped.astype(">u8").tobytes(), "S16")
+
+
+def _bounds(docs: DataFrame, keys: DataFrame) -> np.ndarray:
+    """Lower bounds of ranges of about equal size, from a sample of the keys ``(id, th)`` whose size is bounded by the
+    number of tasks."""
+    ranges = RANGES_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, docs.count() // (ranges * SAMPLE_PER_RANGE))
+    chosen = keys.where(F.pmod(F.xxhash64("id", "th"), F.lit(every)) == 0).distinct().collect()
+    sample = sorted((r["id"], r["th"]) for r in chosen)
+    bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    pairs = np.array(bounds, np.int64).reshape(-1, 2)
+    return sort_keys(pairs[:, 0], pairs[:, 1])
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Every document's sketch beside those of its edited text and of the next document by ascending doc_id.
 
-    Documents are range-partitioned and sorted by id, and each task streams its range with one row of look-ahead. The
-    first and last text of each range are written beside the results; only these few meet in a join. The last document is
-    followed by the first. Null texts are empty; null ids come last; rows with one id are ordered by a hash of the text
-    and follow each other. ``contained`` is the containment of the smaller sketch in the larger one. Other columns are left out; an empty
-    table gives no rows.
+    Documents are dealt into ranges of (id, text hash), whose bounds come from a sample; the first document of each range
+    also goes to the range before, and the very first to the last. So tasks stream sorted ranges with one row of
+    look-ahead, after one shuffle. Only bounds and firsts, a few numbers per range, pass the driver. Null texts are empty;
+    null ids come last; rows with one id are ordered by a hash of the text and follow each other. ``contained`` is the
+    containment of the smaller sketch in the larger one. Other columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    RESULT, FIRST, LAST = 0, 1, 2
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), order_id().alias("id"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    bounds = ship(spark, _bounds(docs, rows.select("id", "th")))
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds(), sort_keys(ids.to_numpy(), hashes.to_numpy()), "right"))
+
+    rows = rows.withColumn("part", range_of("id", "th"))
+    firsts = rows.groupBy("part").agg(F.min(F.struct("id", "th")).alias("k")).orderBy("part").collect()
+    sent = [(r["k"]["id"], r["k"]["th"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
+    before = spark.createDataFrame(sent, "id long, th long, before int")
+    places = F.array(
+        F.struct(F.col("part").alias("to"), F.lit(0).alias("after")), F.struct(F.col("before").alias("to"), F.lit(1).alias("after"))
+    )
+    dealt = rows.join(F.broadcast(before), ["id", "th"], "left")  # a row per range
+    dealt = dealt.withColumn("place", F.explode(F.filter(places, lambda p: p["to"].isNotNull())))
+    order = ["to", "after", "id", "th"]
+    dealt = dealt.select("place.to", "place.after", "id", "th", "doc_id", "text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(tasks, "to").sortWithinPartitions(*order).select("to", "after", "doc_id", "text")
+    names = ["doc_id", *(n for n, _, _ in COLUMNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
-        names = ["kind", "part", "doc_id", "text", *(n for n, _, _ in COLUMNS)]
-
-        def emit(kind: int, ids: list, texts: list, rows: list[tuple]) -> pa.RecordBatch:
-            head = [pa.array([kind] * len(ids), pa.int32()), pa.array([part] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())]
-            return pa.RecordBatch.from_arrays(head + _batch(rows), names)
-
-        empty = (None,) * len(COLUMNS)
+        part, last = None, None
         for batch in batches:
-            ids, rows = [], []
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if last is None:
-                    yield emit(FIRST, [row[0]], [row[1]], [empty])
-                else:
+            ids: list = []
+            out: list[tuple] = []
+            for to, after, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if to != part:
+                    part, last = to, None
+                own = sketch(text)
+                if last is not None:
                     ids.append(last[0])
-                    rows.append(_compare(last[1], row[1]))
-                last = row
+                    out.append(_compare(last[1], last[2], text, own))
+                last = None if after else (doc_id, text, own)
             if ids:
-                yield emit(RESULT, ids, [None] * len(ids), rows)
-        if last is not None:
-            yield emit(LAST, [last[0]], [last[1]], [empty])
+                columns = [pa.array(c, t) for c, (_, _, t) in zip(zip(*out), COLUMNS)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names)
 
-    columns = ", ".join(f"{n} {t}" for n, t, _ in COLUMNS)
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), order_id().alias("id"))
-    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
-    order = ["id", "th", "tie"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    table = stage(ordered.mapInArrow(run, f"kind int, part int, doc_id long, text string, {columns}"), "ranges")
-    ends = table.where(F.col("kind") == FIRST).select("part", F.col("text").alias("following"))
-    # One number per range, so this window is short however long the ranges are.
-    ring = Window.orderBy("part")
-    whole = Window.partitionBy()
-    after = ends.select("part").select("part", F.coalesce(F.lead("part").over(ring), F.min("part").over(whole)).alias("next"))
-    lasts = table.where(F.col("kind") == LAST).select("part", "doc_id", "text").join(after, "part")
-    seams = lasts.join(ends.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "following")
-
-    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [_compare(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *_batch(rows)], ["doc_id", *(n for n, _, _ in COLUMNS)])
-
-    results = table.where(F.col("kind") == RESULT).select("doc_id", *(n for n, _, _ in COLUMNS))
-    return results.unionByName(map_batches(seams, close, f"doc_id long, {columns}"))
+    return ordered.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in COLUMNS))
