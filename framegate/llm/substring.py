@@ -244,7 +244,7 @@ def _by_window(reference: DataFrame, window: int) -> DataFrame:
 
     rows = reference.select("anchor", "variant", "id", "words")
     windows = stage(map_batches(rows, run, "anchor long, variant long, id long, at int, x long, y long"), "windows")
-    least = windows.groupBy("x", "y").agg(F.min("id").alias("first"))
+    least = stage(windows.groupBy("x", "y").agg(F.min("id").alias("first")), "least")
     by_row = windows.join(least, ["x", "y"]).groupBy("anchor", "variant").agg(
         F.sort_array(F.collect_set(F.struct("at", "first"))).alias("list")
     )
