@@ -9,7 +9,7 @@ from framegate.plans.registry import oracles, queries
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 NAMES = list(queries())
-# No ring has members in tables as small as these; the golden tests cover it.
+# No ring has members in tables as small as these; a golden test covers it.
 EMPTY_WHEN_SMALL = {"J11_ring_members"}
 SQL = oracles()
 
