@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, functions as F
 from framegate.llm.common import components, extend, map_groups, numbered, stage
 
 COSINE = 0.93
-#: Reference points are at most so many vectors of the table, taken by the hash of vec_id (a bounded sample); every vector
-#: is indexed under its NEAREST ones. Vectors of a length without a sampled one use seeded random directions.
-PIVOTS, NEAREST, SEED = 256, 7, 11
+#: Reference points are at most so many vectors out of a sample of SAMPLED times as many, taken by the hash of vec_id, and
+#: then seeded random directions; every vector is indexed under its NEAREST ones. Reference points lie APART (their cosines
+#: are smaller): near copies of one vector would else supply many of them, whose order within the group is noise.
+PIVOTS, NEAREST, SEED, SAMPLED, APART = 256, 7, 11, 16, 0.8
 #: Vectors of a list that are compared in one go.
 CHUNK = 1024
 
@@ -36,17 +37,35 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return found / np.sqrt((found * found).sum(1, keepdims=True))
 
 
+def spread_out(vectors: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
+    """The first ``pivots`` unit vectors, in order, that lie apart from those taken before."""
+    taken = np.empty((0, vectors.shape[1]))
+    for v in vectors:
+        if len(taken) == pivots:
+            break
+        if not len(taken) or (taken @ v).max() < APART:
+            taken = np.vstack([taken, v])
+    return taken
+
+
 def reference_points(sample: list[list[float]], pivots: int = PIVOTS) -> dict[int, np.ndarray]:
     by_length: dict[int, list[list[float]]] = {}
     for v in sample:
         by_length.setdefault(len(v), []).append(v)
-    return {n: unit(np.array(vs, float)) for n, vs in by_length.items()}
+    return {n: spread_out(np.vstack([unit(np.array(vs, float)), directions(n, pivots)]), pivots) for n, vs in by_length.items()}
+
+
+def directions(n: int, pivots: int = PIVOTS) -> np.ndarray:
+    return unit(np.random.default_rng(SEED).normal(size=(pivots, n)))
 
 
 def nearest_points(vectors: np.ndarray, points: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
-    """The ``nearest`` reference points of every vector, nearest first, ties to the smaller number."""
+    """The ``nearest`` reference points of every vector, nearest first, ties to the smaller number. Where so many do not
+    lie apart, negative numbers that all vectors share stand for the rest."""
     near = unit(vectors) @ points.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :nearest]
+    found = np.argsort(-near, axis=1, kind="stable")[:, :nearest]
+    rest = np.arange(-1, found.shape[1] - nearest - 1, -1)
+    return np.hstack([found, np.tile(rest, (len(found), 1))])
 
 
 def describe(nodes: DataFrame, sample: list[list[float]], pivots: int = PIVOTS, nearest: int = NEAREST) -> DataFrame:
@@ -60,8 +79,8 @@ def describe(nodes: DataFrame, sample: list[list[float]], pivots: int = PIVOTS,
         out = np.zeros((len(vectors), nearest), np.int32)
         for n in np.unique(lengths):
             points = shared.value.get(int(n))
-            if points is None or len(points) <= nearest:
-                points = unit(np.random.default_rng(SEED).normal(size=(pivots, int(n))))
+            if points is None:
+                points = spread_out(directions(int(n), pivots), pivots)
             own = np.flatnonzero(lengths == n)
             out[own] = nearest_points(np.array([vectors[i] for i in own], float), points, nearest)
         return [pa.array(list(out), pa.list_(pa.int32()))]
@@ -69,6 +88,21 @@ def describe(nodes: DataFrame, sample: list[list[float]], pivots: int = PIVOTS,
     return extend(nodes, nodes.columns, run, "points array<int>")
 
 
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the symmetric matrix ``near`` connects; every row is looked at once."""
+    out, fresh = [], near.any(1)
+    while fresh.any():
+        front = [int(np.argmax(fresh))]
+        fresh[front[0]] = False
+        while front:
+            a = front.pop()
+            new = np.flatnonzero(near[a] & fresh)
+            fresh[new] = False
+            out += [(a, int(b)) for b in new]
+            front += new.tolist()
+    return out
+
+
 def linked(described: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, chunk: int = CHUNK) -> DataFrame:
     """``a, b, n``: from every list, n > 0 other vectors that ``a`` links with (b = a), and links (n = 0) that connect
     what the list links."""
@@ -88,31 +122,24 @@ def linked(described: DataFrame, cosine: float = COSINE, nearest: int = NEAREST,
         vectors = unit(np.stack(group["embedding"]).astype(float))
         own, x, y = group["own"], group["x"][0], group["y"][0]
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        i, j = np.nonzero(vectors[left] @ vectors[right].T >= cosine)
-        i, j = left[i], right[j]
+        points, p, q = np.stack(group["points"]), group["p"][0], group["q"][0]
+        # A pair belongs here unless it shares a smaller point than q beside p.
+        others = np.unique(points[(points < q) & (points != p)])
+        held = (points[:, :, None] == others).any(1).astype(np.float32)
+        mine = (held[left] @ held[right].T < 0.5) & (vectors[left] @ vectors[right].T >= cosine)
         if x == y:
-            i, j = i[i < j], j[i < j]
-        if not len(i):
+            mine &= ~np.eye(len(left), dtype=bool)
+        if not mine.any():
             return []
-        near = np.stack(group["points"])
-        common = (near[i][:, :, None] == near[j][:, None, :]).any(2)
-        order = np.argsort(~common, axis=1, kind="stable")[:, :2]
-        first = np.take_along_axis(near[i], order, 1)
-        mine = (first[:, 0] == group["p"][0]) & (first[:, 1] == group["q"][0])
-        i, j = i[mine], j[mine]
         rows, weight = group["__row"], group["w"]
-        n = np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
+        n = np.zeros(len(rows), np.int64)
+        n[left] += mine @ weight[right]
+        if x != y:
+            n[right] += weight[left] @ mine
+        near = np.zeros((len(rows), len(rows)), bool)
+        near[np.ix_(left, right)] = mine
         out = [(int(rows[k]), int(rows[k]), int(n[k])) for k in np.flatnonzero(n)]
-        top = np.arange(len(rows))
-        for a, b in zip(i.tolist(), j.tolist()):
-            while top[a] != a:
-                top[a] = a = top[top[a]]
-            while top[b] != b:
-                top[b] = b = top[top[b]]
-            if a != b:
-                top[max(a, b)] = min(a, b)
-                out.append((int(rows[a]), int(rows[b]), 0))
-        return out
+        return out + [(int(rows[a]), int(rows[b]), 0) for a, b in forest(near | near.T)]
 
     return map_groups(dealt, [*place, "x", "y"], compare, "a long, b long, n long")
 
@@ -130,7 +157,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     fit = usable() & F.col("label").isNotNull()
     grouped = rows.where(fit).groupBy("label", "embedding").agg(F.count("*").alias("w"), F.min("vec_id").alias("first"))
     nodes = numbered(grouped, "vectors")
-    chosen = nodes.orderBy(F.xxhash64("first"), "__row").limit(pivots).select("embedding")
+    chosen = nodes.orderBy(F.xxhash64("first"), "__row").limit(SAMPLED * pivots).select("embedding")
     described = stage(describe(nodes, [r["embedding"] for r in chosen.collect()], pivots, nearest), "described")
     found = stage(linked(described, cosine, nearest), "linked")
     counts = found.groupBy(F.col("a").alias("__row")).agg(F.sum("n").alias("n")).where("n > 0")

@@ -222,6 +222,31 @@ def test_vector_recall_at_the_threshold(spark):
     assert found >= 0.9 * ((every >= 0.93).sum() - len(rows))
 
 
+def test_vector_recall_in_a_group_of_near_copies(spark):
+    """A third of the rows are distinct near copies of one vector; nine in ten of their links must be found."""
+    rng = np.random.default_rng(21)
+    centre = rng.normal(size=64)
+    copies = centre + 0.25 * np.linalg.norm(centre) * rng.normal(size=(500, 64)) / 8
+    every = np.r_[rng.normal(size=(1000, 64)), copies]
+    every /= np.linalg.norm(every, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    found = vectors.near_vectors(table).agg(F.sum("n_links"), F.sum(F.col("kept").cast("int"))).first()
+    all_links = int((every @ every.T >= 0.93).sum()) - len(every)
+    assert 10_000 < all_links and 0.9 * all_links <= found[0] <= all_links
+    least, linked = {}, {i: np.flatnonzero(r).tolist() for i, r in enumerate(every @ every.T >= 0.93)}
+    for i, r in edge.components(range(len(every)), linked).items():
+        least.setdefault(r, i)
+    assert found[1] == len(least)
+
+
+def test_few_reference_points_lie_apart():
+    """Two dimensions have room for a few points only; the numbers that all vectors share stand for the others."""
+    points = vectors.reference_points([[1.0, 0.0], [0.99, 0.1], [1.0, 0.05]])[2]
+    assert ((points @ points.T)[~np.eye(len(points), dtype=bool)] < vectors.APART).all() and len(points) < vectors.PIVOTS
+    near = vectors.nearest_points(np.array([[1.0, 0.0], [-1.0, 0.0]]), points[:3])
+    assert near.shape == (2, 7) and (near[:, 3:] == [-1, -2, -3, -4]).all()
+
+
 def test_queries_return_one_row_per_row(spark):
     n = spark.read.parquet(f"{edge.SF_DIR}/documents.parquet").count()
     assert QUERIES["op5_simhash_near_dedup"](spark, edge.SF_DIR).count() == n
