@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framegate.llm import simhash, substring, vectors
+from framegate.llm import alike, simhash, substring, vectors
 from framegate.llm.common import components
 from framegate.llm.queries import QUERIES
 
@@ -42,6 +42,51 @@ def test_simhash_against_all_pairs(spark, which):
     assert sorted((tuple(r) for r in found.collect()), key=repr) == expected
 
 
+def plain_alike(rows, similar=0.8):
+    """The smallest doc_id of each component of all pairs at ``similar`` or more."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    linked = {i: [] for i in range(len(rows))}
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j]):
+            linked[i].append(j)
+            linked[j].append(i)
+    least = {}
+    for i, r in edge.components(range(len(rows)), linked).items():
+        least[r] = min(rows[i][0], least.get(r, math.inf))
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("chunk", [8, 1024])
+def test_pipeline_near_duplicates_against_all_jaccard_pairs(spark, chunk):
+    """Table rows, edited copies around the threshold, chains of edits, and a crowd of copies of one text."""
+    rng = random.Random(5)
+    table = spark.read.parquet(f"{edge.SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r["doc_id"], r["text"]) for r in table if r["text"]]
+    start = 1 + max(d for d, _ in rows)
+
+    def edit(words, n):
+        words = list(words)
+        for i in rng.sample(range(len(words)), n):
+            words[i] = f"edit{rng.random()}"
+        return words
+
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [edit(base, rng.randint(0, 6)) for _ in range(60)]
+    for _ in range(40):
+        chain = [f"c{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(3):
+            texts.append(chain)
+            chain = edit(chain, rng.randint(1, 4))
+    rows += [(start + i, " ".join(w)) for i, w in enumerate(texts)] + [(start + 900, ""), (start + 901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = plain_alike(rows)
+    assert sorted(r["doc_id"] for r in alike.keep_one(docs, chunk=chunk).collect()) == expected
+    assert alike.keep_one(docs.limit(0)).count() == 0
+
+
 def test_simhash_links_lose_nothing(spark):
     """Random fingerprints with planted neighbours, and one crowded cluster that is dealt into chunk pairs."""
     rng = random.Random(3)
