@@ -8,6 +8,7 @@ library's bounded-error matching verifies them and reports spans and edits.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -91,6 +92,16 @@ def exact_places(line: str, phrase: str) -> list[int]:
     return out
 
 
+def _matches(pattern: regex.Pattern, line: str, lo: int, hi: int) -> Iterator[regex.Match]:
+    """The best match of a window, and in the same way those of what is left of it on either side."""
+    open_parts = [(lo, hi)]
+    while open_parts:
+        lo, hi = open_parts.pop()
+        if lo < hi and (found := pattern.search(line, lo, hi)) and found.start() < found.end():
+            yield found
+            open_parts += [(found.end(), hi), (lo, found.start())]
+
+
 def fuzzy_spans(line: str, notices: tuple[tuple[str, str, int], ...]) -> list[tuple[str, int, int, int, float]]:
     """(label, first character, end, edits, score) of the matches of every notice."""
     out = []
@@ -104,7 +115,7 @@ def fuzzy_spans(line: str, notices: tuple[tuple[str, str, int], ...]) -> list[tu
             else:
                 windows.append([lo, hi])
         for lo, hi in windows:
-            for found in pattern.finditer(line, lo, hi):
+            for found in _matches(pattern, line, lo, hi):
                 wrong = sum(found.fuzzy_counts)
                 out.append((label, found.start(), found.end(), wrong, 1 - wrong / size))
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))

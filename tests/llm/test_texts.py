@@ -175,6 +175,18 @@ def plain_sketch(text):
     return {int(h) for h in fingerprints.sketch(text)}
 
 
+def test_weaker_notices_beside_a_better_one_are_found():
+    """Several near notices in one window: a better match to their right or left hides none of them."""
+    texts = {
+        "Mozila Public License or Mozilla Publc License v2, Mozilla Public License": [(0, 2, 1), (4, 6, 1), (8, 10, 0)],
+        "Mozilla Public License, Mozila Public License, Mozilla Publc Licens": [(0, 2, 0), (3, 5, 1), (6, 8, 2)],
+        "Mozila Publc License Mozila Public License Mozilla Public License Mozila Publc License": [(0, 2, 2), (3, 5, 1), (6, 8, 0), (9, 11, 2)],
+    }
+    for text, places in texts.items():
+        spans = licenses.scan(text)[-1]
+        assert [(s["first"], s["last"], s["edits"]) for s in spans if s["label"] == "mpl"] == places
+
+
 @pytest.mark.parametrize("which", ["edge", "table"])
 def test_fingerprints_of_a_text_its_edit_and_the_next(spark, which):
     docs = edge.documents(spark).where("doc_id is not null and doc_id <> 16") if which == "edge" else spark.read.parquet(f"{edge.SF_DIR}/documents.parquet")
