@@ -103,14 +103,21 @@ def text_folder(t):
     return path
 
 
+def bounded_text_files(t, rows=100_000):
+    """The documents as text files of at most ``rows`` documents, many per source, written in parallel in a new folder."""
+    path = scratch_path(t.spark, "texts")
+    t.documents.select("source", "text").write.option("maxRecordsPerFile", rows).partitionBy("source").text(path)
+    return path
+
+
 def source_of(path):
     return F.regexp_extract(path, r"/source=([^/]*)/[^/]+$", 1).alias("source")
 
 
 @query("S5_list_files", "SELECT source, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY source")
 def _(t):
-    files = R.list_images(t.spark, text_folder(t), suffixes=("txt",))
-    return files.select(source_of("path"), "size")
+    files = R.list_images(t.spark, bounded_text_files(t), suffixes=("txt",))
+    return files.select(source_of("path"), "size").groupBy("source").agg(F.sum("size").alias("size"))
 
 
 @query(
