@@ -61,7 +61,8 @@ def plain_alike(rows, similar=0.8):
 
 @pytest.mark.parametrize("chunk", [8, 1024])
 def test_pipeline_near_duplicates_against_all_jaccard_pairs(spark, chunk):
-    """Table rows, edited copies around the threshold, chains of edits, and a crowd of copies of one text."""
+    """Table rows, edited copies around the threshold, chains of edits, a crowd of copies of one text, and a crowd that is
+    similar, but not linked."""
     rng = random.Random(5)
     table = spark.read.parquet(f"{edge.SF_DIR}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r["doc_id"], r["text"]) for r in table if r["text"]]
@@ -80,6 +81,8 @@ def test_pipeline_near_duplicates_against_all_jaccard_pairs(spark, chunk):
         for _ in range(3):
             texts.append(chain)
             chain = edit(chain, rng.randint(1, 4))
+    other = [f"o{rng.randrange(5000)}" for _ in range(200)]
+    texts += [edit(other, rng.randint(7, 10)) for _ in range(60)]
     rows += [(start + i, " ".join(w)) for i, w in enumerate(texts)] + [(start + 900, ""), (start + 901, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = plain_alike(rows)
@@ -87,6 +90,24 @@ def test_pipeline_near_duplicates_against_all_jaccard_pairs(spark, chunk):
     assert alike.keep_one(docs.limit(0)).count() == 0
 
 
+def test_common_shingles_and_forest():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(30)]
+    expected = [[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets[:10]]
+    for columns in (7, 2048):
+        assert alike.common_shingles(sets[:10], sets[10:], columns).tolist() == expected
+    assert alike.common_shingles([], sets).shape == (0, 30)
+    for n in (2, 5, 40):
+        linked = rng.random((n, n)) < 1.2 / n
+        linked |= linked.T
+        everyone, root = np.arange(n), rng.integers(0, n, n)
+        links = alike.forest(linked, everyone, everyone, root)
+        both = {i: np.flatnonzero(linked[i]).tolist() + np.flatnonzero(root == root[i]).tolist() for i in range(n)}
+        tree = {i: [j for p in links for j in p if i in p] + np.flatnonzero(root == root[i]).tolist() for i in range(n)}
+        assert edge.components(range(n), tree) == edge.components(range(n), both)
+        assert len(links) <= len(set(root.tolist())) - 1 and all(linked[i, j] for i, j in links)
+
+
 def test_simhash_links_lose_nothing(spark):
     """Random fingerprints with planted neighbours, and one crowded cluster that is dealt into chunk pairs."""
     rng = random.Random(3)
