@@ -65,7 +65,7 @@ class Model:
         """Main language, score, proportions, and whether the languages explain the text (uniform noise does not)."""
         found = grams(text)
         if found is None or not self.names:
-            return UNKNOWN, 0.0, {}, False
+            return UNKNOWN, 0.0, {}, found is not None
         buckets, counts = found
         likelihood, n = self.probability[:, buckets], counts.sum()
         single = np.log(likelihood) @ counts
@@ -130,7 +130,8 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
     """The ``carry`` columns of every row of ``docs``, with held_out, lang_pred, score, shares (map), known.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. ``known`` is
-    false where uniform noise explains a text of some length better than the learned languages do. Very short texts lean on the languages' frequencies;
+    false for those without a letter, and where uniform noise explains a text of some length better than the learned
+    languages do; if nothing was learned, only for the former. Very short texts lean on the languages' frequencies;
     ties go to the first name. Repeated rows and null ids keep their rows; a null id is not held out. Other columns play
     no part; an empty table gives no rows.
     """
@@ -147,8 +148,10 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a language learned from ``docs``: no letterless texts, none that is closer to noise."""
-    inner = docs.select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)), "doc_id", "text")
+    """The rows of ``docs`` in a language learned from ``docs``: no null or letterless texts, none that is closer to noise.
+
+    If ``docs`` has no label to learn from (none at all, or only on held-out rows), only null and letterless texts go.
+    """
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)), "doc_id", "text")
     found = identify(inner, train(docs), tuple(f"__c{i}" for i in range(len(docs.columns))))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & F.col("known"))
-    return kept.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return found.where("known").select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))

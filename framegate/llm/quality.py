@@ -206,12 +206,15 @@ def feature_rows(docs: DataFrame, *kept: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out (a bounded sample, by the hash of doc_id).
 
-    Labels other than 0 and 1 are no labels. The sample is the only side that is broadcast and collected.
+    Labels other than 0 and 1 are no labels. The sample is the only side that is broadcast and collected; of rows that
+    repeat a labelled doc_id, one text of the smallest hash is learned from.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = feature_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "doc_id", "quality")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    labelled = labelled.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
+    found = feature_rows(labelled, "doc_id", "quality")
     table = found.select("doc_id", "quality", "x").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(table["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, table["quality"].to_numpy(float))

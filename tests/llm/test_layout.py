@@ -155,6 +155,27 @@ def test_sharding_edge_cases(spark, tmp_path):
     assert {r["shard"] for r in sharding.shard_documents(docs, shards=1).collect()} == {0}
 
 
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ["draw", "bucket", "pos", "base", "row", "place", "part", "parts", "cell", "one", "rows", "n", "bytes", "a.b", "Slot"]
+    data = [(i, f"text {i}", *(f"{n}{i}" for n in names)) for i in range(50)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", *names])
+    found = sharding.shard_documents(docs, shards=2, bucket_bytes=100)
+    assert found.columns == ["doc_id", "text", *names[:-1], "size", "shard", "slot", "grown_shard"]
+    assert sorted(tuple(r)[: len(names) + 1] for r in found.collect()) == [r[:-1] for r in data]
+
+
+def test_sharding_hangs_on_content_and_splits_crowds(spark):
+    rows = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text")
+    places = []
+    for parts in (1, 7):
+        found = sharding.shard_documents(rows.repartition(parts), bucket_bytes=20_000)
+        places.append({(r["doc_id"], r["shard"], r["slot"]) for r in found.collect()})
+    assert places[0] == places[1]
+    crowd = spark.createDataFrame([(7, "again and again")] * 3000, "doc_id long, text string")
+    found = sharding.shard_documents(crowd, bucket_bytes=1000)
+    assert sorted(r["slot"] for r in found.collect()) == list(range(3000))
+
+
 def test_sharding_is_native(spark):
     plan = QUERIES["op10_sharding"](spark, TABLES)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -45,6 +45,9 @@ def test_language_mixture_and_edge_cases(spark):
     assert set(model.infer(text["fr"])[2]) == {"fr"}
     for nothing in (None, "", "12 34 !! \n", "² ½"):
         assert model.infer(nothing) == ("und", 0.0, {}, False)
+    clean = [(i, edge.prose(i, 80), None) for i in range(20)] + [(20, None, None), (21, "12 !", None)]
+    unlabelled = spark.createDataFrame(clean, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.keep_identified(unlabelled).collect()) == list(range(20))
     assert not model.infer("漢字仮名交じり文の文章です。" * 20)[3]
     docs = edge.documents(spark)
     found = edge.collected(language.identify(docs, language.train(docs)))
@@ -89,6 +92,9 @@ def test_quality_edge_cases(spark):
     assert len(found) == len(edge.rows()) and all(0 <= r["score"] <= 1 for r in found)
     nothing = edge.collected(quality.classify(docs, quality.train(docs, labels.limit(0))))
     assert {r["score"] for r in nothing} == {0.5}
+    repeated = docs.unionByName(docs.where("doc_id = 13")).unionByName(docs.where("doc_id = 13"))
+    once, again = quality.train(docs, labels), quality.train(repeated, labels)
+    assert edge.collected(quality.classify(docs, once)) == edge.collected(quality.classify(docs, again))
     assert quality.classify(docs.limit(0), quality.Model()).count() == 0
     assert quality.features("") == [0.0] * len(quality.FEATURES)
     assert len(quality.features("x" * 100 + " \n")) == len(quality.FEATURES)
