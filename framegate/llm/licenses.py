@@ -8,8 +8,6 @@ library's bounded-error matching verifies them and reports spans and edits.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
-
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -40,7 +38,26 @@ NOTICES = (
     ("permission to use copy modify and or distribute", "isc", 4),
     ("released into the public domain", "public-domain", 3),
     ("all rights reserved", "all-rights-reserved", 2),
+    ("gnu affero general public license", "agpl", 3),
+    ("gnu free documentation license", "gfdl", 3),
+    ("boost software license", "bsl", 2),
+    ("academic free license", "afl", 2),
+    ("artistic license", "artistic", 1),
+    ("common development and distribution license", "cddl", 4),
+    ("european union public licence", "eupl", 3),
+    ("microsoft public license", "ms-pl", 2),
+    ("python software foundation license", "psf", 3),
+    ("do what the fuck you want to public license", "wtfpl", 4),
+    ("this is free and unencumbered software", "unlicense", 3),
+    ("this software is provided as is without any express or implied warranty", "zlib", 6),
+    ("neither the name of the copyright holder nor the names of its contributors", "bsd-3-clause", 6),
+    ("sil open font license", "ofl", 2),
+    ("creative commons zero", "cc0", 2),
+    ("no rights reserved", "cc0", 1),
+    ("licensed under cc by nd", "cc-by-nd", 2),
 )
+#: Windows of a text whose results are remembered at a time, for texts that repeat themselves.
+WINDOWS = 10_000
 SPANS = "spans array<struct<label:string,first:long,last:long,edits:int,score:double>>"
 #: Upper case to lower; everything that is no word character (0-9, a-z, beyond ASCII) to a space.
 FOLD = bytes(
@@ -92,32 +109,27 @@ def exact_places(line: str, phrase: str) -> list[int]:
     return out
 
 
-def _matches(pattern: regex.Pattern, line: str, lo: int, hi: int) -> Iterator[regex.Match]:
-    """The best match of a window, and in the same way those of what is left of it on either side."""
-    open_parts = [(lo, hi)]
-    while open_parts:
-        lo, hi = open_parts.pop()
-        if lo < hi and (found := pattern.search(line, lo, hi)) and found.start() < found.end():
-            yield found
-            open_parts += [(found.end(), hi), (lo, found.start())]
-
-
 def fuzzy_spans(line: str, notices: tuple[tuple[str, str, int], ...]) -> list[tuple[str, int, int, int, float]]:
-    """(label, first character, end, edits, score) of the matches of every notice."""
+    """(label, first character, end, edits, score) of the best match at every place that holds a piece of a notice.
+
+    A piece at ``p`` with offset ``o`` means that a match starts within ``k`` of ``p - o`` and ends within ``k`` of the
+    notice's length behind it, so every place is verified in a window of its own, whatever stands beside it.
+    """
     out = []
     for notice, label, edits, parts, pattern in _compiled(notices):
-        windows: list[list[int]] = []
-        size = len(notice)
-        for at in sorted(p - offset for offset, part in parts for p in _places(line, part)):
-            lo, hi = max(0, at - 2 * edits), min(len(line), at + size + 2 * edits)
-            if windows and lo <= windows[-1][1]:
-                windows[-1][1] = max(hi, windows[-1][1])
-            else:
-                windows.append([lo, hi])
-        for lo, hi in windows:
-            for found in _matches(pattern, line, lo, hi):
-                wrong = sum(found.fuzzy_counts)
-                out.append((label, found.start(), found.end(), wrong, 1 - wrong / size))
+        size, found = len(notice), {}
+        known: dict[str, tuple[int, int, int] | None] = {}
+        for at in sorted({p - offset for offset, part in parts for p in _places(line, part)}):
+            lo = max(0, at - edits)
+            window = line[lo : at + size + edits]
+            if window not in known:
+                match = pattern.search(window)
+                if len(known) >= WINDOWS:
+                    known.clear()
+                known[window] = (*match.span(), sum(match.fuzzy_counts)) if match and match.end() > match.start() else None
+            if (best := known[window]) is not None:
+                found[lo + best[0], lo + best[1]] = best[2]
+        out += [(label, lo, hi, wrong, 1 - wrong / size) for (lo, hi), wrong in found.items()]
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 

@@ -168,6 +168,41 @@ def test_the_best_of_overlapping_notices_counts():
     assert [(s["first"], s["last"]) for s in found[7]] == [(0, 4), (7, 10)]
 
 
+def plain_spans(line, notices):
+    """The best match that starts at each character, for every notice; of those that overlap, the best."""
+    found = []
+    for notice, label, edits in notices:
+        pattern = regex.compile(f"(?be)(?:{notice}){{e<={edits}}}")
+        for at in range(len(line)):
+            m = pattern.match(line, at, min(len(line), at + len(notice) + edits))
+            if m and m.end() > m.start():
+                wrong = sum(m.fuzzy_counts)
+                found.append((label, m.start(), m.end(), wrong, 1 - wrong / len(notice)))
+    return licenses.best_spans(found)
+
+
+def test_spans_equal_a_search_at_every_place():
+    rng = random.Random(11)
+    chosen = rng.sample(licenses.NOTICES, 6) + [n for n in licenses.NOTICES if "cc by" in n[0]]
+    for _ in range(25):
+        parts = []
+        for _ in range(6):
+            notice, _, edits = rng.choice(chosen)
+            chars = list(notice)
+            for _ in range(rng.randint(0, edits)):
+                chars[rng.randrange(2, len(chars) - 2)] = rng.choice("qxz")
+            parts += ["".join(chars), rng.choice(["", "or", "see", edge.prose(rng.randrange(99), 3)])]
+        line = licenses.folded(" ".join(parts))
+        shown = [[(s[0], line[s[1] : s[2]].strip(), s[3]) for s in found] for found in (licenses.best_spans(licenses.fuzzy_spans(line, tuple(chosen))), plain_spans(line, chosen))]
+        assert shown[0] == shown[1]
+
+
+def test_near_notices_side_by_side_are_all_found():
+    for n in (10, 1000, 40_000):
+        spans = licenses.scan("mozila publc license or " * n)[7]
+        assert [(s["label"], s["first"], s["edits"]) for s in spans] == [("mpl", 4 * i, 2) for i in range(n)]
+
+
 def test_near_notices_get_labels(spark):
     docs = spark.createDataFrame([(1, "Released under the MTI Licence"), (2, "All rights reservd."), (3, "nothing here")], "doc_id long, text string")
     found = {r["doc_id"]: r for r in licenses.find_licenses(docs).collect()}
