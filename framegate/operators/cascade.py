@@ -1,22 +1,25 @@
 """The policy cascade: current winner to next winner, stage by stage, with lineage.
 
-The state has one row per frame: the ``current`` item, the best item of every pool, the pool that is active,
-the pools that are open, and what happened so far. Most stages only look at that row, so they are column
-expressions in one pass; only the selectors and arbiters meet the candidate pool, by frame, after the state is
-checkpointed. A policy is a mapping from stage name to its settings, in the manifest's key format.
+The pool is written once, bucketed by frame (``write_pool``), with a number per item that keeps the order of positions.
+The state has one row per frame: the ``current`` item, the best item of every pool while stages still switch to those,
+the pool that is active, the pools that are open, and what happened so far. Most stages only look at that row, so they are
+column expressions in one pass; only the selectors and arbiters meet the pool, by frame. State and pool have the same
+buckets, so no such join shuffles the pool again, and choices are made on item numbers; a whole item is read only for the
+frame it was chosen for. A policy is a mapping from stage name to its settings, in the manifest's key format.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framegate.functions import rules as R
 from framegate.functions.keys import candidate_source_group
 from framegate.operators.joins import select_by_rules
 from framegate.operators.ranking import top_per_key
-from framegate.runtime import cut
+from framegate.runtime import scratch_path
 
 ITEM_TYPE = (
     "struct<candidate_id:string,candidate_source:string,selector_pool:string,score:double,candidate_score:double,"
@@ -24,8 +27,10 @@ ITEM_TYPE = (
 )
 LINEAGE_TYPE = "array<struct<stage:string,candidate_id:string,candidate_source:string,score:double>>"
 FIELDS = frozenset(
-    "candidate_id candidate_source selector_pool score candidate_score pred_pixels mask_pixels extra".split()
+    ("candidate_id", "candidate_source", "selector_pool", "score", "candidate_score", "pred_pixels", "mask_pixels", "extra")
 )
+# The number that stands for an item; it grows with the positions within a frame.
+ITEM = ["item_no"]
 # Pools whose best item a stage can switch to.
 WINNER_POOLS = ("primary", "fallback", "rescue", "secondary_rescue", "fallback_rescue", "reticle_fill_rescue")
 # External stages in the order they run, with the id their winner gets.
@@ -66,17 +71,59 @@ def as_items(pool: DataFrame, position: Sequence[str]) -> DataFrame:
     return pool.select("frame_id", item.alias("candidate"), *position)
 
 
-def initial_state(pool: DataFrame, position: Sequence[str], externals: DataFrame | None = None) -> DataFrame:
-    """One row per frame that has a primary candidate, from one aggregation over the pool.
+def _bucketed(df: DataFrame, buckets: int, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table with that many buckets by frame and read it back: it survives lost executors, only the
+    columns asked for are read, and joins by frame with a table of as many buckets move nothing."""
+    spark = df.sparkSession
+    name = f"framegate_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, "frame_id").sortBy("frame_id").option("path", scratch_path(spark, name))
+    (writer.partitionBy(folder) if folder else writer).saveAsTable(name)
+    return spark.table(name)
+
+
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_pool(items: DataFrame, position: Sequence[str]) -> DataFrame:
+    """The items as a table with as many buckets as there are shuffle partitions, a folder per pool, and ``item_no`` in
+    place of the positions. This is the only time the whole pool moves between tasks."""
+    n, order = _buckets(items.sparkSession), ["frame_id", *position]
+    placed = items.repartition(n, "frame_id").sortWithinPartitions(*order).withColumn(ITEM[0], F.monotonically_increasing_id())
+    return _bucketed(placed.select("frame_id", ITEM[0], "candidate", F.col("candidate.selector_pool").alias("pool")), n, "pool")
+
+
+def _settled(state: DataFrame) -> DataFrame:
+    return _bucketed(state, _buckets(state.sparkSession))
+
+
+def _whole(picks: DataFrame, pool: DataFrame) -> DataFrame:
+    """The picks (frame_id, item_no, …; one per frame) with their ``candidate``, read from the pool's own buckets.
+
+    Frames are the only join key, because Spark would shuffle both sides for a second one.
+    """
+    items = pool.select("frame_id", F.col(ITEM[0]).alias("_no"), "candidate")
+    chosen = F.col("_no").between(F.col(ITEM[0]), F.col(ITEM[0]))
+    return items.join(picks, "frame_id").filter(chosen).drop("_no", *ITEM)
+
+
+def best_items(pool: DataFrame, name: str) -> DataFrame:
+    """The first of the best items of one pool for every frame, as the column ``name``; chosen on narrow rows."""
+    own = pool.filter(F.col("pool") == name)
+    narrow = own.select("frame_id", *ITEM, F.col("candidate.score").alias("score"))
+    best = top_per_key(narrow, ["frame_id"], [F.desc("score"), *ITEM]).select("frame_id", *ITEM)
+    return _whole(best, own).select("frame_id", F.col("candidate").alias(name))
+
+
+def initial_state(pool: DataFrame, externals: DataFrame | None = None) -> DataFrame:
+    """One row per frame that has a primary candidate, from the table ``write_pool`` made.
 
     ``externals`` has ``(frame_id, band, pred_area, prob_mean)``: at most one row per frame and external stage.
     """
-    pool_of, score = F.col("candidate.selector_pool"), F.col("candidate.score")
-    order = F.struct((-score).alias("s"), *position)
-    best = pool.groupBy("frame_id").agg(
-        *[F.min_by("candidate", F.when(pool_of == p, order)).alias(p) for p in WINNER_POOLS]
-    )
-    state = best.filter(F.col("primary").isNotNull()).select(
+    best = best_items(pool, WINNER_POOLS[0])
+    for name in WINNER_POOLS[1:]:
+        best = best.join(best_items(pool, name), "frame_id", "left")
+    state = best.select(
         "*", F.col("primary").alias("current"), F.lit("primary").alias("active_pool"),
         F.array(F.lit("primary")).alias("open_pools"), F.array().cast(LINEAGE_TYPE).alias("lineage"),
     )
@@ -125,20 +172,17 @@ def _switch(state: DataFrame, condition: Column, item: Column, stage: str, keep:
     ``keep`` names the pool column that holds the same item, so that its marks stay with it.
     """
     marked = _mark(item, [stage], {f"pre_{stage}_score": CURRENT["score"]})
-    ready = state.withColumn("_go", F.coalesce(condition & item.isNotNull(), F.lit(False)))
-    go = F.col("_go")
-    ready = ready.withColumns(
-        {
-            "_next": F.when(go, marked),
-            "lineage": F.when(go, F.array_append("lineage", _step(stage))).otherwise(F.col("lineage")),
-        }
-    )
-    changes = {"current": F.when(go, F.col("_next")).otherwise(F.col("current"))}
+    # The condition is repeated rather than kept in a column: a projection less copies the row once less.
+    go = F.coalesce(condition & item.isNotNull(), F.lit(False))
+    changes = {
+        "current": F.when(go, marked).otherwise(F.col("current")),
+        "lineage": F.when(go, F.array_append("lineage", _step(stage))).otherwise(F.col("lineage")),
+    }
     if keep is not None:
-        changes[keep] = F.when(go, F.col("_next")).otherwise(F.col(keep))
+        changes[keep] = F.when(go, marked).otherwise(F.col(keep))
     if pool is not None:
         changes["active_pool"] = F.when(go, F.lit(pool)).otherwise(F.col("active_pool"))
-    return ready.withColumns(changes).drop("_go", "_next")
+    return state.withColumns(changes)
 
 
 def fallback(state: DataFrame, cfg: dict) -> DataFrame:
@@ -267,9 +311,7 @@ def _take(
     return _switch(joined, F.col("candidate").isNotNull(), marked, stage).drop(*[c for c in picks.columns if c != "frame_id"])
 
 
-def selector(
-    state: DataFrame, rules: Sequence[R.Rule], pool: DataFrame, position: Sequence[str], stage: str = "candidate_selector_rescue"
-) -> DataFrame:
+def selector(state: DataFrame, rules: Sequence[R.Rule], pool: DataFrame, stage: str = "candidate_selector_rescue") -> DataFrame:
     """Rules without a pool search the active pool first; rules with a pool then search the open pools."""
     active = [r for r in rules if "candidate_pool" not in r and "candidate_pools" not in r]
     pooled = [r for r in rules if r not in active]
@@ -277,22 +319,21 @@ def selector(
         return state
     candidate_pool = F.col("candidate.selector_pool")
     allowed = [candidate_pool == F.col("active_pool")] * len(active) + [F.array_contains("open_pools", candidate_pool)] * len(pooled)
-    state = cut(state)
+    state = _settled(state)
     current = state.select("frame_id", "current", "active_pool", "open_pools")
-    picks = select_by_rules(current, pool, [*active, *pooled], "frame_id", position, FIELDS, FIELDS, allowed)
+    picks = select_by_rules(current, pool, [*active, *pooled], "frame_id", ITEM, FIELDS, FIELDS, allowed, narrow=True)
     rule = F.col("rule_no").cast("double")
-    return _take(state, picks.select("frame_id", "candidate", "rule_no"), stage, {f"{stage}_rule": rule}, rule > len(active))
+    return _take(state, _whole(picks, pool), stage, {f"{stage}_rule": rule}, rule > len(active))
 
 
 def arbiter(
-    state: DataFrame, cfg: object, pool: DataFrame, position: Sequence[str],
-    probability: Callable[[R.Item, R.Item], Column], stage: str = "rescue_arbiter",
+    state: DataFrame, cfg: object, pool: DataFrame, probability: Callable[[R.Item, R.Item], Column], stage: str = "rescue_arbiter"
 ) -> DataFrame:
     """Learned replacement: the first setting whose most probable eligible candidate reaches its threshold."""
     configs = _configs(cfg)
     if not configs:
         return state
-    state = cut(state)
+    state = _settled(state)
     candidate = R.Item("candidate", FIELDS)
     left = state.select("frame_id", "current", "open_pools").filter(R.any_of([R.current_side(CURRENT, c) for c in configs]))
     right = pool.filter(R.any_of([R.candidate_side(candidate, c, source_required=False) for c in configs]))
@@ -305,13 +346,13 @@ def arbiter(
     ]
     met = left.join(right, "frame_id").filter(F.array_contains("open_pools", F.col("candidate.selector_pool")))
     scored = met.select(
-        "frame_id", "candidate", *position, probability(CURRENT, candidate).alias("p"),
+        "frame_id", *ITEM, probability(CURRENT, candidate).alias("p"),
         F.explode(F.array_compact(F.array(*fits))).alias("config_no"),
     )
-    best = top_per_key(scored, ["frame_id", "config_no"], [F.desc("p"), *position])
+    best = top_per_key(scored, ["frame_id", "config_no"], [F.desc("p"), *ITEM])
     reached = best.filter(F.col("p") >= R.by_number(F.col("config_no") + 1, [F.lit(float(c["threshold"])) for c in configs]))
-    first = top_per_key(reached, ["frame_id"], ["config_no"]).select("frame_id", "candidate", "p")
-    return _take(state, first, stage, {f"{stage}_probability": F.col("p")})
+    first = top_per_key(reached, ["frame_id"], ["config_no"]).select("frame_id", *ITEM, "p")
+    return _take(state, _whole(first, pool), stage, {f"{stage}_probability": F.col("p")})
 
 
 def external(state: DataFrame, cfg: dict[str, dict]) -> DataFrame:
@@ -360,16 +401,15 @@ def begin_rejects(state: DataFrame) -> DataFrame:
 
 def _reject(state: DataFrame, condition: Column, stage: str) -> DataFrame:
     """Empty the mask and keep the winner, with its size before the reject."""
-    ready = state.withColumn("_go", F.coalesce(condition, F.lit(False)))
-    go = F.col("_go")
+    go = F.coalesce(condition, F.lit(False))
     marked = _mark(F.col("current"), [stage], {f"pre_{stage}_pred_pixels": F.col("final_pixels").cast("double")})
-    return ready.withColumns(
+    return state.withColumns(
         {
             "lineage": F.when(go, F.array_append("lineage", _step(stage))).otherwise(F.col("lineage")),
             "current": F.when(go, marked).otherwise(F.col("current")),
             "final_pixels": F.when(go, F.lit(0).cast("bigint")).otherwise(F.col("final_pixels")),
         }
-    ).drop("_go")
+    )
 
 
 def reject_final_fallback(state: DataFrame, cfg: dict) -> DataFrame:
@@ -461,13 +501,13 @@ def reject_veto(state: DataFrame, cfg: object) -> DataFrame:
     return _reject(state, (F.col("final_pixels") > 0) & R.any_of(hits), "image_final_veto")
 
 
-def post_final(state: DataFrame, rules: Sequence[R.Rule], pool: DataFrame, position: Sequence[str]) -> DataFrame:
+def post_final(state: DataFrame, rules: Sequence[R.Rule], pool: DataFrame) -> DataFrame:
     """Last selector: for empty masks, and for rules that allow it also for others; the candidate brings its mask."""
     noted = F.col("current").withField("extra", _noted(CURRENT["extra"], "final_pred_pixels", F.col("final_pixels").cast("double")))
     # A rule that does not allow a remaining mask asks for none.
     bounded = [r if r.get("allow_nonzero_final_mask") else {**r, "max_current_final_pred_pixels": 0} for r in rules]
     stage = "post_final_candidate_selector_rescue"
-    after = selector(state.withColumn("current", noted), bounded, pool, position, stage)
+    after = selector(state.withColumn("current", noted), bounded, pool, stage)
     replaced = R.Item("current", FIELDS).has_flag(stage)
     return after.withColumn("final_pixels", F.when(replaced, CURRENT["mask_pixels"]).otherwise(F.col("final_pixels")))
 
@@ -481,11 +521,15 @@ STAGES = (
 )
 
 
+# Columns that no stage after the named one looks at; the state goes on without them.
+LAST_USE = {"reticle_fill_rescue": WINNER_POOLS, "external": ("external",), "reject_context": ("context",)}
+
+
 def run(
-    state: DataFrame, pool: DataFrame, policy: dict, position: Sequence[str],
+    state: DataFrame, pool: DataFrame, policy: dict,
     probability: Callable[[R.Item, R.Item], Column] | None = None, refined: DataFrame | None = None, last: str | None = None,
 ) -> DataFrame:
-    """Apply the stages a policy sets, in order, up to and including ``last``."""
+    """Apply the stages a policy sets, in order, up to and including ``last``; ``pool`` is the table ``write_pool`` made."""
     jobs: dict[str, Callable[[DataFrame, object], DataFrame]] = {
         "fallback": fallback,
         "rescue": rescue,
@@ -499,12 +543,12 @@ def run(
         "micro_line_pool": micro_line_pool,
         "colored_blob_pools": colored_blob_pools,
         "selector_pools": open_pools,
-        "selector_rules": lambda s, c: selector(s, c, pool, position),
-        "arbiter": lambda s, c: arbiter(s, c, pool, position, probability),
+        "selector_rules": lambda s, c: selector(s, c, pool),
+        "arbiter": lambda s, c: arbiter(s, c, pool, probability),
         "external": external,
         "post_external_pools": open_pools,
-        "post_external_rules": lambda s, c: selector(s, c, pool, position, "post_external_candidate_selector_rescue"),
-        "post_external_arbiter": lambda s, c: arbiter(s, c, pool, position, probability, "post_external_rescue_arbiter"),
+        "post_external_rules": lambda s, c: selector(s, c, pool, "post_external_candidate_selector_rescue"),
+        "post_external_arbiter": lambda s, c: arbiter(s, c, pool, probability, "post_external_rescue_arbiter"),
         "refine": lambda s, c: s if refined is None else refine(s, refined),
         "reject_final_fallback": reject_final_fallback,
         "reject_source_area": reject_source_area,
@@ -512,7 +556,7 @@ def run(
         "reject_pre_final_fallback": reject_pre_final_fallback,
         "reject_context": reject_context,
         "reject_veto": reject_veto,
-        "post_final_rules": lambda s, c: post_final(s, c, pool, position),
+        "post_final_rules": lambda s, c: post_final(s, c, pool),
     }
     for name in STAGES:
         if name == "reject_final_fallback":
@@ -521,6 +565,7 @@ def run(
             state = jobs[name](state, policy[name])
         if name == last:
             break
+        state = state.drop(*LAST_USE.get(name, ()))
     return state
 
 

@@ -130,9 +130,9 @@ def refined_masks(t):
 
 
 def cascade(t, last=None):
-    pool = pool_items(t)
+    pool = C.write_pool(pool_items(t), AT)
     frame = F.col("frame_id")
-    state = C.initial_state(pool, AT, externals(t)).withColumns(
+    state = C.initial_state(pool, externals(t)).withColumns(
         {
             "context": F.create_map(
                 F.lit("mask_white_fraction"), frame % 10 / 10.0, F.lit("candidate_count"), (frame % 7).cast("double")
@@ -140,7 +140,7 @@ def cascade(t, last=None):
             "veto_p": frame * 37 % 100 / 100.0, "veto_q": frame * 53 % 100 / 100.0,
         }
     )
-    return C.run(state, pool, POLICY, AT, probability, refined_masks(t), last)
+    return C.run(state, pool, POLICY, probability, refined_masks(t), last)
 
 
 # ---- the same stages as layered SQL -------------------------------------------------------------------------
@@ -176,7 +176,7 @@ class _Layers:
     def add(self, condition, **replace):
         name = f"s{len(self.ctes) + 1}"
         new = ", ".join(f"CASE WHEN go THEN {v} ELSE {k} END AS {k}" for k, v in replace.items())
-        self.ctes.append(f"{name} AS (SELECT * EXCLUDE (go) REPLACE ({new}) FROM (SELECT *, coalesce({condition}, false) AS go FROM {self.at}))")
+        self.ctes.append(f"{name} AS MATERIALIZED (SELECT * EXCLUDE (go) REPLACE ({new}) FROM (SELECT *, coalesce({condition}, false) AS go FROM {self.at}))")
         self.at = name
 
     def open(self, condition, pool):

@@ -257,9 +257,9 @@ def test_selector_rule_skips_the_current_item(spark):
     flat = spark.createDataFrame(data, "frame_id string, candidate_id string, selector_pool string, score double, pos int").withColumns(
         {"candidate_source": F.lit("white_blob"), "candidate_score": F.lit(0.0), "pred_pixels": F.lit(5), "features": F.create_map().cast("map<string,double>")}
     )
-    pool = cascade.as_items(flat, ["pos"])
-    state = cascade.initial_state(pool, ["pos"])
-    got = cascade.selector(state, [{"candidate_source": "white_blob"}], pool, ["pos"])
+    pool = cascade.write_pool(cascade.as_items(flat, ["pos"]), ["pos"])
+    state = cascade.initial_state(pool)
+    got = cascade.selector(state, [{"candidate_source": "white_blob"}], pool)
     out = cascade.report(got).first()
     assert out["candidate_id"] == "c1" and out["flags"] == ["candidate_selector_rescue"] and out["lineage"][0]["candidate_id"] == "c0"
 
@@ -288,7 +288,7 @@ def test_no_group_on_both_sides_of_a_holdout(spark):
 def item_rows(spark, data):
     names = "frame_id long, candidate_id string, candidate_source string, selector_pool string, score double, candidate_score double, pred_pixels long, pos int, heuristic_score double, confidence double"
     flat = spark.createDataFrame(data, names).withColumn("features", F.create_map(F.lit("ball_fill_fraction"), F.lit(0.5), F.lit("confidence"), F.lit(0.9)))
-    return cascade.as_items(flat, ["pos"])
+    return cascade.write_pool(cascade.as_items(flat, ["pos"]), ["pos"])
 
 
 @pytest.mark.parametrize(
@@ -303,22 +303,40 @@ def item_rows(spark, data):
 def test_rules_see_every_number_of_an_item(spark, rule, winner):
     """An item's own number goes before a feature of the same name; a missing one never matches."""
     pool = item_rows(spark, [(1, "a", "table_hough", "primary", 0.9, 0.0, 5, 0, 1.0, 0.1), (1, "b", "white_blob", "primary", 0.2, 0.0, 5, 1, 9.0, 0.2)])
-    state = cascade.selector(cascade.initial_state(pool, ["pos"]), [{"candidate_source": "white_blob", **rule}], pool, ["pos"])
+    state = cascade.selector(cascade.initial_state(pool), [{"candidate_source": "white_blob", **rule}], pool)
     assert cascade.report(state).first()["candidate_id"] == winner
 
 
 def test_pooled_rules_and_choosers_leave_their_flags(spark):
     data = [(1, "a", "table_hough", "primary", 0.9, 0.0, 5, 0, None, None), (1, "b", "white_blob", "fallback", 0.8, 0.0, 5, 1, None, None)]
     pool = item_rows(spark, data)
-    state = cascade.initial_state(pool, ["pos"]).withColumn("open_pools", F.array(F.lit("primary"), F.lit("fallback")))
+    state = cascade.initial_state(pool).withColumn("open_pools", F.array(F.lit("primary"), F.lit("fallback")))
     rule = {"candidate_source": "white_blob", "candidate_pool": "fallback"}
-    flags = cascade.report(cascade.selector(state, [rule], pool, ["pos"])).first()["flags"]
+    flags = cascade.report(cascade.selector(state, [rule], pool)).first()["flags"]
     assert set(flags) == {"candidate_selector_rescue", "pooled_candidate_selector_rescue"}
     for chosen, expected in ((True, {"fallback", "meta_selector"}), (False, set())):
-        after = cascade.fallback(cascade.initial_state(pool, ["pos"]).withColumn("use", F.lit(chosen)), {"chooser": "use"})
+        after = cascade.fallback(cascade.initial_state(pool).withColumn("use", F.lit(chosen)), {"chooser": "use"})
         assert set(cascade.report(after).first()["flags"]) == expected
 
 
+def test_the_pool_is_shuffled_once_and_items_are_never_aggregated(spark):
+    """After the pool is written no plan moves its items, and ties go to the first position."""
+    data = [(f, f"c{i}", "white_blob", p, 0.5, 0.0, 5, i, None, None) for f in range(40) for i, p in enumerate(["primary", "primary", "fallback"])]
+    pool = item_rows(spark, data)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = cascade.initial_state(pool)
+        after = cascade.selector(state, [{"candidate_source": "white_blob", "candidate_pool": "primary"}], pool)
+        for plan in (state, after):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in text and "Aggregate" not in text
+        assert {r["candidate_id"] for r in cascade.report(state).collect()} == {"c0"}
+        assert {r["candidate_id"] for r in cascade.report(after).collect()} == {"c1"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def harvested(spark, table):
     rows_ = spark.read.option("basePath", table).parquet(table)
     return sorted((r["id"], r["v"]) for r in rows_.collect())
