@@ -8,41 +8,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framegate.operators.pixels import mask_geometry
-from framegate.operators.ranking import keep_first, top_per_key
-from framegate.runtime import cut
+from framegate.operators.ranking import top_per_key
+from framegate.runtime import cut, stage, unstage
 
-SALTS = 16
 ROW_BITS = 31
 STEPS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys, id, label)`` with the smallest id of each component as its label.
+def contract(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Connected components of ``links(keys, a, b)``: one row ``(keys, node, root)`` per node that has a link.
 
-    ``edges`` has ``(keys, a, b)``. Every round takes the smallest neighbouring label and then the label's own
-    label, so long chains need a logarithmic number of rounds. The second step reads one row per label by very
-    many rows, so it is salted.
+    Every round, each node moves to the neighbour (or itself) whose hash of (round, node) is smallest, and the links
+    are contracted. The hash order changes each round, so a constant share of the nodes goes away in expectation, also on
+    paths and stars; components that are one node leave by themselves, and the links of the round before are deleted. All
+    steps are aggregates and joins on narrow rows; nothing is gathered per component. ``root`` is one node of the
+    component, the same for all its nodes.
     """
     keys = list(keys)
-    both = edges.select(*keys, "a", "b").unionAll(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.distinct())
-    state = cut(vertices.select(*keys, "id").distinct().withColumn("label", F.col("id")))
-    while True:
-        seen = both.join(state.select(*keys, F.col("id").alias("b"), "label"), [*keys, "b"])
-        near = seen.groupBy(*keys, F.col("a").alias("id")).agg(F.min("label").alias("_near"))
-        lower = state.join(near, [*keys, "id"], "left").withColumn("_low", F.least("label", "_near")).drop("_near")
-        lower = cut(lower)
-        targets = lower.select(*keys, "_low").distinct().withColumnRenamed("_low", "id")
-        jump = targets.join(lower.select(*keys, "id", F.col("_low").alias("_jump")), [*keys, "id"]).withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        )
-        salted = lower.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS)))
-        moved = salted.join(jump.withColumnRenamed("id", "_low"), [*keys, "_low", "_salt"])
-        state_next = cut(moved.select(*keys, "id", F.col("_jump").alias("label"), (F.col("_jump") != F.col("label")).alias("_moved")))
-        changed = state_next.filter("_moved").limit(1).count()
-        state = state_next.drop("_moved")
-        if not changed:
-            return state
+    moves: list[DataFrame] = []
+    links = stage(links.select(*keys, "a", "b").where("a <> b").distinct(), "links")
+    while not links.isEmpty():
+        turn = F.lit(len(moves))
+        both = links.union(links.select(*keys, "b", "a"))
+        reach = both.union(both.select(*keys, "a", F.col("a").alias("b")).distinct())
+        key = F.struct(F.xxhash64(turn, "b"), "b")
+        move = reach.groupBy(*keys, F.col("a").alias("node")).agg(F.min(key).getField("b").alias("to"))
+        move = stage(move, "moves")
+        left = move.select(*keys, F.col("node").alias("a"), F.col("to").alias("x"))
+        right = move.select(*keys, F.col("node").alias("b"), F.col("to").alias("y"))
+        moved = links.join(left, [*keys, "a"]).join(right, [*keys, "b"]).where("x <> y")
+        moves.append(move)
+        before = links
+        links = stage(moved.select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        unstage(before)
+    if not moves:
+        return links.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
+    found = moves[-1].select(*keys, "node", F.col("to").alias("root"))
+    for move in reversed(moves[:-1]):
+        nxt = found.select(*keys, F.col("node").alias("to"), "root")
+        found = move.join(nxt, [*keys, "to"], "left").select(*keys, "node", F.coalesce("root", "to").alias("root"))
+    return found
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, id, label)`` with the smallest id of each component as its label; ``edges`` has ``(keys, a, b)``."""
+    keys = list(keys)
+    found = stage(contract(edges, keys), "roots")
+    labels = found.groupBy(*keys, "root").agg(F.min("node").alias("label"))
+    named = found.join(labels, [*keys, "root"]).select(*keys, F.col("node").alias("id"), "label")
+    every = vertices.select(*keys, "id").distinct()
+    return every.join(named, [*keys, "id"], "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def pixel_components(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -231,49 +246,30 @@ def prune_spurs(pixels: DataFrame, keys: Sequence[str], rounds: int = 3) -> Data
     return current if done is None else done.unionByName(current)
 
 
-def keep_unconflicted(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Greedy choice by rank on a conflict graph, the same result as going through the nodes in order.
-
-    ``nodes`` has ``(keys, id, rank)``, ``edges`` has ``(keys, better, worse)``. Each round keeps every node that no
-    remaining better node conflicts with and drops what the kept ones cover.
-    """
-    keys = list(keys)
-    alive = cut(nodes)
-    links = cut(edges.select(*keys, "better", "worse").distinct())
-    kept: DataFrame | None = None
-    while True:
-        blocked = links.select(*keys, F.col("worse").alias("id")).distinct()
-        free = cut(alive.join(blocked, [*keys, "id"], "left_anti"))
-        kept = free if kept is None else kept.unionByName(free)
-        if free.isEmpty():
-            return kept
-        gone = links.join(free.select(*keys, F.col("id").alias("better")), [*keys, "better"], "left_semi")
-        gone = gone.select(*keys, F.col("worse").alias("id")).distinct()
-        alive = cut(alive.join(free.select(*keys, "id"), [*keys, "id"], "left_anti").join(gone, [*keys, "id"], "left_anti"))
-        left = alive.select(*keys, "id")
-        links = links.join(left.withColumnRenamed("id", "better"), [*keys, "better"], "left_semi")
-        links = cut(links.join(left.withColumnRenamed("id", "worse"), [*keys, "worse"], "left_semi"))
-
-
 def suppress_masks(masks: DataFrame, ranks: DataFrame, min_iou: float, max_masks: int) -> DataFrame:
     """Greedy mask suppression: in rank order keep a mask unless it overlaps a kept one by ``min_iou``, at most
     ``max_masks`` per frame. ``masks`` has ``(frame_id, mask_id, x, y)``, ``ranks`` has ``(frame_id, mask_id, rank)``.
 
-    Masks with the same pixels are reduced to the best ranked one first; only masks that share a pixel are paired.
+    The best mask left in a frame is always kept, so a round keeps it and meets its pixels with those of the others: a
+    pixel has one kept mask at most, so that join gives no more rows than there are pixels, however many masks lie over
+    one. There are at most ``max_masks`` rounds.
     """
-    spot = F.struct("x", "y")
-    shape = masks.groupBy("frame_id", "mask_id").agg(
-        F.count("*").alias("area"), F.sum(F.xxhash64(spot).cast("decimal(38,0)")).alias("_h1"),
-        F.sum(F.xxhash64(F.lit(7), spot).cast("decimal(38,0)")).alias("_h2"), F.min(spot).alias("_s"), F.max(spot).alias("_e"),
-    )
-    unique = keep_first(shape.join(ranks, ["frame_id", "mask_id"]), ["frame_id", "area", "_h1", "_h2", "_s", "_e"], ["rank"])
-    unique = cut(unique.select("frame_id", "mask_id", "rank", "area"))
-    px = masks.join(unique, ["frame_id", "mask_id"])
-    left = px.select("frame_id", "x", "y", F.col("mask_id").alias("better"), F.col("rank").alias("_r1"), F.col("area").alias("_a1"))
-    right = px.select("frame_id", "x", "y", F.col("mask_id").alias("worse"), F.col("rank").alias("_r2"), F.col("area").alias("_a2"))
-    shared = left.join(right, ["frame_id", "x", "y"]).filter(F.col("_r1") < F.col("_r2"))
-    pairs = shared.groupBy("frame_id", "better", "worse", "_a1", "_a2").agg(F.count("*").alias("_i"))
-    conflict = pairs.filter(F.col("_i") / (F.col("_a1") + F.col("_a2") - F.col("_i")) >= min_iou)
-    nodes = unique.select("frame_id", F.col("mask_id").alias("id"), "rank", "area")
-    kept = keep_unconflicted(nodes, conflict, ["frame_id"])
-    return top_per_key(kept, ["frame_id"], ["rank"], max_masks).withColumnRenamed("id", "mask_id")
+    pixels = stage(masks.select("frame_id", "mask_id", "x", "y"), "masks")
+    sizes = pixels.groupBy("frame_id", "mask_id").agg(F.count("*").alias("area"))
+    left = stage(sizes.join(ranks, ["frame_id", "mask_id"]).select("frame_id", "mask_id", "rank", "area"), "left")
+    kept: DataFrame | None = None
+    for _ in range(max_masks):
+        if left.isEmpty():
+            break
+        best = stage(top_per_key(left, ["frame_id"], ["rank"]), "best")
+        kept = best if kept is None else kept.unionByName(best)
+        spots = pixels.join(best, ["frame_id", "mask_id"]).select("frame_id", "x", "y", F.col("area").alias("_area"))
+        others = pixels.join(left, ["frame_id", "mask_id"]).join(spots, ["frame_id", "x", "y"])
+        shared = others.groupBy("frame_id", "mask_id", "area", "_area").agg(F.count("*").alias("_i"))
+        gone = shared.filter(F.col("_i") / (F.col("area") + F.col("_area") - F.col("_i")) >= min_iou)
+        out = gone.select("frame_id", "mask_id").union(best.select("frame_id", "mask_id"))
+        before = left
+        left = stage(left.join(out, ["frame_id", "mask_id"], "left_anti"), "left")
+        unstage(before)
+    unstage(pixels)
+    return left.limit(0) if kept is None else kept

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framegate.functions.geometry import clip, square_crop_box, whole
 from framegate.operators.ranking import keep_first, top_per_key
-from framegate.runtime import cut
+from framegate.runtime import stage
 
 CELL = 32
-SMALL_FRAME = 512
+# Side of a block of suppression, in largest radii of its frame.
+BLOCK = 64
 CIRCLE = ["frame_id", "cx", "cy", "radius"]
 
 
@@ -78,77 +81,86 @@ def boosted_score(score: Column, white: Column, neighbours: Column) -> Column:
     return clip(0.6 * score + 0.2 * F.least(one, white * 8.0) + 0.2 * F.least(one, neighbours / 4.0), 0.0, 1.0)
 
 
-def _fold_small(rows: DataFrame) -> DataFrame:
-    """Sequential suppression as a fold over the sorted rows of a frame; the caller bounds their number."""
-    fields = [c for c in rows.columns if c not in ("frame_id", "_rank")]
-    frames = rows.groupBy("frame_id").agg(
-        F.array_sort(F.collect_list(F.struct("_rank", *fields))).alias("_rows")
-    )
-
-    def step(kept, row):
-        def covers(k):
-            big = F.greatest(k["radius"], row["radius"], F.lit(1))
-            return squared_distance(k["cx"], k["cy"], row["cx"], row["cy"]) < big * big
-
-        return F.when(F.exists(kept, covers), kept).otherwise(F.array_append(kept, row))
-
-    none = F.filter("_rows", lambda _: F.lit(False))
-    return frames.select("frame_id", F.inline(F.aggregate("_rows", none, step))).select(*rows.columns)
-
+def _settle_blocks(rows: DataFrame, order: list[str]) -> DataFrame:
+    """What one look at every block decides: its own rows that are kept, and those that wait for another block.
 
-def _peel(rows: DataFrame, size: int) -> DataFrame:
-    """Suppression for crowded frames: keep every cell champion that beats its 3x3 cells, drop what it covers.
-
-    The cell side is at least the largest radius, so conflicts stay inside 3x3 cells. Each round moves one
-    row per cell, never the pairs inside a cell, and keeps at least the best row of every frame.
+    ``rows`` are a block's undecided rows (``own``) and the rows of other blocks that reach into it, kept or undecided.
+    Going through them in order, a row that a kept one covers is dropped, a row that conflicts with an undecided better one
+    waits, any other is kept. A task holds the kept and waiting rows of one block.
     """
-    alive = cut(in_cells(rows, "cx", "cy", size))
-    kept: DataFrame | None = None
-    grid = ["frame_id", "_gx", "_gy"]
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-
-    def spread(df):
-        wide = df.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
-        return wide.withColumns({"_gx": F.col("_gx") + F.col("_dx"), "_gy": F.col("_gy") + F.col("_dy")}).drop("_dx", "_dy")
-
-    while not alive.isEmpty():
-        champion = alive.groupBy(*grid).agg(F.min("_rank").alias("_best"))
-        around_best = spread(champion).groupBy(*grid).agg(F.min("_best").alias("_near"))
-        winners = (
-            alive.join(champion, grid).filter(F.col("_rank") == F.col("_best")).drop("_best")
-            .join(around_best, grid).filter(F.col("_rank") == F.col("_near")).drop("_near")
-        )
-        winners = cut(winners)
-        kept = winners if kept is None else kept.unionByName(winners)
-        reach = spread(winners.select(*grid, F.col("cx").alias("wx"), F.col("cy").alias("wy"), F.col("radius").alias("wr")))
-        big = F.greatest(F.col("radius"), F.col("wr"), F.lit(1))
-        covered = squared_distance(F.col("cx"), F.col("cy"), F.col("wx"), F.col("wy")) < big * big
-        hit = alive.join(reach, grid).filter(covered).select("frame_id", "_rank").distinct()
-        alive = cut(alive.join(hit, ["frame_id", "_rank"], "left_anti"))
-    return (rows.limit(0) if kept is None else kept.drop("_gx", "_gy"))
-
-
-def suppress_overlaps(
-    circles: DataFrame, order: Sequence[str | Column], small_frame: int = SMALL_FRAME
-) -> DataFrame:
+    block = ["frame_id", "_bx", "_by"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, kept, waiting = None, {}, {}
+        for batch in batches:
+            found, flags = [], []
+            columns = [batch.column(c).to_pylist() for c in (*block, "cx", "cy", "radius", "_wide", "own", "kept")]
+            for i, (frame, bx, by, x, y, r, wide, own, is_kept) in enumerate(zip(*columns)):
+                if (frame, bx, by) != current:
+                    current, kept, waiting = (frame, bx, by), {}, {}
+                gx, gy = int(x // wide), int(y // wide)
+                near = [(gx + dx, gy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+                def meets(grid):
+                    return any((a - x) ** 2 + (b - y) ** 2 < max(c, r, 1) ** 2 for g in near for a, b, c in grid.get(g, ()))
+
+                if own and meets(kept):
+                    continue
+                is_kept = is_kept or (own and not meets(waiting))
+                (kept if is_kept else waiting).setdefault((gx, gy), []).append((x, y, r))
+                if own:
+                    found.append(i)
+                    flags.append(is_kept)
+            names = [n for n in batch.schema.names if n != "kept"]
+            out = batch.select(names).take(pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(flags, pa.bool_())], [*names, "kept"])
+
+    columns = [c for c in rows.columns if c != "kept"]
+    placed = rows.select(*columns, "kept").repartition(*block).sortWithinPartitions(*block, *order)
+    return placed.mapInArrow(run, placed.schema)
+
+
+def suppress_overlaps(circles: DataFrame, order: Sequence[str | Column], block: int = BLOCK) -> DataFrame:
     """Greedy non-maximum suppression per frame: best first, drop what lies within the larger radius.
 
-    Exact copies of a geometry are reduced to their first row up front (the later ones can never survive).
-    Frames with few circles are folded in one pass; crowded frames are peeled cell by cell. The order is
-    total within a frame, so both give the sequential result.
+    Exact copies of a geometry are reduced to their first row up front (the later ones can never survive). A frame is cut
+    to blocks of ``block`` times its largest radius. In every round each block settles all rows whose better neighbours
+    are known; only rows that are undecided or newly kept travel on, to the blocks they reach into, and settled blocks
+    are not looked at again. Most frames are one block and done at once; the rounds of a larger one are as many as the
+    blocks that its longest chain of conflicts crosses. The order is total within a frame, so the result is the
+    sequential one. Circles without a place or radius conflict with nothing.
     """
     columns = circles.columns
+    names = [f"_o{i}" for i in range(len(order))]
     unique = keep_first(circles, CIRCLE, order)
-    ranked = cut(unique.withColumn("_rank", F.struct(*[c if isinstance(c, Column) else F.col(c) for c in order])))
-    sizes = ranked.groupBy("frame_id").agg(F.count("*").alias("_n"), F.max("radius").alias("_r"))
-    crowded = sizes.filter(F.col("_n") > small_frame)
-    facts = crowded.agg(F.count("*").alias("n"), F.max("_r").alias("r")).first()  # one row
-    few = ranked.join(crowded.select("frame_id"), "frame_id", "left_anti") if facts["n"] else ranked
-    result = _fold_small(few).drop("_rank")
-    if facts["n"]:
-        many = ranked.join(crowded.select("frame_id"), "frame_id", "left_semi")
-        result = result.unionByName(_peel(many, max(1, int(facts["r"]))).drop("_rank"))
-    return result.select(*columns)
+    ranked = unique.withColumns({n: c if isinstance(c, Column) else F.col(c) for n, c in zip(names, order)})
+    ranked = stage(ranked.withColumn("_id", F.monotonically_increasing_id()), "circles")
+    whole_ = F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("radius").isNotNull() & F.col("frame_id").isNotNull()
+    numbers = [F.col(c).cast("double").alias(c) for c in ("cx", "cy", "radius")]
+    narrow = ranked.filter(whole_).select("frame_id", *numbers, *names, "_id")
+    wide = narrow.groupBy("frame_id").agg(F.greatest(F.max("radius"), F.lit(1.0)).alias("_wide"))
+    side = F.col("_wide") * block
+    rows = narrow.join(wide, "frame_id").withColumns(
+        {"_bx": F.floor(F.col("cx") / side), "_by": F.floor(F.col("cy") / side), "own": F.lit(True), "kept": F.lit(False)}
+    )
+    order_ = [*names, "_id"]
+    kept, waiting = [], rows
+    # Foreign rows reach into a block if a circle of the largest radius around them does.
+    spans = [
+        F.sequence(F.floor((F.col(c) - F.col("_wide")) / side), F.floor((F.col(c) + F.col("_wide")) / side)) for c in ("cx", "cy")
+    ]
+    moving = rows
+    while True:
+        seen = moving.withColumn("_tx", F.explode(spans[0])).withColumn("_ty", F.explode(spans[1]))
+        seen = seen.filter((F.col("_tx") != F.col("_bx")) | (F.col("_ty") != F.col("_by")))
+        seen = seen.withColumns({"_bx": F.col("_tx"), "_by": F.col("_ty"), "own": F.lit(False)}).drop("_tx", "_ty")
+        settled = stage(_settle_blocks(waiting.unionByName(seen), order_), "settled")
+        kept.append(settled.filter("kept").select("_id"))
+        waiting, moving = settled.filter("NOT kept"), settled
+        if waiting.isEmpty():
+            break
+    chosen = reduce(DataFrame.unionByName, kept)
+    return ranked.join(chosen, "_id", "left_semi").unionByName(ranked.filter(~whole_)).select(*columns)
 
 
 def ring_members(circles: DataFrame, rings: DataFrame, order: Sequence[str | Column], k: int = 3) -> DataFrame:
@@ -399,7 +411,7 @@ def fallback_grid(frames: DataFrame, count: int = 6) -> DataFrame:
 
 def assemble_candidates(
     frames: DataFrame, main: DataFrame, conditional: DataFrame, order: Sequence[str | Column],
-    max_candidates: int = 10, small_frame: int = SMALL_FRAME,
+    max_candidates: int = 10, block: int = BLOCK,
 ) -> DataFrame:
     """Ranked crops per frame: proposals, extra proposals only where few were found, a grid where none were.
 
@@ -417,7 +429,7 @@ def assemble_candidates(
     labels = proposals.groupBy(*CIRCLE).agg(
         F.max_by("candidate_source", F.struct("_step", "pos")).alias("candidate_source")
     )
-    kept = suppress_overlaps(proposals.drop("candidate_source"), order, small_frame)
+    kept = suppress_overlaps(proposals.drop("candidate_source"), order, block)
     best = top_per_key(kept, ["frame_id"], order, max_candidates, rank="_rn").join(labels, CIRCLE)
     rows = best.join(frames, "frame_id")
     box = square_crop_box(F.col("cx"), F.col("cy"), F.greatest(F.col("radius"), F.lit(8)), F.col("width"), F.col("height"))

@@ -207,7 +207,7 @@ def _(t):
 
 @query("W9_suppress_crowded", _NMS_SQL)
 def _(t):
-    return S.suppress_overlaps(crowd(t), best_first(), small_frame=50).select("frame_id", "cx", "cy", "radius")
+    return S.suppress_overlaps(crowd(t), best_first(), block=2).select("frame_id", "cx", "cy", "radius")
 
 
 @query(

@@ -120,14 +120,54 @@ def brute_nms(items):
     return sorted((x, y, r) for x, y, r, _ in kept)
 
 
-@pytest.mark.parametrize("small_frame", [1_000, 10])
-def test_suppression_equals_the_sequential_result(spark, small_frame):
+@pytest.mark.parametrize("block", [64, 3, 1])
+def test_suppression_equals_the_sequential_result(spark, block):
     items = [(i * 37 % 101, i * 53 % 67, 3 + i % 6, ((i * 7919) % 997) / 997) for i in range(300)]
     df = spark.createDataFrame([("f", *c) for c in items], "frame_id string, cx int, cy int, radius int, score double")
-    kept = spatial.suppress_overlaps(df, [-F.col("score"), "cx", "cy"], small_frame)
+    kept = spatial.suppress_overlaps(df, [-F.col("score"), "cx", "cy"], block)
     assert rows(kept, "cx", "cy", "radius") == brute_nms(items)
 
 
+def test_a_chain_of_conflicts_takes_a_round_per_block(spark, monkeypatch):
+    """5,000 circles, each covered by the one before; circles without a radius stay."""
+    chain = [("f", 9 * i, 0, 10, 1.0 - i / 10_000) for i in range(5000)] + [("f", None, 0, 10, 2.0), ("g", 1, 1, None, 0.5)]
+    df = spark.createDataFrame(chain, "frame_id string, cx int, cy int, radius int, score double")
+    rounds, settle = [], spatial._settle_blocks
+    monkeypatch.setattr(spatial, "_settle_blocks", lambda *a: (rounds.append(1), settle(*a))[1])
+    kept = spatial.suppress_overlaps(df, [-F.col("score")], 800).collect()
+    assert sorted(r["cx"] for r in kept if r["cx"] is not None and r["radius"]) == [9 * i for i in range(0, 5000, 2)]
+    assert len(kept) == 2502 and len(rounds) <= 2 + 45_000 // 8000
+
+
+def test_components_of_long_paths_stars_and_cycles(spark):
+    """Contraction: exact labels, and a number of rounds that is logarithmic."""
+    path = [("p", i, i + 1) for i in range(3000)]
+    star = [("s", 5000, i) for i in range(500)]
+    ring = [("r", i, (i + 1) % 77) for i in range(77)] + [("r", 100, 100)]
+    edges = spark.createDataFrame(path + star + ring, "g string, a long, b long")
+    vertices = edges.select("g", F.col("a").alias("id")).union(edges.select("g", "b")).union(spark.createDataFrame([("q", 7)], "g string, id long"))
+    found = {(r["g"], r["id"]): r["label"] for r in graph.connected_components(vertices, edges, ["g"]).collect()}
+    assert {found["p", i] for i in range(3001)} == {0} and {found["s", i] for i in (*range(500), 5000)} == {0}
+    assert {found["r", i] for i in range(77)} == {0} and found["r", 100] == 100 and found["q", 7] == 7 and len(found) == 3001 + 501 + 78 + 1
+
+
+def test_a_thousand_masks_over_one_pixel(spark):
+    """Greedy suppression against a plain loop, with all masks crowded over the same pixels."""
+    import random
+
+    rng = random.Random(4)
+    masks = {m: {(0, 0)} | {(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randint(1, 30))} for m in range(1000)}
+    ranks = {m: rng.random() for m in masks}
+    kept = []
+    for m in sorted(masks, key=ranks.get):
+        if len(kept) < 6 and all(len(masks[m] & masks[k]) / len(masks[m] | masks[k]) < 0.1 for k in kept):
+            kept.append(m)
+    px = spark.createDataFrame([(1, m, x, y) for m, spots in masks.items() for x, y in spots], "frame_id int, mask_id int, x int, y int")
+    rank = spark.createDataFrame([(1, m, r) for m, r in ranks.items()], "frame_id int, mask_id int, rank double")
+    found = graph.suppress_masks(px, rank, 0.1, 6)
+    assert [r["mask_id"] for r in found.orderBy("rank").collect()] == kept
+    assert graph.suppress_masks(px.limit(0), rank, 0.1, 6).count() == 0
+
 def brute_components(points):
     left, label = set(points), {}
     while left:
