@@ -19,6 +19,7 @@ from framegate.functions import rules as R
 from framegate.functions.keys import candidate_source_group
 from framegate.operators.joins import select_by_rules
 from framegate.operators.ranking import top_per_key
+from framegate.operators.spatial import CONTEXT_FEATURES
 from framegate.runtime import scratch_path
 
 ITEM_TYPE = (
@@ -470,14 +471,15 @@ def reject_pre_final_fallback(state: DataFrame, cfg: dict) -> DataFrame:
 
 
 def reject_context(state: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
-    """First context rule that matches; ``context`` is a map of the frame's context features."""
+    """First context rule that matches; ``context`` is a map of the frame's context features (``context_map``). A rule on
+    a feature that doesn't exist is an error; one that a frame lacks never matches."""
     hits = []
     for rule in rules:
         checks = [R.source_matches(CURRENT["candidate_source"], rule.get("source"), rule.get("source_group"))]
         for key, limit in rule.items():
             if key in ("name", "source", "source_group") or limit is None:
                 continue
-            if not key.startswith(("min_", "max_")):
+            if not key.startswith(("min_", "max_")) or key[4:] not in CONTEXT_FEATURES:
                 raise ValueError(f"unsupported context rule key: {key}")
             value = F.col("context").getItem(key[4:])
             checks.append(value >= float(limit) if key.startswith("min_") else value <= float(limit))
@@ -528,8 +530,10 @@ LAST_USE = {"reticle_fill_rescue": WINNER_POOLS, "external": ("external",), "rej
 def run(
     state: DataFrame, pool: DataFrame, policy: dict,
     probability: Callable[[R.Item, R.Item], Column] | None = None, refined: DataFrame | None = None, last: str | None = None,
+    context: DataFrame | None = None,
 ) -> DataFrame:
-    """Apply the stages a policy sets, in order, up to and including ``last``; ``pool`` is the table ``write_pool`` made."""
+    """Apply the stages a policy sets, in order, up to and including ``last``; ``pool`` is the table ``write_pool`` made,
+    ``context`` has a row ``(frame_id, context)`` per frame (``features.context_map``)."""
     jobs: dict[str, Callable[[DataFrame, object], DataFrame]] = {
         "fallback": fallback,
         "rescue": rescue,
@@ -554,7 +558,7 @@ def run(
         "reject_source_area": reject_source_area,
         "reject_source_area_score": reject_source_area_score,
         "reject_pre_final_fallback": reject_pre_final_fallback,
-        "reject_context": reject_context,
+        "reject_context": lambda s, c: reject_context(s if context is None else s.join(context, "frame_id", "left"), c),
         "reject_veto": reject_veto,
         "post_final_rules": lambda s, c: post_final(s, c, pool),
     }

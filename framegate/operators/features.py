@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from framegate.functions.geometry import clip, folded_angle, point_segment_distance
 from framegate.functions.keys import model_source_group
 from framegate.operators.ranking import top_per_key
-from framegate.operators.spatial import context_features, roi_fraction
+from framegate.operators.spatial import CONTEXT_FEATURES, context_features, roi_fraction
 
 # Feature order of the candidate ranker and its one-hot sources.
 MASK_FEATURES = (
@@ -343,17 +343,26 @@ def choose_line(
     return best.drop("_len", "_ang", "_ext", "_gap", "_col")
 
 
-def context_table(pixels: DataFrame, circles: DataFrame, rois: DataFrame, position: Sequence[str], image_pixels: int) -> DataFrame:
-    """Context features per frame: circles, region share and white share. ``pixels`` has ``saturation`` and ``gray``."""
+def context_table(
+    pixels: DataFrame, circles: DataFrame, rois: DataFrame, position: Sequence[str], image_pixels: int,
+    no_candidate: float | None = float("inf"), winners: DataFrame | None = None,
+) -> DataFrame:
+    """``CONTEXT_FEATURES`` per frame: circles, region share and white share. ``pixels`` has ``saturation`` and ``gray``."""
     white = (F.col("saturation") < 80) & (F.col("gray") > 150)
     shares = pixels.groupBy("frame_id").agg(F.avg(white.cast("double")).alias("mask_white_fraction"))
     inside = roi_fraction(pixels, rois).select("frame_id", F.col("fraction").alias("mask_fraction_in_table_roi"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / F.lit(float(max(image_pixels, 1)))
     regions = rois.select("frame_id", area.alias("table_roi_area_fraction"))
-    base = context_features(pixels, circles, position, float("inf"))
+    base = context_features(pixels, circles, position, no_candidate, winners)
     return base.join(shares, "frame_id").join(inside, "frame_id", "left").join(regions, "frame_id", "left")
 
 
+def context_map(table: DataFrame) -> DataFrame:
+    """``(frame_id, context)`` for the reject rules: the features of ``context_table`` that a frame has, by name."""
+    pairs = [x for n in CONTEXT_FEATURES if n in table.columns for x in (F.lit(n), F.col(n).cast("double"))]
+    return table.select("frame_id", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("context"))
+
+
 def soft_target(signed_distance: Column, hard: Column, scale: float) -> Column:
     """Sigmoid of the signed distance in ``scale`` pixels, at least 0.85 on the mask; a scale under 0.25 counts as 0.25."""
     logits = clip(signed_distance / F.lit(max(0.25, scale)), -20.0, 20.0)

@@ -163,13 +163,26 @@ def suppress_overlaps(circles: DataFrame, order: Sequence[str | Column], block:
     return ranked.join(chosen, "_id", "left_semi").unionByName(ranked.filter(~whole_)).select(*columns)
 
 
-def ring_members(circles: DataFrame, rings: DataFrame, order: Sequence[str | Column], k: int = 3) -> DataFrame:
-    """Top ``k`` circles per frame whose centre lies between 0.7 and 2.8 ring radii from the ring centre."""
-    joined = circles.join(rings.select("frame_id", "ring_x", "ring_y", "ring_radius"), "frame_id")
+def ring_candidates(circles: DataFrame, rings: DataFrame, position: Sequence[str | Column], k: int = 3) -> DataFrame:
+    """The ``k`` circles per ring with most axis support among those whose centre lies between 0.7 and 2.8 ring radii
+    from the ring's: as candidates ``reticle_global_<rank>`` with a score that mixes their own and the support.
+
+    ``circles`` has a ``support`` for the ring of its frame (``capsule_support``); a frame may have several rings.
+    """
+    ring = ["ring_x", "ring_y", "ring_radius"]
+    keys = [c for c in ("ring_x", "ring_y") if c in circles.columns]
+    joined = circles.join(rings.select("frame_id", *ring), ["frame_id", *keys])
     d2 = squared_distance(F.col("cx"), F.col("cy"), F.col("ring_x"), F.col("ring_y"))
     rr = F.col("ring_radius").cast("double")
     near = joined.filter((d2 > 0.49 * rr * rr) & (d2 < 7.84 * rr * rr))
-    return top_per_key(near, ["frame_id"], order, k, rank="ring_rank").withColumn("ring_rank", F.col("ring_rank") - 1)
+    top = top_per_key(near, ["frame_id", *ring], [F.desc("support"), *position], k, rank="ring_rank")
+    rank = F.col("ring_rank") - 1
+    return top.withColumns(
+        {
+            "ring_rank": rank, "score": clip(0.7 * F.col("score") + 0.6 * F.col("support"), 0.0, 1.0),
+            "candidate_source": F.concat(F.lit("reticle_global_"), rank.cast("string")),
+        }
+    )
 
 
 def roi_fraction(pixels: DataFrame, rois: DataFrame) -> DataFrame:
@@ -270,22 +283,40 @@ def mask_circle_distance(pixels: DataFrame, circles: DataFrame, size: int = CELL
     return pairs.groupBy(*CIRCLE).agg(F.sqrt(F.min(d2)).alias("min_distance"))
 
 
+# Names under which rules and audits find the context of a frame's mask.
+CONTEXT_FEATURES = (
+    "pred_pixels", "mask_white_fraction", "table_roi_area_fraction", "mask_fraction_in_table_roi", "candidate_count",
+    "min_candidate_center_distance", "min_candidate_boundary_distance", "min_abs_candidate_boundary_distance",
+    "min_candidate_boundary_distance_norm", "mask_fraction_inside_any_candidate", "mask_fraction_near_any_candidate",
+    "mask_fraction_on_candidate_boundary_band",
+)
+
+
 def context_features(
-    pixels: DataFrame, circles: DataFrame, position: Sequence[str], no_candidate: float | None = None
+    pixels: DataFrame, circles: DataFrame, position: Sequence[str], no_candidate: float | None = None, winners: DataFrame | None = None
 ) -> DataFrame:
-    """Where a frame's mask lies relative to its candidate circles.
+    """Where a frame's mask lies relative to its candidate circles, under the names of ``CONTEXT_FEATURES``.
 
-    ``no_candidate`` is the distance reported for a frame without circles: infinity for the reject rules,
-    null for the audit.
+    ``winners`` (frame_id, cx, cy, radius, candidate_source) adds the winner's own circle of each frame, which counts as a
+    candidate and comes last among ties. A radius is at least 1. ``no_candidate`` is the distance reported for a frame
+    without circles: infinity for the reject rules, null for the audit.
     """
-    named = keep_first(circles, CIRCLE, position).select(*CIRCLE, "candidate_source", *[p for p in position if p not in CIRCLE])
+    own = [c for c in position if c not in CIRCLE]
+    every = circles.select(*CIRCLE, "candidate_source", *own, F.lit(0).alias("_own"))
+    if winners is not None:
+        every = every.unionByName(winners.select(*CIRCLE, "candidate_source", F.lit(1).alias("_own")), allowMissingColumns=True)
+    every = every.withColumn("radius", F.greatest(F.col("radius"), F.lit(1)))
+    order = ["_own", *position]
+    named = keep_first(every, CIRCLE, order)
     distances = mask_circle_distance(pixels, named).join(named, CIRCLE)
     signed = F.col("min_distance") - F.col("radius")
+    nearest = F.struct(F.abs(signed), *order)
     per_frame = distances.groupBy("frame_id").agg(
-        F.min("min_distance").alias("min_center_distance"),
-        F.min(F.abs(signed)).alias("min_abs_boundary_distance"),
-        F.min_by("candidate_source", F.struct(F.abs(signed), *position)).alias("nearest_source"),
-        F.min_by(signed, F.struct(F.abs(signed), *position)).alias("boundary_distance"),
+        F.min("min_distance").alias("center"),
+        F.min(F.abs(signed)).alias("boundary"),
+        F.min_by("candidate_source", nearest).alias("nearest_candidate_source"),
+        F.min_by(signed, nearest).alias("min_candidate_boundary_distance"),
+        F.min_by(signed / F.col("radius"), nearest).alias("min_candidate_boundary_distance_norm"),
     )
     r = F.col("radius").cast("double")
     pad = F.greatest(F.lit(4.0), r * 0.25)
@@ -296,24 +327,24 @@ def context_features(
     d2 = squared_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")).cast("double")
     inner = F.greatest(F.lit(1.0), r - pad)
     flags = {
-        "near": d2 <= near_radius(r) * near_radius(r),
-        "inside": d2 <= r * r,
-        "band": (d2 >= inner * inner) & (d2 <= (r + pad) * (r + pad)),
+        "mask_fraction_near_any_candidate": d2 <= near_radius(r) * near_radius(r),
+        "mask_fraction_inside_any_candidate": d2 <= r * r,
+        "mask_fraction_on_candidate_boundary_band": (d2 >= inner * inner) & (d2 <= (r + pad) * (r + pad)),
     }
     per_pixel = met.filter(d2 <= reach * reach).groupBy("frame_id", "x", "y").agg(
         *[F.max(c.cast("int")).alias(n) for n, c in flags.items()]
     )
     shares = per_pixel.groupBy("frame_id").agg(*[F.sum(n).alias(n) for n in flags])
-    counts = circles.groupBy("frame_id").agg(F.count("*").alias("candidate_count"))
+    counts = every.groupBy("frame_id").agg(F.count("*").alias("candidate_count"))
     base = pixels.groupBy("frame_id").agg(F.count("*").alias("pred_pixels"))
     joined = base.join(counts, "frame_id", "left").join(per_frame, "frame_id", "left").join(shares, "frame_id", "left")
     missing = F.lit(no_candidate).cast("double")
     return joined.select(
         "frame_id", "pred_pixels", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
-        F.coalesce("min_center_distance", missing).alias("min_center_distance"),
-        F.coalesce("min_abs_boundary_distance", missing).alias("min_abs_boundary_distance"),
-        "boundary_distance", "nearest_source",
-        *[(F.coalesce(n, F.lit(0)) / F.col("pred_pixels")).alias(f"fraction_{n}") for n in flags],
+        F.coalesce("center", missing).alias("min_candidate_center_distance"),
+        F.coalesce("boundary", missing).alias("min_abs_candidate_boundary_distance"),
+        "min_candidate_boundary_distance", "min_candidate_boundary_distance_norm", "nearest_candidate_source",
+        *[(F.coalesce(n, F.lit(0)) / F.col("pred_pixels")).alias(n) for n in flags],
     )
 
 
@@ -411,30 +442,47 @@ def fallback_grid(frames: DataFrame, count: int = 6) -> DataFrame:
 
 def assemble_candidates(
     frames: DataFrame, main: DataFrame, conditional: DataFrame, order: Sequence[str | Column],
-    max_candidates: int = 10, block: int = BLOCK,
+    max_candidates: int = 10, block: int = BLOCK, rings: DataFrame | None = None, late: Sequence[DataFrame] = (), grid: int = 6,
 ) -> DataFrame:
-    """Ranked crops per frame: proposals, extra proposals only where few were found, a grid where none were.
+    """Ranked crops per frame: proposals and ring candidates, extra proposals only where these are few, late sources
+    always, a grid of ``grid`` circles where there are none of them, and one crop of the scene where nothing is left.
 
     Every input has ``frame_id, cx, cy, radius, score, candidate_source, pos``. Overlaps are suppressed, the
     best score wins, and a surviving geometry carries the source label that was inserted last.
     """
     few = max(4, max_candidates // 2)
     columns = ["frame_id", "cx", "cy", "radius", "score", "candidate_source", "pos"]
-    counts = main.groupBy("frame_id").agg(F.count("*").alias("_n"))
+    first = main.select(*columns, F.lit(0).alias("_step"))
+    if rings is not None:
+        first = first.unionByName(rings.select(*columns, F.lit(1).alias("_step")))
+    counts = first.groupBy("frame_id").agg(F.count("*").alias("_n"))
     short = frames.select("frame_id").join(counts, "frame_id", "left").filter(F.coalesce("_n", F.lit(0)) < few)
     extra = conditional.join(short.select("frame_id"), "frame_id", "left_semi")
-    proposals = main.select(*columns, F.lit(0).alias("_step")).unionByName(extra.select(*columns, F.lit(1).alias("_step")))
-    bare = frames.join(proposals.select("frame_id").distinct(), "frame_id", "left_anti")
-    proposals = proposals.unionByName(fallback_grid(bare).select(*columns, F.lit(2).alias("_step")))
+    proposals = first.unionByName(extra.select(*columns, F.lit(2).alias("_step")))
+    for i, rows in enumerate(late):
+        proposals = proposals.unionByName(rows.select(*columns, F.lit(3 + i).alias("_step")))
+    if grid:
+        bare = frames.join(proposals.select("frame_id").distinct(), "frame_id", "left_anti")
+        proposals = proposals.unionByName(fallback_grid(bare, grid).select(*columns, F.lit(3 + len(late)).alias("_step")))
     labels = proposals.groupBy(*CIRCLE).agg(
         F.max_by("candidate_source", F.struct("_step", "pos")).alias("candidate_source")
     )
     kept = suppress_overlaps(proposals.drop("candidate_source"), order, block)
     best = top_per_key(kept, ["frame_id"], order, max_candidates, rank="_rn").join(labels, CIRCLE)
     rows = best.join(frames, "frame_id")
-    box = square_crop_box(F.col("cx"), F.col("cy"), F.greatest(F.col("radius"), F.lit(8)), F.col("width"), F.col("height"))
-    return rows.select(
-        "frame_id", F.format_string("crop_%02d", F.col("_rn") - 1).alias("candidate_id"), "candidate_source", "cx", "cy",
-        F.greatest(F.col("radius"), F.lit(8)).alias("radius"), "score",
-        *[box[c].cast("bigint").alias(c) for c in ("x0", "y0", "x1", "y1")],
+    width, height = F.col("width"), F.col("height")
+
+    def sides(radius, **how):
+        box = square_crop_box(F.col("cx"), F.col("cy"), radius, width, height, **how)
+        return [box[c].cast("bigint").alias(c) for c in ("x0", "y0", "x1", "y1")]
+
+    radius = F.greatest(F.col("radius"), F.lit(8))
+    name = F.format_string("crop_%02d", F.col("_rn") - 1)
+    crops = rows.select("frame_id", name.alias("candidate_id"), "candidate_source", "cx", "cy", radius.alias("radius"), "score", *sides(radius))
+    centre = {"cx": F.floor(width / 2), "cy": F.floor(height / 2), "radius": F.greatest(F.lit(12), F.floor(F.least(width, height) / 10))}
+    scene = frames.join(best.select("frame_id").distinct(), "frame_id", "left_anti").withColumns(centre)
+    scene = scene.select(
+        "frame_id", F.lit("crop_00").alias("candidate_id"), F.lit("scene_fallback").alias("candidate_source"), "cx", "cy", "radius",
+        F.lit(0.0).alias("score"), *sides(F.col("radius"), scale=1.8, padding=0),
     )
+    return crops.unionByName(scene)

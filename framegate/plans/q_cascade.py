@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from framegate.operators import cascade as C
+from framegate.operators.features import context_map
+from framegate.plans.q_features import CONTEXT_SQL, context
 from framegate.plans.registry import query
 
 AT = ["row_key", "pos", "l_partkey", "l_suppkey"]
@@ -72,8 +74,8 @@ POLICY = {
     },
     "reject_pre_final_fallback": {"max_score": 0.0},
     "reject_context": [
-        {"name": "dim", "source": "table_hough", "max_mask_white_fraction": 0.3, "min_candidate_count": 2},
-        {"name": "busy", "source_group": "external_main", "min_candidate_count": 5},
+        {"name": "far", "source": "table_hough", "max_mask_white_fraction": 0.3, "min_min_candidate_center_distance": 2.0, "min_candidate_count": 2},
+        {"name": "busy", "source_group": "external_main", "min_candidate_count": 3, "max_mask_fraction_near_any_candidate": 0.9},
     ],
     "reject_veto": [
         {"probability": "veto_p", "threshold": 0.8, "source_min_pred_pixels": {"reticle_global": 3}, "min_pred_pixels": 2},
@@ -134,13 +136,10 @@ def cascade(t, last=None):
     frame = F.col("frame_id")
     state = C.initial_state(pool, externals(t)).withColumns(
         {
-            "context": F.create_map(
-                F.lit("mask_white_fraction"), frame % 10 / 10.0, F.lit("candidate_count"), (frame % 7).cast("double")
-            ),
             "veto_p": frame * 37 % 100 / 100.0, "veto_q": frame * 53 % 100 / 100.0,
         }
     )
-    return C.run(state, pool, POLICY, probability, refined_masks(t), last)
+    return C.run(state, pool, POLICY, probability, refined_masks(t), last, context_map(context(t)))
 
 
 # ---- the same stages as layered SQL -------------------------------------------------------------------------
@@ -359,7 +358,12 @@ def cascade_sql(last):
         reject("fin > 0 AND cur.pff <= 0", "pre_final_fallback_score_reject")
 
     def reject_context():
-        bad = f"(cur.src = 'table_hough' AND frame_id % 10 / CAST(10 AS DOUBLE) <= 0.3 AND frame_id % 7 >= 2) OR ({_starts('cur.src', 'external_main')} AND frame_id % 7 >= 5)"
+        name = f"s{len(q.ctes) + 1}"
+        q.ctes.append(
+            f"{name} AS (SELECT s.*, x.mask_white_fraction AS xw, x.candidate_count AS xn, x.min_candidate_center_distance AS xd, x.mask_fraction_near_any_candidate AS xf FROM {q.at} s LEFT JOIN context x ON x.frame_id = s.frame_id)"
+        )
+        q.at = name
+        bad = f"(cur.src = 'table_hough' AND xw <= 0.3 AND xd >= 2 AND xn >= 2) OR ({_starts('cur.src', 'external_main')} AND xn >= 3 AND xf <= 0.9)"
         reject(f"fin > 0 AND ({bad})", "final_context_reject")
 
     def reject_veto():
@@ -388,6 +392,8 @@ def cascade_sql(last):
 w AS (SELECT frame_id, {winners} FROM p GROUP BY frame_id),
 s0 AS (SELECT w.*, w_primary AS cur, 'primary' AS active, ['primary'] AS pools, o_custkey AS ck FROM w LEFT JOIN orders ON o_orderkey = frame_id WHERE w_primary IS NOT NULL)"""
     pixels = "CAST(fin AS BIGINT)" if C.STAGES.index(last) >= C.STAGES.index("reject_final_fallback") else "CAST(cur.mk AS BIGINT)"
+    if C.STAGES.index(last) >= C.STAGES.index("reject_context"):
+        base = base.replace("WITH p AS", f"WITH {CONTEXT_SQL},\np AS", 1).replace("w AS (SELECT frame_id,", "best AS (SELECT frame_id,", 1).replace("FROM w LEFT", "FROM best LEFT", 1).replace("SELECT w.*", "SELECT best.*", 1)
     return (
         ",\n".join([base, *q.ctes])
         + f"\nSELECT frame_id, cur.id AS candidate_id, cur.src AS candidate_source, round(cur.sc, 9) AS score, {pixels} AS final_pixels, array_to_string(list_sort(cur.fl), ',') AS flags, array_to_string(list_sort(pools), ',') AS open_pools FROM {q.at}"

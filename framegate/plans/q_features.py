@@ -6,7 +6,7 @@ from framegate.functions.keys import dataset_class
 from framegate.operators import features as X
 from framegate.operators import thresholds as T
 from framegate.plans.common import WINNER_SQL, frame_winners
-from framegate.plans.q_spatial import AT, circles, valued_pixels
+from framegate.plans.q_spatial import AT, circles, context_sql, valued_pixels, winner_circles
 from framegate.plans.registry import query
 
 KEYS = ["frame_id", "pos", "l_partkey", "l_suppkey"]
@@ -261,23 +261,21 @@ def _(t):
     return best.select("frame_id", "x1", "y1", "x2", "y2", F.round("score", 6).alias("score"))
 
 
-@query(
-    "E14_context_table",
-    """WITH px AS (SELECT DISTINCT frame_id, x, y, (x * 7 + y * 13 + frame_id) % 256 AS gray, (x * 11 + y * 3) % 256 AS sat FROM fx_pixels),
-a AS (SELECT frame_id, count(*) AS pred_pixels, round(avg(CASE WHEN sat < 80 AND gray > 150 THEN 1.0 ELSE 0.0 END), 6) AS mask_white_fraction, round(avg(CASE WHEN x >= 10 AND x < 60 AND y >= 5 AND y < 40 THEN 1.0 ELSE 0.0 END), 6) AS mask_fraction_in_table_roi FROM px GROUP BY frame_id),
-c AS (SELECT frame_id, count(*) AS candidate_count FROM fx_candidates WHERE frame_id IN (SELECT p_partkey FROM part) GROUP BY frame_id)
-SELECT a.frame_id, pred_pixels, mask_white_fraction, mask_fraction_in_table_roi, round(50 * 35 / CAST(7200 AS DOUBLE), 6) AS table_roi_area_fraction, coalesce(candidate_count, 0) AS candidate_count,
-  c.frame_id IS NULL AS without_circles FROM a LEFT JOIN c USING (frame_id)""",
-)
-def _(t):
+# Frames without circles are infinitely far from them; the winner's own circle counts.
+CONTEXT_SQL = context_sql("(SELECT DISTINCT frame_id, x, y FROM fx_pixels)", True, "CAST('inf' AS DOUBLE)") + """,
+white AS (SELECT frame_id, round(avg(CASE WHEN (x * 11 + y * 3) % 256 < 80 AND (x * 7 + y * 13 + frame_id) % 256 > 150 THEN 1.0 ELSE 0.0 END), 6) AS mask_white_fraction,
+  round(avg(CASE WHEN x >= 10 AND x < 60 AND y >= 5 AND y < 40 THEN 1.0 ELSE 0.0 END), 6) AS mask_fraction_in_table_roi, round(50 * 35 / CAST(7200 AS DOUBLE), 6) AS table_roi_area_fraction FROM px GROUP BY frame_id),
+context AS (SELECT * FROM ctx JOIN white USING (frame_id))"""
+
+
+def context(t):
     rois = t.part.select(F.col("p_partkey").alias("frame_id"), F.lit(10).alias("x0"), F.lit(5).alias("y0"), F.lit(60).alias("x1"), F.lit(40).alias("y1"))
-    rows = X.context_table(valued_pixels(t), circles(t), rois, AT, 120 * 60)
-    return rounded(
-        rows.select(
-            "frame_id", "pred_pixels", "mask_white_fraction", "mask_fraction_in_table_roi", "table_roi_area_fraction", "candidate_count",
-            (F.col("min_center_distance") == float("inf")).alias("without_circles"),
-        )
-    )
+    return rounded(X.context_table(valued_pixels(t), circles(t), rois, AT, 120 * 60, winners=winner_circles(t)))
+
+
+@query("E14_context_table", "WITH " + CONTEXT_SQL + " SELECT * FROM context")
+def _(t):
+    return context(t)
 
 
 @query(

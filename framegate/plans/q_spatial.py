@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from framegate.operators import spatial as S
+from framegate.plans.common import frame_winners
 from framegate.plans.registry import query
 
 # Fifty frames in a row folded into one, so that frames are crowded; more data make more of them.
@@ -52,23 +53,8 @@ def _(t):
     return rows.withColumn("fraction", F.round("fraction", 9))
 
 
-@query(
-    "J11_ring_members",
-    f"""SELECT frame_id, ring_rank, cx, cy, round(score, 9) AS score FROM (SELECT c.*, row_number() OVER (PARTITION BY c.frame_id ORDER BY score DESC, pos, l_partkey, l_suppkey) - 1 AS ring_rank
-  FROM (SELECT *, CAST((cx - (100 + frame_id % 300)) * (cx - (100 + frame_id % 300)) + (cy - 200) * (cy - 200) AS DOUBLE) AS d2, CAST(20 + frame_id % 40 AS DOUBLE) AS rr FROM {CROWD_SQL}) c
-  WHERE d2 > 0.49 * rr * rr AND d2 < 7.84 * rr * rr) WHERE ring_rank < 3""",
-)
-def _(t):
-    rings = t.orders.select(F.floor(F.col("o_orderkey") / 50).alias("frame_id")).distinct().select(
-        "frame_id", (F.col("frame_id") % 300 + 100).alias("ring_x"), F.lit(200).alias("ring_y"),
-        (F.col("frame_id") % 40 + 20).alias("ring_radius"),
-    )
-    top = S.ring_members(crowd(t), rings, [F.desc("score"), "pos", "l_partkey", "l_suppkey"])
-    return top.select("frame_id", F.col("ring_rank").cast("bigint").alias("ring_rank"), "cx", "cy", F.round("score", 9).alias("score"))
-
-
 # Circles placed on the lines of the pixel view: same frames, coordinates folded into its range.
-_CIRCLES_SQL = """(SELECT frame_id, candidate_source, pos, l_partkey, l_suppkey, cx % 120 AS cx, cy % 60 AS cy, radius % 9 + 3 AS radius
+_CIRCLES_SQL = """(SELECT frame_id, candidate_source, score, pos, l_partkey, l_suppkey, cx % 120 AS cx, cy % 60 AS cy, radius % 9 + 3 AS radius
   FROM fx_candidates WHERE frame_id IN (SELECT p_partkey FROM part))"""
 AT = ["pos", "l_partkey", "l_suppkey"]
 
@@ -76,26 +62,42 @@ AT = ["pos", "l_partkey", "l_suppkey"]
 def circles(t):
     frames = t.part.select(F.col("p_partkey").alias("frame_id"))
     return t.fx_candidates.join(frames, "frame_id", "left_semi").select(
-        "frame_id", "candidate_source", *AT, (F.col("cx") % 120).alias("cx"), (F.col("cy") % 60).alias("cy"),
+        "frame_id", "candidate_source", "score", *AT, (F.col("cx") % 120).alias("cx"), (F.col("cy") % 60).alias("cy"),
         (F.col("radius") % 9 + 3).alias("radius"),
     )
 
 
-@query(
-    "J12_context_distances",
-    f"""WITH c AS {_CIRCLES_SQL}, px AS (SELECT frame_id, x, y FROM fx_pixels WHERE side = 'pred'),
+def winner_circles(t):
+    """The circle of each frame's best candidate, one pixel wider than the candidate's own."""
+    best = frame_winners(circles(t))
+    return best.select("frame_id", "candidate_source", "cx", "cy", (F.col("radius") + 1).alias("radius"))
+
+
+def context_sql(pixels, winners=False, missing="NULL"):
+    """CTEs up to ``ctx``: the circle features of every frame of ``pixels``."""
+    own = f"""UNION ALL (SELECT frame_id, candidate_source, score, 1, NULL, NULL, NULL, cx, cy, radius + 1 FROM {_CIRCLES_SQL}
+  QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, pos, l_partkey, l_suppkey) = 1)"""
+    near = "(abs(mind - radius), own, pos, l_partkey, l_suppkey)"
+    return f"""c AS (SELECT frame_id, candidate_source, score, 0 AS own, pos, l_partkey, l_suppkey, cx, cy, radius FROM {_CIRCLES_SQL} {own if winners else ""}), px AS {pixels},
 d AS (SELECT c.*, px.x, px.y, sqrt(CAST((x - cx) * (x - cx) + (y - cy) * (y - cy) AS DOUBLE)) AS dist FROM c JOIN px ON c.frame_id = px.frame_id),
-m AS (SELECT frame_id, candidate_source, pos, l_partkey, l_suppkey, radius, min(dist) AS mind FROM d GROUP BY ALL),
-f AS (SELECT frame_id, count(*) AS n, min(mind) AS mc, min(abs(mind - radius)) AS mb, arg_min(candidate_source, (abs(mind - radius), pos, l_partkey, l_suppkey)) AS src,
-  arg_min(mind - radius, (abs(mind - radius), pos, l_partkey, l_suppkey)) AS bd FROM m GROUP BY frame_id),
+m AS (SELECT frame_id, candidate_source, own, pos, l_partkey, l_suppkey, radius, min(dist) AS mind FROM d GROUP BY ALL),
+f AS (SELECT frame_id, count(*) AS n, min(mind) AS mc, min(abs(mind - radius)) AS mb, arg_min(candidate_source, {near}) AS src, arg_min(mind - radius, {near}) AS bd,
+  arg_min((mind - radius) / radius, {near}) AS bn FROM m GROUP BY frame_id),
 pp AS (SELECT frame_id, x, y, max(CASE WHEN dist <= radius + greatest(6, radius * 0.45) THEN 1 ELSE 0 END) AS nr, max(CASE WHEN dist <= radius THEN 1 ELSE 0 END) AS ins,
   max(CASE WHEN dist >= greatest(1, radius - greatest(4, radius * 0.25)) AND dist <= radius + greatest(4, radius * 0.25) THEN 1 ELSE 0 END) AS band FROM d GROUP BY frame_id, x, y),
 s AS (SELECT frame_id, sum(nr) AS nr, sum(ins) AS ins, sum(band) AS band FROM pp GROUP BY frame_id),
-b AS (SELECT frame_id, count(*) AS pred_pixels FROM px GROUP BY frame_id)
-SELECT b.frame_id, pred_pixels, coalesce(f.n, 0) AS candidate_count, round(f.mc, 6) AS min_center_distance, round(f.mb, 6) AS min_abs_boundary_distance,
-  round(f.bd, 6) AS boundary_distance, f.src AS nearest_source, round(coalesce(nr, 0) / CAST(pred_pixels AS DOUBLE), 6) AS fraction_near,
-  round(coalesce(ins, 0) / CAST(pred_pixels AS DOUBLE), 6) AS fraction_inside, round(coalesce(band, 0) / CAST(pred_pixels AS DOUBLE), 6) AS fraction_band
-FROM b LEFT JOIN f ON b.frame_id = f.frame_id LEFT JOIN s ON b.frame_id = s.frame_id""",
+b AS (SELECT frame_id, count(*) AS pred_pixels FROM px GROUP BY frame_id),
+ctx AS (SELECT b.frame_id, pred_pixels, coalesce(f.n, 0) AS candidate_count, round(coalesce(f.mc, {missing}), 6) AS min_candidate_center_distance,
+  round(coalesce(f.mb, {missing}), 6) AS min_abs_candidate_boundary_distance, round(f.bd, 6) AS min_candidate_boundary_distance,
+  round(f.bn, 6) AS min_candidate_boundary_distance_norm, f.src AS nearest_candidate_source,
+  round(coalesce(nr, 0) / CAST(pred_pixels AS DOUBLE), 6) AS mask_fraction_near_any_candidate, round(coalesce(ins, 0) / CAST(pred_pixels AS DOUBLE), 6) AS mask_fraction_inside_any_candidate,
+  round(coalesce(band, 0) / CAST(pred_pixels AS DOUBLE), 6) AS mask_fraction_on_candidate_boundary_band
+  FROM b LEFT JOIN f ON b.frame_id = f.frame_id LEFT JOIN s ON b.frame_id = s.frame_id)"""
+
+
+@query(
+    "J12_context_distances",
+    "WITH " + context_sql("(SELECT frame_id, x, y FROM fx_pixels WHERE side = 'pred')") + " SELECT * FROM ctx",
 )
 def _(t):
     rows = S.context_features(t.fx_pixels.filter("side = 'pred'"), circles(t), AT)
@@ -169,24 +171,50 @@ def _(t):
     )
 
 
-@query(
-    "J20_capsule_support",
-    f"""WITH c AS (SELECT DISTINCT frame_id, cx, cy, radius, frame_id % 60 + 20 AS ring_x, CAST(10 AS BIGINT) AS ring_y FROM {_CIRCLES_SQL}),
+_SUPPORT_SQL = f"""WITH c AS (SELECT DISTINCT frame_id, cx, cy, radius, frame_id % 60 + 20 AS ring_x, CAST(10 AS BIGINT) AS ring_y FROM {_CIRCLES_SQL}),
 u AS (SELECT *, sqrt(CAST((cx - ring_x) * (cx - ring_x) + (cy - ring_y) * (cy - ring_y) AS DOUBLE)) AS norm FROM c),
 d AS (SELECT u.*, gray > 150 AS white, (x - ring_x) * (cx - ring_x) / norm + (y - ring_y) * (cy - ring_y) / norm AS al,
   abs((x - ring_x) * (cy - ring_y) / norm - (y - ring_y) * (cx - ring_x) / norm) AS ac, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2,
   greatest(2, CAST(round_even(radius * CAST(0.7 AS DOUBLE), 0) AS BIGINT)) AS cr FROM u JOIN {_GRAY_SQL} px ON u.frame_id = px.frame_id WHERE norm >= 1),
 s AS (SELECT frame_id, ring_x, cx, cy, radius,
   coalesce(avg(CASE WHEN white THEN 1 ELSE 0 END) FILTER (WHERE round(ac, 9) <= greatest(2.5, radius * 0.28) AND round(al, 9) >= 0 AND al <= norm + radius * 1.2), 0)
-  + 0.7 * coalesce(avg(CASE WHEN white THEN 1 ELSE 0 END) FILTER (WHERE d2 <= cr * cr), 0) AS support FROM d GROUP BY ALL)
-SELECT c.frame_id, c.ring_x, c.cx, c.cy, c.radius, round(coalesce(support, 0), 6) AS support FROM c LEFT JOIN s ON s.frame_id = c.frame_id AND s.cx = c.cx AND s.cy = c.cy AND s.radius = c.radius""",
-)
-def _(t):
+  + 0.7 * coalesce(avg(CASE WHEN white THEN 1 ELSE 0 END) FILTER (WHERE d2 <= cr * cr), 0) AS support FROM d GROUP BY ALL),
+sup AS (SELECT c.frame_id, c.ring_x, c.cx, c.cy, c.radius, round(coalesce(support, 0), 6) AS support FROM c LEFT JOIN s ON s.frame_id = c.frame_id AND s.cx = c.cx AND s.cy = c.cy AND s.radius = c.radius)"""
+
+
+def supported(t):
+    """Distinct circles with their ring's centre and the support between both."""
     pairs = circles(t).select("frame_id", "cx", "cy", "radius").distinct().select(
         "*", (F.col("frame_id") % 60 + 20).alias("ring_x"), F.lit(10).cast("bigint").alias("ring_y")
     )
-    rows = S.capsule_support(valued_pixels(t), pairs)
-    return rows.select("frame_id", "ring_x", "cx", "cy", "radius", F.round("support", 6).alias("support"))
+    return S.capsule_support(valued_pixels(t), pairs).withColumn("support", F.round("support", 6))
+
+
+@query("J20_capsule_support", _SUPPORT_SQL + " SELECT * FROM sup")
+def _(t):
+    return supported(t).select("frame_id", "ring_x", "cx", "cy", "radius", "support")
+
+
+@query(
+    "J11_ring_members",
+    _SUPPORT_SQL + f""", r AS (SELECT o.*, support FROM {_CIRCLES_SQL} o JOIN sup ON sup.frame_id = o.frame_id AND sup.cx = o.cx AND sup.cy = o.cy AND sup.radius = o.radius
+  WHERE (o.cx - ring_x) * (o.cx - ring_x) + (o.cy - 10) * (o.cy - 10) > 0.49 * CAST((8 + o.frame_id % 12) * (8 + o.frame_id % 12) AS DOUBLE)
+  AND (o.cx - ring_x) * (o.cx - ring_x) + (o.cy - 10) * (o.cy - 10) < 7.84 * CAST((8 + o.frame_id % 12) * (8 + o.frame_id % 12) AS DOUBLE)),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY support DESC, pos, l_partkey, l_suppkey) - 1 AS ring_rank FROM r)
+SELECT frame_id, ring_rank, 'reticle_global_' || ring_rank AS candidate_source, cx, cy, radius, round(support, 6) AS support,
+  round(greatest(0, least(1, 0.7 * score + 0.6 * support)), 6) AS score FROM k WHERE ring_rank < 3""",
+)
+def _(t):
+    own = circles(t).join(supported(t), ["frame_id", "cx", "cy", "radius"])
+    rings = t.part.select(
+        F.col("p_partkey").alias("frame_id"), (F.col("p_partkey") % 60 + 20).alias("ring_x"), F.lit(10).cast("bigint").alias("ring_y"),
+        (F.col("p_partkey") % 12 + 8).alias("ring_radius"),
+    )
+    top = S.ring_candidates(own, rings, AT)
+    return top.select(
+        "frame_id", F.col("ring_rank").cast("bigint").alias("ring_rank"), "candidate_source", "cx", "cy", "radius",
+        F.round("support", 6).alias("support"), F.round("score", 6).alias("score"),
+    )
 
 
 _NMS_SQL = f"""WITH RECURSIVE c AS {CROWD_SQL},
@@ -210,41 +238,64 @@ def _(t):
     return S.suppress_overlaps(crowd(t), best_first(), block=2).select("frame_id", "cx", "cy", "radius")
 
 
-@query(
-    "W11_assemble_candidates",
-    """WITH RECURSIVE f AS (SELECT o_orderkey AS frame_id FROM orders),
-m AS (SELECT *, 0 AS step FROM fx_candidates WHERE selector_pool = 'primary'),
-x AS (SELECT *, 1 AS step FROM fx_candidates WHERE selector_pool <> 'primary' AND frame_id % 3 <> 0 AND frame_id IN (SELECT frame_id FROM f)
+def _assembly_sql(grid):
+    scene = """UNION ALL SELECT frame_id, 'crop_00', 'scene_fallback', 320, 180, 0.0, 320 - CAST(round_even(36 * 1.8, 0) AS BIGINT), 180 + CAST(round_even(36 * 1.8, 0) AS BIGINT)
+  FROM f WHERE frame_id NOT IN (SELECT frame_id FROM a)"""
+    return f"""WITH RECURSIVE f AS (SELECT o_orderkey AS frame_id FROM orders),
+m0 AS (SELECT * FROM fx_candidates WHERE selector_pool = 'primary' AND frame_id % 5 <> 0),
+q AS (SELECT *, (cx - (100 + frame_id % 300)) * (cx - (100 + frame_id % 300)) + (cy - 200) * (cy - 200) AS d2, CAST(20 + frame_id % 40 AS DOUBLE) AS rr FROM m0),
+t AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY candidate_iou DESC, pos, l_partkey, l_suppkey) - 1 AS k FROM q WHERE d2 > 0.49 * rr * rr AND d2 < 7.84 * rr * rr),
+m AS (SELECT frame_id, cx, cy, radius, score, candidate_source, pos, 0 AS step FROM m0
+  UNION ALL SELECT frame_id, cx, cy, radius, greatest(0, least(1, 0.7 * score + 0.6 * candidate_iou)), 'reticle_global_' || k, pos, 1 FROM t WHERE k < 3),
+x AS (SELECT frame_id, cx, cy, radius, score, candidate_source, pos, 2 AS step FROM fx_candidates WHERE selector_pool NOT IN ('primary', 'fallback') AND frame_id % 3 <> 0 AND frame_id IN (SELECT frame_id FROM f)
   AND frame_id NOT IN (SELECT frame_id FROM m GROUP BY frame_id HAVING count(*) >= 5)),
+y AS (SELECT frame_id, cx, cy, radius, score, candidate_source, pos, 3 AS step FROM fx_candidates WHERE selector_pool = 'fallback' AND frame_id % 2 = 0),
 g AS (SELECT frame_id, CAST(floor(640 * (0.15 + 0.35 * (i % 3))) AS BIGINT) AS cx, CAST(floor(360 * (0.2 + 0.6 * (i // 3))) AS BIGINT) AS cy, CAST(30 AS BIGINT) AS radius,
-  CAST(0.05 AS DOUBLE) AS score, 'grid' AS candidate_source, i AS pos, 2 AS step FROM f, range(6) t(i)
-  WHERE frame_id NOT IN (SELECT frame_id FROM m) AND frame_id NOT IN (SELECT frame_id FROM x)),
-a AS (SELECT frame_id, cx, cy, CAST(radius AS BIGINT) AS radius, score, candidate_source, CAST(pos AS BIGINT) AS pos, step FROM m
-  UNION ALL SELECT frame_id, cx, cy, radius, score, candidate_source, pos, step FROM x UNION ALL SELECT * FROM g),
+  CAST(0.05 AS DOUBLE) AS score, 'grid' AS candidate_source, i AS pos, 4 AS step FROM f, range({grid}) t(i)
+  WHERE frame_id NOT IN (SELECT frame_id FROM m) AND frame_id NOT IN (SELECT frame_id FROM x) AND frame_id NOT IN (SELECT frame_id FROM y)),
+a AS (SELECT frame_id, cx, cy, CAST(radius AS BIGINT) AS radius, score, candidate_source, CAST(pos AS BIGINT) AS pos, step
+  FROM (SELECT * FROM m UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM g) WHERE frame_id IN (SELECT frame_id FROM f)),
 l AS (SELECT frame_id, cx, cy, radius, arg_max(candidate_source, (step, pos)) AS src FROM a GROUP BY ALL),
-c AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, step, pos) AS rn FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, step, pos, cx, cy, radius) AS rn FROM a),
 r(frame_id, rn, kept) AS (
-  SELECT frame_id, CAST(1 AS BIGINT), [{'x': cx, 'y': cy, 'r': radius, 's': score}] FROM c WHERE rn = 1
+  SELECT frame_id, CAST(1 AS BIGINT), [{{'x': cx, 'y': cy, 'r': radius, 's': score}}] FROM c WHERE rn = 1
   UNION ALL
   SELECT c.frame_id, c.rn, CASE WHEN len(list_filter(r.kept, lambda k: (k.x - c.cx) * (k.x - c.cx) + (k.y - c.cy) * (k.y - c.cy) < greatest(k.r, c.radius, 1) * greatest(k.r, c.radius, 1))) > 0
-    THEN r.kept ELSE list_append(r.kept, {'x': c.cx, 'y': c.cy, 'r': c.radius, 's': c.score}) END
+    THEN r.kept ELSE list_append(r.kept, {{'x': c.cx, 'y': c.cy, 'r': c.radius, 's': c.score}}) END
   FROM r JOIN c ON c.frame_id = r.frame_id AND c.rn = r.rn + 1),
 last AS (SELECT frame_id, unnest(kept) AS k, unnest(range(len(kept))) AS i FROM (SELECT frame_id, kept FROM r QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY rn DESC) = 1)),
 o AS (SELECT last.frame_id, i, k.x AS cx, k.y AS cy, k.r AS r0, k.s AS score, greatest(k.r, 8) AS radius, src FROM last JOIN l ON l.frame_id = last.frame_id AND l.cx = k.x AND l.cy = k.y AND l.radius = k.r WHERE i < 10)
 SELECT frame_id, printf('crop_%02d', i) AS candidate_id, src AS candidate_source, cx, cy, round(score, 9) AS score,
-  greatest(0, cx - CAST(round_even(CAST(radius * 4.25 + 24 AS DOUBLE), 0) AS BIGINT)) AS x0, least(360, cy + CAST(round_even(CAST(radius * 4.25 + 24 AS DOUBLE), 0) AS BIGINT)) AS y1 FROM o""",
-)
-def _(t):
+  greatest(0, cx - CAST(round_even(CAST(radius * 4.25 + 24 AS DOUBLE), 0) AS BIGINT)) AS x0, least(360, cy + CAST(round_even(CAST(radius * 4.25 + 24 AS DOUBLE), 0) AS BIGINT)) AS y1 FROM o
+{scene}"""
+
+
+def _assembly(t, grid):
     frames = t.orders.select(
         F.col("o_orderkey").alias("frame_id"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(640).alias("x1"),
         F.lit(360).alias("y1"), F.lit(640).alias("width"), F.lit(360).alias("height"),
     )
-    main = t.fx_candidates.filter("selector_pool = 'primary'")
-    extra = t.fx_candidates.filter("selector_pool <> 'primary' AND frame_id % 3 <> 0")
-    rows = S.assemble_candidates(frames, main, extra, [-F.col("score"), "_step", "pos"])
+    rings = frames.select(
+        "frame_id", (F.col("frame_id") % 300 + 100).alias("ring_x"), F.lit(200).alias("ring_y"), (F.col("frame_id") % 40 + 20).alias("ring_radius")
+    )
+    main = t.fx_candidates.filter("selector_pool = 'primary' AND frame_id % 5 <> 0")
+    reticle = S.ring_candidates(main.withColumn("support", F.col("candidate_iou")), rings, AT)
+    extra = t.fx_candidates.filter("selector_pool NOT IN ('primary', 'fallback') AND frame_id % 3 <> 0")
+    late = t.fx_candidates.filter("selector_pool = 'fallback' AND frame_id % 2 = 0")
+    rows = S.assemble_candidates(frames, main, extra, [-F.col("score"), "_step", "pos", "cx", "cy", "radius"], rings=reticle, late=[late], grid=grid)
     return rows.select("frame_id", "candidate_id", "candidate_source", "cx", "cy", F.round("score", 9).alias("score"), "x0", "y1")
 
 
+@query("W11_assemble_candidates", _assembly_sql(6))
+def _(t):
+    return _assembly(t, 6)
+
+
+@query("W11_scene_fallback", _assembly_sql(0))
+def _(t):
+    return _assembly(t, 0)
+
+
 @query(
     "W12_boosted_score",
     f"""WITH c AS (SELECT frame_id, cx, cy, radius, count(*) AS copies, max(score) AS s FROM {CROWD_SQL} GROUP BY ALL),

@@ -446,8 +446,42 @@ def test_late_split_keeps_what_other_runs_wrote(spark, tmp_path):
     assert run("lost") == [[1, 2, 4], [3]]
 
 
-def test_ring_members_lie_between_two_radii(spark):
-    circles = spark.createDataFrame([(1, 100 + d, 50, s) for d, s in ((6, 0.9), (7, 0.8), (8, 0.1), (20, 0.5), (27, 0.7), (28, 0.95), (40, 0.99))], "frame_id long, cx int, cy int, score double")
-    rings = spark.createDataFrame([(1, 100, 50, 10)], "frame_id long, ring_x int, ring_y int, ring_radius int")
-    got = spatial.ring_members(circles, rings, [F.desc("score")])
-    assert rows(got, "ring_rank", "cx") == [(0, 127), (1, 120), (2, 108)]
+def test_ring_members_lie_between_two_radii_and_rank_by_support(spark):
+    """Per ring, the circles with most support, whatever their own score; the new score mixes both."""
+    data = [(1, 100 + d, 50, s, u) for d, s, u in ((6, 0.9, 1.0), (7, 0.8, 1.0), (8, 0.1, 0.2), (20, 0.5, 0.9), (27, 0.7, 0.1), (28, 0.95, 1.0))]
+    circles = spark.createDataFrame(data, "frame_id long, cx int, cy int, score double, support double")
+    rings = spark.createDataFrame([(1, 100, 50, 10), (1, 120, 50, 4)], "frame_id long, ring_x int, ring_y int, ring_radius int")
+    got = spatial.ring_candidates(circles, rings, ["cx"])
+    found = {(r["ring_x"], r["ring_rank"]): (r["cx"], r["candidate_source"], round(r["score"], 9)) for r in got.collect()}
+    assert found == {
+        (100, 0): (120, "reticle_global_0", 0.89), (100, 1): (108, "reticle_global_1", 0.19), (100, 2): (127, "reticle_global_2", 0.55),
+        (120, 0): (128, "reticle_global_0", 1.0), (120, 1): (127, "reticle_global_1", 0.55),
+    }
+
+
+def test_assembly_adds_late_sources_always_and_a_scene_where_nothing_is_left(spark):
+    schema = "frame_id long, cx int, cy int, radius int, score double, candidate_source string, pos int"
+    frames_ = spark.createDataFrame([(f, 0, 0, 320, 240, 320, 240) for f in (1, 2, 3)], "frame_id long, x0 int, y0 int, x1 int, y1 int, width int, height int")
+    main = spark.createDataFrame([(1, 20 * i, 100, 9, 0.5, "table_hough", i) for i in range(6)], schema)
+    blobs = spark.createDataFrame([(f, 300, 20, 9, 0.9, "white_blob", 0) for f in (1, 2)], schema)
+    late = [spark.createDataFrame([(1, 200, 200, 9, 0.1, name, 0)], schema) for name in ("colored_blob", "line_endpoint")]
+    found = spatial.assemble_candidates(frames_, main, blobs, [-F.col("score"), "_step", "pos"], late=late, grid=0).collect()
+    assert sorted({(r["frame_id"], r["candidate_source"]) for r in found}) == [
+        (1, "line_endpoint"), (1, "table_hough"), (2, "white_blob"), (3, "scene_fallback"),
+    ]
+    scene = next(r for r in found if r["frame_id"] == 3)
+    assert [scene[c] for c in ("candidate_id", "cx", "cy", "radius", "score", "x0", "y0", "x1", "y1")] == ["crop_00", 160, 120, 24, 0.0, 117, 77, 203, 163]
+
+
+def test_context_under_the_names_of_the_rules(spark):
+    """A mask 15 pixels from the nearest centre; the winner's own circle counts; unknown features are an error."""
+    px = spark.createDataFrame([(1, x, 0) for x in range(4)], "frame_id long, x int, y int")
+    circles = spark.createDataFrame([(1, 18, 0, 5, "table_hough", 0), (1, 40, 0, 30, "white_blob", 1)], "frame_id long, cx int, cy int, radius int, candidate_source string, pos int")
+    own = spark.createDataFrame([(1, 100, 0, 0, "external")], "frame_id long, cx int, cy int, radius int, candidate_source string")
+    row = spatial.context_features(px, circles, ["pos"], float("inf"), own).first()
+    assert row["candidate_count"] == 3 and row["min_candidate_center_distance"] == 15.0 and row["min_abs_candidate_boundary_distance"] == 7.0
+    assert row["nearest_candidate_source"] == "white_blob" and row["min_candidate_boundary_distance_norm"] == 7 / 30
+    assert row["mask_fraction_near_any_candidate"] == 1.0 and row["mask_fraction_inside_any_candidate"] == 0.0
+    state = spark.range(1)
+    with pytest.raises(ValueError, match="unsupported context rule key"):
+        cascade.reject_context(state, [{"source": "x", "min_no_such_feature": 1}])
\ No newline at end of file
