@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 # Path parts, prefixes and labels of the data format.
 FRAME_PATTERN = r"(?i)_f(\d+)(?:\.[^./]+)?$"
@@ -17,14 +16,19 @@ SKIPPED_DOC_KEYS = ("mask", "crop_meta", "full_frame_mask")
 FLAG_PREFIX = "selected_via_"
 
 
+def after(text: Column, n: int) -> Column:
+    """The text without its first ``n`` characters, however long it is."""
+    return F.right(text, F.greatest(F.char_length(text) - n, F.lit(0)))
+
+
 def normalize_path(path: Column, target: str = "posix") -> Column:
     """Drive letter form to mount form (``posix``) or back (``windows``); other paths unchanged."""
     if target == "posix":
         drive = F.regexp_extract(path, r"^([A-Za-z]):[\\/]", 1)
-        rest = F.translate(F.substring(path, 4, 1 << 20), "\\", "/")
+        rest = F.translate(after(path, 3), "\\", "/")
         return F.when(drive != "", F.concat(F.lit("/mnt/"), F.lower(drive), F.lit("/"), rest)).otherwise(path)
     drive = F.regexp_extract(path, r"^/mnt/([A-Za-z])/", 1)
-    rest = F.substring(path, 8, 1 << 20)
+    rest = after(path, 7)
     return F.when(drive != "", F.concat(F.upper(drive), F.lit(":/"), rest)).otherwise(path)
 
 
@@ -48,7 +52,7 @@ def strip_suffix(path: Column) -> Column:
 def output_stem(path: Column, root: str) -> Column:
     """Relative path without suffix, parts joined by two underscores; the bare stem outside the root."""
     prefix = root.rstrip("/") + "/"
-    relative = F.substring(path, len(prefix) + 1, 1 << 20)
+    relative = after(path, len(prefix))
     return F.when(
         path.startswith(prefix), F.replace(strip_suffix(relative), F.lit("/"), F.lit("__"))
     ).otherwise(strip_suffix(file_name(path)))
@@ -149,48 +153,18 @@ def tiny_line_flag(
     return (area > 0) & small
 
 
-def flatten_numeric(df: DataFrame, id_col: str, doc_col: str) -> DataFrame:
-    """Numbers of a JSON document as ``(id, name, value)`` with dotted names.
+def slim_document(doc: Column, max_entries: int = 512) -> Column:
+    """JSON text without nulls, nested lists and lists over ``max_entries``, at every level.
 
-    Masks, booleans, texts and lists longer than six are left out. Depth is open, so a small
-    Arrow-batched helper walks the parsed document; Spark spreads and explodes the result.
+    Built-ins can take a document apart, but not put one of open depth together, so a small Arrow-batched helper does it.
     """
 
-    def walk(name, value, out):
-        if isinstance(value, dict):
-            for key, child in value.items():
-                if key not in SKIPPED_DOC_KEYS:
-                    walk(f"{name}.{key}" if name else key, child, out)
-        elif isinstance(value, list):
-            if len(value) <= 6:
-                for index, child in enumerate(value):
-                    if not isinstance(child, (dict, list)):
-                        walk(f"{name}.{index}", child, out)
-        elif isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value):
-            out[name] = float(value)
-
-    @F.pandas_udf("map<string,double>")
-    def numbers(docs: pd.Series) -> pd.Series:
-        def one(doc):
-            out: dict[str, float] = {}
-            if doc:
-                walk("", json.loads(doc), out)
-            return out
-
-        return docs.map(one)
-
-    return df.select(id_col, F.explode(numbers(doc_col)).alias("name", "value"))
-
-
-def slim_document(doc: Column) -> Column:
-    """JSON text without nulls, nested lists and lists over 512 entries, at every level."""
-
     def slim(value):
         if isinstance(value, dict):
             kept = {k: slim(v) for k, v in value.items()}
             return {k: v for k, v in kept.items() if v is not None}
         if isinstance(value, list):
-            flat = len(value) <= 512 and not any(isinstance(v, (dict, list)) for v in value)
+            flat = len(value) <= max_entries and not any(isinstance(v, (dict, list)) for v in value)
             return value if flat else None
         return value
 
@@ -204,7 +178,7 @@ def slim_document(doc: Column) -> Column:
 def winner_flags(flags: Column, only_true: bool = True) -> Column:
     """From a ``map<string,boolean>`` keep the ``selected_via_*`` keys, prefix removed."""
     kept = F.map_filter(flags, lambda k, v: k.startswith(FLAG_PREFIX) & (v | F.lit(not only_true)))
-    return F.transform_keys(kept, lambda k, v: F.substring(k, len(FLAG_PREFIX) + 1, 1 << 20))
+    return F.transform_keys(kept, lambda k, v: after(k, len(FLAG_PREFIX)))
 
 
 def winner_pred_pixels(own: Column, values: Column) -> Column:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framegate.functions import geometry as G
 from framegate.functions import keys as K
 from framegate.operators import filters as X
+from framegate.operators.documents import flatten_leaves
 from framegate.operators.ranking import cap_per_key, hash_sample, keep_first, top_per_key
 from framegate.operators.spatial import crop_kind, pixels_in_boxes
 from framegate.operators.splits import group_holdout
@@ -355,28 +354,3 @@ def policy_difference(left: DataFrame, right: DataFrame, doc: str) -> DataFrame:
 
     joined = leaves(left, "left").join(leaves(right, "right"), "name", "full_outer")
     return joined.filter(~F.col("left").eqNullSafe(F.col("right")) | F.col("_left").isNull() | F.col("_right").isNull()).select("name", "left", "right")
-
-
-def flatten_leaves(df: DataFrame, id_col: str, doc: str) -> DataFrame:
-    """Every leaf of a JSON document as ``(id, name, value)`` with its JSON text; an empty object or list is a leaf."""
-    def walk(name, value, out):
-        if value and isinstance(value, dict):
-            for key, child in value.items():
-                walk(f"{name}.{key}" if name else key, child, out)
-        elif value and isinstance(value, list):
-            for i, child in enumerate(value):
-                walk(f"{name}.{i}" if name else str(i), child, out)
-        else:
-            out[name] = value if isinstance(value, str) else json.dumps(value)
-
-    @F.pandas_udf("map<string,string>")
-    def leaves(docs: pd.Series) -> pd.Series:
-        def one(text):
-            out: dict[str, str] = {}
-            if text:
-                walk("", json.loads(text), out)
-            return out
-
-        return docs.map(one)
-
-    return df.select(id_col, F.explode(leaves(doc)).alias("name", "value"))

@@ -14,7 +14,7 @@ from framegate.runtime import broadcast_if_small
 POSITIVE_KINDS = ("view_positive", "bbox_positive", "candidate_positive")
 NEGATIVE_KINDS = ("image_negative", "flat_negative")
 HARVEST_MARKERS = ("video_frames_model_harvest", "video_infer_harvest")
-HARVEST_MONTH = "2026-04"
+HARVEST_SINCE = ("2026-04",)
 
 
 def first_reason(checks: Sequence[tuple[Column, str]]) -> Column:
@@ -48,10 +48,15 @@ def exclude_ids(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     return df.join(broadcast_if_small(excluded.select(key).distinct()), key, "left_anti")
 
 
-def harvest_records(df: DataFrame, source_path: str, created_at: str) -> DataFrame:
+def harvest_records(
+    df: DataFrame, source_path: str, created_at: str, markers: Sequence[str] = HARVEST_MARKERS, dates: Sequence[str] = HARVEST_SINCE
+) -> DataFrame:
+    """Rows whose source path holds one of the ``markers`` or whose creation time starts with one of the ``dates``."""
     source, created = F.coalesce(source_path, F.lit("")), F.coalesce(created_at, F.lit(""))
-    hit = created.startswith(HARVEST_MONTH)
-    for marker in HARVEST_MARKERS:
+    hit = F.lit(False)
+    for date in dates:
+        hit = hit | created.startswith(date)
+    for marker in markers:
         hit = hit | source.contains(marker)
     return df.filter(hit)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from framegate.functions import keys as K
+from framegate.operators.documents import flatten_numeric
 from framegate.plans.registry import query
 
 
@@ -165,7 +166,7 @@ UNION ALL SELECT -1 - event_id, 'k', CAST(json_extract(props, '$.k') AS DOUBLE)
 )
 def _(t):
     docs = order_docs(t).unionByName(t.events.select((-1 - F.col("event_id")).alias("id"), F.col("props").alias("doc")))
-    return K.flatten_numeric(docs, "id", "doc")
+    return flatten_numeric(docs, "id", "doc")
 
 
 @query(

@@ -95,11 +95,12 @@ def _(t):
     return R.latest_run(runs).select("root", "run")
 
 
-def text_folder(t):
-    """The documents as text files, one per source, in a new folder."""
+def text_blocks(t, span=1000):
+    """The documents as text files in a new folder: one per source and ``span`` ids, written in parallel."""
     path = scratch_path(t.spark, "texts")
-    rows = t.documents.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text")
-    rows.write.partitionBy("source").text(path)
+    rows = t.documents.select("source", F.floor(F.col("doc_id") / span).alias("block"), "doc_id", "text")
+    rows = rows.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id")
+    rows.drop("doc_id").write.partitionBy("source", "block").text(path)
     return path
 
 
@@ -196,10 +197,14 @@ def _(t):
 
 @query(
     "S11_file_checksums",
-    "SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY source",
+    """WITH b AS (SELECT source, doc_id // 1000 AS block, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY ALL)
+SELECT source, sum(bytes)::BIGINT AS bytes, count(*) AS blocks, sha256(string_agg(digest, '' ORDER BY block)) AS sha256 FROM b GROUP BY source""",
 )
 def _(t):
-    return R.file_checksums(t.spark, text_folder(t)).select(source_of("path"), "bytes", "sha256")
+    files = R.file_checksums(t.spark, text_blocks(t))
+    block = F.regexp_extract("path", r"/block=(-?[0-9]+)/[^/]+$", 1).cast("long").alias("block")
+    source = F.regexp_extract("path", r"/source=([^/]*)/block=[^/]*/[^/]+$", 1).alias("source")
+    return R.tree_checksums(files.select(source, block, "bytes", "sha256"), ["source"], "block")
 
 
 @query(

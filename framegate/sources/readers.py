@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from framegate.operators.boards import flatten_leaves
+from framegate.operators.documents import flatten_leaves
 from framegate.operators.ranking import keep_first, top_per_key
 
 # Image file suffixes and the splits of a board.
@@ -128,6 +128,16 @@ def file_checksums(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def tree_checksums(files: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
+    """Size, number of blocks and digest of what is kept as many bounded files: ``files`` has ``(keys, block, bytes,
+    sha256)``, and the digest is the SHA-256 of the blocks' digests in block order. Files are hashed where they lie, so no
+    task reads more than a block; a digest of 64 characters per block is all that meets."""
+    digests = F.transform(F.array_sort(F.collect_list(F.struct(block, "sha256"))), lambda b: b["sha256"])
+    return files.groupBy(*keys).agg(
+        F.sum("bytes").alias("bytes"), F.count("*").alias("blocks"), F.sha2(F.array_join(digests, ""), 256).alias("sha256")
+    )
+
+
 def broken_dependencies(docs: DataFrame, id_col: str, doc: str, files: DataFrame) -> DataFrame:
     """Checkpoint paths named anywhere in a document that are absolute, leave the package or do not exist."""
     value = F.col("value")

@@ -1,12 +1,14 @@
 """Small cases with known results: labels, bounds, ties, splits, rules and errors."""
 
+import hashlib
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from framegate.functions import keys as K
 from framegate.functions import rules as R
-from framegate.operators import boards, cascade, filters, graph, joins, metrics, order, pixels, ranking, sequences, spatial, splits
+from framegate.operators import boards, cascade, documents, filters, graph, joins, metrics, order, pixels, ranking, sequences, spatial, splits
 from framegate.operators import thresholds as T
 from framegate.sources import readers
 from framegate.streaming import frames
@@ -292,6 +294,39 @@ def test_policy_documents_differ_only_by_path(spark):
     assert rows(boards.policy_difference(left, right, "doc"), "name", "left", "right") == [("l.1", "2", "3")]
 
 
+def test_documents_are_walked_level_by_level_without_python(spark):
+    doc = (
+        '{"a": 1, "b": {"c": 2.5, "mask": {"x": 9}, "d": {"e": -3}}, "l": [1, "t", 3, [4], {"z": 5}], "long": [1,2,3,4,5,6,7], '
+        '"t": "x", "n": null, "ok": true, "o": {}, "k": [], "big": 12345678901234567890, "deep": {"l": [[1]]}}'
+    )
+    docs = spark.createDataFrame([(1, doc), (2, None), (3, "7"), (4, "[1, 2]"), (5, "{}")], "id int, doc string")
+    numbers = documents.flatten_numeric(docs, "id", "doc")
+    assert "Python" not in numbers._jdf.queryExecution().toString()
+    assert rows(numbers, "id", "name", "value") == sorted(
+        [(1, "a", 1.0), (1, "b.c", 2.5), (1, "b.d.e", -3.0), (1, "l.0", 1.0), (1, "l.2", 3.0), (1, "big", 12345678901234567890.0), (3, "", 7.0), (4, "0", 1.0), (4, "1", 2.0)]
+    )
+    assert rows(documents.long_lists(docs, "id", "doc"), "id", "name", "entries") == [(1, "long", 7)]
+    assert rows(documents.flatten_numeric(docs.filter("id = 1"), "id", "doc", 7).filter("name LIKE 'long%'"), "name") == [(f"long.{i}",) for i in range(7)]
+    leaves = dict(rows(documents.flatten_leaves(docs.filter("id = 1"), "id", "doc"), "name", "value"))
+    assert leaves["o"] == "{}" and leaves["k"] == "[]" and leaves["n"] == "null" and leaves["ok"] == "true" and leaves["t"] == "x"
+    assert leaves["deep.l.0.0"] == "1" and leaves["l.4.z"] == "5" and leaves["b.mask.x"] == "9" and leaves["b.c"] == "2.5"
+    assert documents.flatten_numeric(docs.limit(0), "id", "doc").count() == 0
+
+
+def test_texts_are_never_cut(spark):
+    long = "x" * (1 << 20) + "/" + "y" * 5000
+    assert len(one(spark, K.normalize_path(F.lit("C:/" + long)))) == len("/mnt/c/" + long)
+    assert len(one(spark, K.output_stem(F.lit("/r/" + long), "/r"))) == len(long) + 1
+
+
+def test_digest_tree_of_blocks(spark):
+    blocks = [("s", n, 10 + n, hashlib.sha256(bytes([n])).hexdigest()) for n in (2, 10, 1)]
+    files = spark.createDataFrame(blocks, "source string, block long, bytes long, sha256 string").repartition(3)
+    row = readers.tree_checksums(files, ["source"], "block").first()
+    ordered = "".join(b[3] for b in sorted(blocks, key=lambda b: b[1]))
+    assert (row["bytes"], row["blocks"], row["sha256"]) == (43, 3, hashlib.sha256(ordered.encode()).hexdigest())
+
+
 def test_selector_rule_skips_the_current_item(spark):
     data = [("f", "c0", "primary", 0.9, 0), ("f", "c1", "primary", 0.5, 1), ("f", "c2", "primary", 0.5, 2)]
     flat = spark.createDataFrame(data, "frame_id string, candidate_id string, selector_pool string, score double, pos int").withColumns(
