@@ -66,12 +66,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder, files = _file_system(spark, path)
+    files.delete(folder, True)
+
+
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it doesn't exist."""
+    folder, files = _file_system(spark, path)
+    if not files.exists(folder):
+        return []
+    return [f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory() and not f.getPath().getName().startswith("_")]
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete written tables whose readers have been written themselves."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(table.staged_at)
-        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(table.sparkSession, table.staged_at)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

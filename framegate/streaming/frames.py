@@ -16,7 +16,8 @@ from pyspark.sql.streaming.state import GroupState
 from framegate.operators.metrics import gate_measures, gate_metrics
 from framegate.operators.ranking import keep_first
 from framegate.operators.sequences import thin_decisions
-from framegate.runtime import scratch_path
+from framegate.runtime import scratch_path, stage, unstage
+from framegate.streaming.tables import BucketTable, DoneKeys
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
@@ -106,20 +107,18 @@ def window_counts(frames: DataFrame, width: str, delay: str) -> DataFrame:
 def upsert_latest(spark: SparkSession, stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Run an update-mode aggregation and return the last value of every key.
 
-    Each batch appends its changed rows with the batch number; a repeated batch writes the same numbers again, so the
-    newest row per key is right whatever was retried.
+    Each batch puts its changed rows in place of the old ones, in the buckets it touches; see ``tables.BucketTable``.
     """
-    base = scratch_path(spark, name)
-    table = f"{base}/table"
+    table = BucketTable(spark, f"{scratch_path(spark, name)}/table", keys)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/run={number}")
+        changed = stage(batch, "changed")
+        table.merge(changed, number)
+        unstage(changed)
 
     drain_batches(stream, write, "update", name)
-    rows = spark.read.parquet(table)
-    values = [c for c in stream.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, "_v.*")
+    rows = table.rows(table.committed()[1])
+    return spark.createDataFrame([], stream.schema) if rows is None else rows.select(*stream.columns)
 
 
 def summary_measures(rows: DataFrame, split: str = "split") -> DataFrame:
@@ -141,23 +140,9 @@ def unique_stream(frames: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def _earlier(batch: DataFrame, table: str, number: int) -> tuple[str, DataFrame | None]:
-    """The stream's run id, which its checkpoint keeps, and the rows that other runs and earlier batches wrote."""
-    from framegate.sources.readers import path_exists
-
-    spark = batch.sparkSession
-    run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-    if not path_exists(spark, table):
-        return run, None
-    rows = spark.read.option("basePath", table).parquet(table)
-    return run, rows.filter((F.col("run") != run) | (F.col("batch") < number))
-
-
-def _fresh(batch: DataFrame, keys: list[str], *done: DataFrame | None) -> DataFrame:
-    for rows in done:
-        if rows is not None:
-            batch = batch.join(rows.select(*keys).distinct(), keys, "left_anti")
-    return batch
+def _run_of(batch: DataFrame) -> str:
+    """The stream's run id, which its checkpoint keeps."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
 def harvest(
@@ -169,14 +154,18 @@ def harvest(
     Of the rows with one key in a batch the first by ``order`` counts (all other columns by default). Every batch of a
     run has its own folder, which only a retry of that batch replaces; the run id lives in the checkpoint, so a lost
     checkpoint or a second job starts folders of its own. Frames that any other run or an earlier batch has written are
-    skipped, so no id comes twice and nothing that was written goes away.
+    skipped, so no id comes twice and nothing that was written goes away. What was written is known from an index of keys
+    (``table``-index) of which a batch reads the buckets of its own keys, not from the table.
     """
     order = order or [c for c in stream.columns if c != key]
 
     def write(batch: DataFrame, number: int) -> None:
-        run, done = _earlier(batch, table, number)
-        fresh = _fresh(keep_first(batch, [key], order), [key], done)
+        run, rows = _run_of(batch), stage(keep_first(batch, [key], order), "batch")
+        index = DoneKeys(batch.sparkSession, f"{table}-index", [table], run, [key])
+        fresh = stage(index.fresh(rows, number)[0], "fresh")
         decide(fresh).write.mode("overwrite").parquet(f"{table}/run={run}/batch={number}")
+        index.commit(fresh, number)
+        unstage(rows, fresh)
 
     base = checkpoint or f"{table}-checkpoint"
     stream.writeStream.foreachBatch(write).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
@@ -195,24 +184,24 @@ def split_late(
 ) -> None:
     """Write frames in time to ``table`` and frames older than the newest seen time minus ``delay`` to ``late_table``.
 
-    The newest time seen before is read back from a small table, one row per batch, so the fate of a frame does not
-    change when a batch is repeated. Folders go by run and batch like those of ``harvest``; frames whose ``keys`` another
-    run or an earlier batch has written to either table are skipped.
+    The newest time seen before is a note of the index of keys, so the fate of a frame does not change when a batch is
+    repeated. Folders go by run and batch like those of ``harvest``; frames whose ``keys`` another run or an earlier batch
+    has written to either table are skipped.
     """
-    seen = f"{table}-seen"
 
     def write(batch: DataFrame, number: int) -> None:
-        timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
-        run, in_time = _earlier(batch, table, number)
-        timed = _fresh(timed, keys, in_time, _earlier(batch, late_table, number)[1])
-        before = _earlier(batch, seen, number)[1]
-        newest = None if before is None else before.agg(F.max("newest").alias("n")).first()["n"]
+        run = _run_of(batch)
+        rows = stage(batch.withColumn("ts", F.col("ts").cast("timestamp")), "batch")
+        index = DoneKeys(batch.sparkSession, f"{table}-index", [table, late_table], run, keys)
+        fresh, newest = index.fresh(rows, number)
+        timed = stage(fresh, "fresh")
         limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         late = F.coalesce(F.col("ts") < limit, F.lit(False))
-        folder = f"run={run}/batch={number}"
-        newer = timed.agg(F.max("ts").alias("newest"))
-        for rows, target in ((timed.filter(~late), table), (timed.filter(late), late_table), (newer, seen)):
-            rows.write.mode("overwrite").parquet(f"{target}/{folder}")
+        for part, target in ((timed.filter(~late), table), (timed.filter(late), late_table)):
+            part.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
+        here = timed.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("n")).first()["n"]
+        index.commit(timed, number, max((n for n in (newest, here) if n is not None), default=None))
+        unstage(rows, timed)
 
     base = checkpoint or f"{table}-checkpoint"
     stream.writeStream.foreachBatch(write).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()

@@ -11,7 +11,7 @@ from framegate.functions import rules as R
 from framegate.operators import boards, cascade, documents, filters, graph, joins, metrics, order, pixels, ranking, sequences, spatial, splits
 from framegate.operators import thresholds as T
 from framegate.sources import readers
-from framegate.streaming import frames
+from framegate.streaming import frames, tables
 
 
 def rows(df, *columns):
@@ -443,6 +443,38 @@ def test_harvest_survives_a_lost_checkpoint_and_a_second_job(spark, tmp_path):
     assert harvested(spark, table) == before + [(12, 3), (13, 3), (14, 3)]
 
 
+def test_reads_and_files_of_a_batch_stay_flat_over_fifty_batches(spark, tmp_path):
+    """A batch rewrites its buckets only; a repeated one, also after its commit, gives the same rows."""
+    table = tables.BucketTable(spark, str(tmp_path / "t"), ["id"], buckets=4)
+
+    def rows_of(n):
+        return spark.createDataFrame([(n % 7, n), (100 + n % 3, n)], "id long, v long").coalesce(1)
+
+    files, expected = [], {}
+    for n in range(50):
+        table.merge(rows_of(n), n)
+        expected |= {n % 7: n, 100 + n % 3: n}
+        if n % 10 == 9:
+            table.merge(rows_of(n), n)
+            files.append(sum(1 for _ in tmp_path.rglob("*.parquet")))
+            assert dict(rows(table.rows(table.committed()[1]), "id", "v")) == expected
+    assert len(table.commits()) == 2 and max(files) <= 2 * 4 + 2
+    assert table.committed(49)[0] == 48 and dict(rows(table.rows(table.committed(49)[1]), "id", "v"))[48 % 7] == 48
+
+
+def test_keys_written_after_the_last_commit_are_known(spark, tmp_path):
+    """A run that wrote a batch, but not its index, and lost its checkpoint."""
+    table, index = str(tmp_path / "out"), str(tmp_path / "out-index")
+    keys = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    first = tables.DoneKeys(spark, index, [table], "a", ["id"])
+    keys.filter("id < 2").write.parquet(f"{table}/run=a/batch=0")
+    first.commit(keys.filter("id < 2"), 0, "x")
+    keys.filter("id = 2").write.parquet(f"{table}/run=a/batch=1")
+    fresh, note = tables.DoneKeys(spark, index, [table], "b", ["id"]).fresh(keys, 0)
+    assert rows(fresh, "id") == [(3,), (4,), (5,)] and note == "x"
+    assert rows(first.fresh(keys, 1)[0], "id") == [(2,), (3,), (4,), (5,)]
+
+
 def test_harvest_repeats_a_batch_with_the_same_rows(spark, tmp_path):
     """A batch that failed after it wrote is replaced, not added; the first row of a key by the order stays."""
     source, table = str(tmp_path / "in"), str(tmp_path / "out")
