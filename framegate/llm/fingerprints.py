@@ -69,6 +69,11 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return shared(a, b) / len(a) if len(a) else 1.0
 
 
+def below(found: np.ndarray, fraction: float = FRACTION) -> bool:
+    """Whether a sketch holds what lies below the threshold; not if it fell back to its smallest hash."""
+    return not len(found) or bool(found[0] < np.uint64(int(fraction * 2**64)))
+
+
 def as_text(found: np.ndarray) -> str:
     """16 hex digits per hash."""
     return found.astype(">u8").tobytes().hex()
@@ -96,7 +101,7 @@ def _compare(text: str, own: np.ndarray, following: str, nxt: np.ndarray) -> tup
     new = edited(text, following)
     other = sketch(new)
     small, large = sorted((own, other), key=len)
-    near = likeness(own, other), likeness(own, nxt), containment(small, large)
+    near = likeness(own, other), likeness(own, nxt), containment(small, large) if below(small) else None
     return len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(own), as_text(other), *near
 
 
@@ -132,7 +137,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     also goes to the range before, and the very first to the last. So tasks stream sorted ranges with one row of
     look-ahead, after one shuffle. Only bounds and firsts, a few numbers per range, pass the driver. Null texts are empty;
     null ids come last; rows with one id are ordered by a hash of the text and follow each other. ``contained`` is the
-    containment of the smaller sketch in the larger one. Other columns are left out; an empty table gives no rows.
+    containment of the smaller sketch in the larger one, null if the smaller one is a text's smallest hash only, which
+    lies above the threshold and so in no larger sketch. Other columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

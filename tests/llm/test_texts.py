@@ -1,6 +1,7 @@
 """Operators that keep a row per document: language, quality, licences, fingerprints."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import edge
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from framegate.llm import fingerprints, language, licenses, quality
@@ -59,6 +61,36 @@ def test_language_mixture_and_edge_cases(spark):
     assert kept.columns == docs.columns and kept.where("doc_id in (3, 4, 5, 17)").count() == 0
 
 
+def plain_mixture(likelihood, counts, share, prior, weight=1.0, rounds=40, tolerance=1e-4):
+    """Expectation-maximisation with every trigram and language in a loop."""
+    for _ in range(rounds):
+        new = [weight * p for p in prior]
+        for j, n in enumerate(counts):
+            parts = [s * row[j] for s, row in zip(share, likelihood)]
+            for i, part in enumerate(parts):
+                new[i] += n * part / sum(parts)
+        new = [v / (sum(counts) + weight) for v in new]
+        moved = max(abs(a - b) for a, b in zip(new, share))
+        share = new
+        if moved < tolerance:
+            break
+    log = sum(n * math.log(sum(s * row[j] for s, row in zip(share, likelihood))) for j, n in enumerate(counts))
+    return share, log
+
+
+def test_mixture_equals_a_plain_em(spark):
+    model = language.train(spark.read.parquet(f"{edge.SF_DIR}/documents.parquet"))
+    for row in spark.read.parquet(f"{edge.SF_DIR}/documents.parquet").where("length(text) between 200 and 900").limit(15).collect():
+        buckets, counts = language.grams(row["text"])
+        likelihood = model.probability[:, buckets]
+        start = np.full(len(model.names), 1 / len(model.names))
+        share, log = model._mix(likelihood, counts, start, model.prior)
+        plain, value = plain_mixture(likelihood.tolist(), counts.tolist(), start.tolist(), model.prior.tolist())
+        assert np.allclose(share, plain, atol=1e-9) and log == pytest.approx(value, rel=1e-9)
+        name, _, shares, _ = model.infer(row["text"])
+        assert max(shares, key=shares.get) == name and sum(shares.values()) == pytest.approx(1, abs=1e-6)
+
+
 def test_language_likelihood_never_falls():
     """EM: more rounds do not lower the (penalised by the prior) likelihood of a mixture."""
     rng = np.random.default_rng(1)
@@ -100,6 +132,22 @@ def test_quality_edge_cases(spark):
     assert len(quality.features("x" * 100 + " \n")) == len(quality.FEATURES)
 
 
+def test_batched_scores_equal_a_plain_loop_over_bins(spark):
+    docs, labels = (spark.read.parquet(f"{edge.SF_DIR}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert len(model.pairs) == 8 and len(model.tables) == len(quality.FEATURES)
+    found = {r["doc_id"]: r["score"] for r in quality.classify(docs, model).collect()}
+    for row in docs.collect():
+        x, total = quality.features(row["text"] or ""), model.intercept
+        at = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges)]
+        coarse = [sum(v >= e for e in edges) for v, edges in zip(x, model.coarse)]
+        for k, b in enumerate(at):
+            total += model.tables[k][b]
+        for (i, j), table in model.pairs.items():
+            total += table[coarse[i]][coarse[j]]
+        assert found[row["doc_id"]] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+
+
 def test_quality_tables_learn_steps_and_interactions():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(4000, 4))
@@ -213,7 +261,17 @@ def test_near_notices_get_labels(spark):
 
 
 def plain_sketch(text):
-    return {int(h) for h in fingerprints.sketch(text)}
+    """The sketch by whole numbers, a shingle at a time."""
+    words = [xxhash.xxh64_intdigest(w) for w in re.split(rb"[\x20\x09-\x0d]+", text.encode().lower()) if w]
+    width, mask, hashes = min(5, len(words)), (1 << 64) - 1, set()
+    for i in range(len(words) - width + 1 if width else 0):
+        h = width
+        for w in words[i : i + width]:
+            h = (h * 0x9E3779B97F4A7C15 + w) & mask
+        h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 29) * 0x94D049BB133111EB & mask
+        hashes.add(h ^ h >> 32)
+    return {h for h in hashes if h < 2**61} or ({min(hashes)} if hashes else set())
 
 
 def test_weaker_notices_beside_a_better_one_are_found():
@@ -258,6 +316,13 @@ def test_sketches_estimate_and_merge():
     assert len(fingerprints.sketch("one two")) == 1
 
 
+def test_containment_is_unknown_for_a_sketch_above_the_threshold(spark):
+    small = next(t for t in (f"note {i}" for i in range(99)) if not fingerprints.below(fingerprints.sketch(t)))
+    docs = spark.createDataFrame([(1, small), (2, edge.prose(1, 400))], "doc_id long, text string")
+    found = {r["doc_id"]: r["contained"] for r in fingerprints.compare_with_next(docs).collect()}
+    assert found[1] is None and 0 <= found[2] <= 1
+
+
 def test_fingerprint_edge_cases(spark):
     docs = edge.documents(spark)
     assert fingerprints.compare_with_next(docs).count() == len(edge.rows())
