@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framegate.functions.keys import SKIPPED_DOC_KEYS
-from framegate.runtime import stage, unstage
+from framegate.runtime import stage
 
 #: Longest list whose entries count as numbers of a document.
 MAX_ITEMS = 6
@@ -26,30 +26,31 @@ def exploded(df: DataFrame, id_col: str, doc: str, skipped: tuple[str, ...] = ()
     is exploded, so there are as many jobs as levels, and no document is parsed twice.
     """
     spark = df.sparkSession
-    kind = F.schema_of_variant("value").alias("kind")
-    root = df.select(id_col, F.lit("").alias("name"), F.parse_json(doc).alias("value"), F.lit(False).alias("listed")).filter("value IS NOT NULL")
-    level = stage(root.select("*", kind), "level")
-    done, levels = [], [level]
-    while True:
-        size = F.json_array_length(F.to_json("value"))
-        full = (_is("ARRAY") & (size > 0)) | (_is("OBJECT") & (F.to_json("value") != "{}"))
+
+    def judged(nodes: DataFrame) -> DataFrame:
+        """The nodes with their kind and whether they are gone into; lists are measured once, objects not at all."""
+        size = F.when(_is("ARRAY"), F.json_array_length(F.to_json("value")))
+        full = (F.col("kind") != "OBJECT<>") & (_is("OBJECT") | F.coalesce(size > 0, F.lit(False)))
         if max_items is not None:
-            full = full & ~F.col("listed") & (~_is("ARRAY") | (size <= max_items))
-        done.append(level.filter(~full))
-        inner = level.filter(full)
-        if inner.isEmpty():
-            break
-        inner = inner.withColumnsRenamed({"value": "_whole", "kind": "_kind"}).drop("listed")
-        nodes = inner.lateralJoin(spark.tvf.variant_explode(F.col("_whole").outer()))
+            full = full & ~F.col("listed") & F.coalesce(size <= max_items, F.lit(True))
+        return nodes.withColumn("kind", F.schema_of_variant("value")).withColumn("full", full)
+
+    def children(nodes: DataFrame) -> DataFrame:
+        """What the open nodes hold; the others stand for themselves."""
+        held = nodes.select(id_col, F.col("name").alias("_name"), F.col("value").alias("_whole"), F.when(F.col("full"), F.col("value")).alias("_open"))
+        found = held.lateralJoin(spark.tvf.variant_explode_outer(F.col("_open").outer()))
+        found = found.filter(F.col("key").isNull() | ~F.col("key").isin(*skipped)) if skipped else found
         step = F.coalesce("key", F.col("pos").cast("string"))
-        name = F.when(F.col("name") == "", step).otherwise(F.concat_ws(".", "name", step))
-        nodes = nodes.filter(F.col("key").isNull() | ~F.col("key").isin(*skipped)) if skipped else nodes
-        nodes = nodes.select(id_col, name.alias("name"), "value", F.col("key").isNull().alias("listed"))
-        level = stage(nodes.select("*", kind), "level")
-        levels.append(level)
-    found = stage(reduce(DataFrame.unionByName, done).select(id_col, "name", "kind", "value", "listed"), "nodes")
-    unstage(*levels)
-    return found
+        name = F.when(step.isNull() | (F.col("_name") == ""), F.coalesce(step, "_name")).otherwise(F.concat_ws(".", "_name", step))
+        value, listed = F.coalesce("value", "_whole"), F.col("key").isNull() & F.col("pos").isNotNull()
+        return stage(judged(found.select(id_col, name.alias("name"), value.alias("value"), listed.alias("listed"))), "level")
+
+    root = df.select(id_col, F.lit("").alias("name"), F.parse_json(doc).alias("value"), F.lit(False).alias("listed"))
+    levels = [children(judged(root.filter("value IS NOT NULL")))]
+    while not (inner := levels[-1].filter("full")).isEmpty():
+        levels.append(children(inner))
+    closed = [found.filter("NOT full").select(id_col, "name", "kind", "value", "listed") for found in levels]
+    return reduce(DataFrame.unionByName, closed)
 
 
 def flatten_numeric(df: DataFrame, id_col: str, doc: str, max_items: int = MAX_ITEMS) -> DataFrame:

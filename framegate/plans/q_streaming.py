@@ -70,7 +70,7 @@ def _(t):
     path = frame_files(t, 2)
     t.spark.read.parquet(path).filter("frame_index % 3 = 0").write.mode("append").parquet(path)
     stream = S.file_stream(t.spark, path, 1_000)
-    return S.drain(S.unique_stream(stream, ["video_id", "frame_index"], "400 days"), name="unique").select("video_id", "frame_index")
+    return S.drain(S.unique_stream(stream, ["video_id", "frame_index"], "2 hours"), name="unique").select("video_id", "frame_index")
 
 
 @query("ST6_incremental_summary", GATE_SQL)
