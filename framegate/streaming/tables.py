@@ -40,7 +40,7 @@ class BucketTable:
     def rows(self, folders: dict[int, int], buckets: set[int] | None = None) -> DataFrame | None:
         """The rows of a commit, of some buckets only if given; None if there are none."""
         wanted = [(b, f) for b, f in folders.items() if buckets is None or b in buckets]
-        paths = [f"{self.path}/data/folder={f}/bucket={b}" for b, f in sorted(wanted)]
+        paths = [f"{self.path}/data/folder={f}/bucket__={b}" for b, f in sorted(wanted)]
         return self.spark.read.parquet(*paths) if paths else None
 
     def touched(self, rows: DataFrame) -> set[int]:
@@ -53,8 +53,8 @@ class BucketTable:
         old = self.rows(folders, hit)
         merged = rows if old is None else rows.unionByName(old.join(rows.select(*self.keys), self.keys, "left_anti"))
         if hit:
-            placed = merged.withColumn("bucket", self.bucket()).repartition("bucket")
-            placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/folder={batch}")
+            placed = merged.withColumn("bucket__", self.bucket()).repartition("bucket__")
+            placed.write.mode("overwrite").partitionBy("bucket__").parquet(f"{self.path}/data/folder={batch}")
         now = {**folders, **{b: batch for b in hit}}
         entries = [(b, now.get(b), note) for b in range(self.buckets)]
         commit = self.spark.createDataFrame(entries, "bucket int, folder int, note string").coalesce(1)
@@ -69,7 +69,7 @@ class BucketTable:
         for name in child_folders(self.spark, f"{self.path}/data"):
             folder = f"{self.path}/data/{name}"
             for bucket in child_folders(self.spark, folder):
-                if (int(bucket.removeprefix("bucket=")), int(name.removeprefix("folder="))) not in needed:
+                if (int(bucket.removeprefix("bucket__=")), int(name.removeprefix("folder="))) not in needed:
                     delete_folder(self.spark, f"{folder}/{bucket}")
             if not child_folders(self.spark, folder):
                 delete_folder(self.spark, folder)
