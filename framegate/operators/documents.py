@@ -45,7 +45,10 @@ def exploded(df: DataFrame, id_col: str, doc: str, skipped: tuple[str, ...] = ()
         value, listed = F.coalesce("value", "_whole"), F.col("key").isNull() & F.col("pos").isNotNull()
         return stage(judged(found.select(id_col, name.alias("name"), value.alias("value"), listed.alias("listed"))), "level")
 
-    root = df.select(id_col, F.lit("").alias("name"), F.parse_json(doc).alias("value"), F.lit(False).alias("listed"))
+    texts, cores = df.select(id_col, doc), spark.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:
+        texts = texts.repartition(cores)  # a few files would leave every level to a few tasks
+    root = texts.select(id_col, F.lit("").alias("name"), F.parse_json(doc).alias("value"), F.lit(False).alias("listed"))
     levels = [children(judged(root.filter("value IS NOT NULL")))]
     while not (inner := levels[-1].filter("full")).isEmpty():
         levels.append(children(inner))
