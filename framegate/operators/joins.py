@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from framegate.functions import rules as R
 from framegate.functions.geometry import Box, box, box_iou, point_distance
 from framegate.operators.ranking import hash_sample, keep_first, top_per_key
-from framegate.runtime import broadcast_if_small
+from framegate.runtime import stage, broadcast_if_small
 
 
 def lookup(rows: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -196,7 +196,7 @@ def already_labelled(rows: DataFrame, path: str, labelled: Sequence[DataFrame])
 
 def restrict_to_manifest(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in the manifest; no match at all is an error."""
-    kept = rows.join(manifest.select(key).distinct(), key, "left_semi")
+    kept = stage(rows.join(manifest.select(key).distinct(), key, "left_semi"), "restricted")
     if kept.isEmpty():
         raise ValueError("the manifest matches no row")
     return kept

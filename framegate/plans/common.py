@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 CANDIDATE_ORDER = ["pos", "l_partkey", "l_suppkey", "score"]
 ITEM_FIELDS = frozenset(
-    "candidate_id candidate_source selector_pool score candidate_score pred_pixels cx cy radius".split()
+    ("candidate_id", "candidate_source", "selector_pool", "score", "candidate_score", "pred_pixels", "cx", "cy", "radius")
 )
 
 
