@@ -88,12 +88,25 @@ def _hot(names: str, value: Column) -> Column:
     return F.transform(names, lambda n: F.when(n == value, 1.0).otherwise(0.0))
 
 
+def _by_name(names: str, values: Column) -> Column:
+    """The values of a map in the order of ``names``, null where it has none; other keys are left out.
+
+    ``map_zip_with`` looks both sides up by hash, so this is linear in the names and the keys of the row.
+    """
+    wanted = F.map_from_arrays(F.col(names), F.transform(names, lambda n: F.lit(None).cast("double")))
+    known = F.transform_values(F.coalesce(values, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))), lambda k, v: v.cast("double"))
+    return F.slice(F.map_values(F.map_zip_with(wanted, known, lambda k, w, v: v)), 1, F.size(names))
+
+
 def _flag_hot(names: str, flags: Column) -> Column:
-    return F.transform(names, lambda n: F.coalesce(F.array_contains(flags, n), F.lit(False)).cast("double"))
+    there = F.array_distinct(F.array_compact(flags))
+    marks = F.map_from_arrays(there, F.transform(there, lambda f: F.lit(1.0)))
+    return F.transform(_by_name(names, marks), lambda m: F.coalesce(m, F.lit(0.0)))
 
 
 def _with_spec(rows: DataFrame, spec: DataFrame, parts: Callable[[], list[Column]]) -> DataFrame:
-    """Adds ``vector`` from the name lists of ``spec``, whose one row goes to every task; no name enters the plan."""
+    """Adds ``vector`` from the name lists of ``spec``, whose one row goes to every task; no name enters the plan. It
+    holds one name per number of a vector, so it is of the size of one row of the result."""
     return rows.crossJoin(F.broadcast(spec)).withColumn("vector", F.concat(*parts())).drop(*spec.columns)
 
 
@@ -101,14 +114,13 @@ def dense_vectors(rows: DataFrame, spec: DataFrame, values: str = "values", sour
     """Adds ``vector``: a value and a has-value flag per number, then one-hot source, group and flags."""
     s = F.coalesce(source, F.lit(""))
 
-    def number(n: Column) -> Column:
-        value = F.try_element_at(F.col(values), n)
+    def number(value: Column) -> Column:
         return F.array(F.coalesce(value, F.lit(0.0)), value.isNotNull().cast("double"))
 
     return _with_spec(
         rows, spec,
         lambda: [
-            F.flatten(F.transform("numeric_names", number)), _hot("source_names", s),
+            F.flatten(F.transform(_by_name("numeric_names", F.col(values)), number)), _hot("source_names", s),
             _hot("source_group_names", model_source_group(s)), _flag_hot("flag_names", F.col(flags)),
         ],
     )
@@ -138,8 +150,7 @@ def pair_vectors(pairs: DataFrame, spec: DataFrame) -> DataFrame:
     (zero unless both are known), then one-hot sources, groups and pools of both sides and the flags."""
     zero = F.lit(0.0)
 
-    def number(n: Column) -> Column:
-        a, b = (F.try_element_at(F.col(f"{i}.values"), n) for i in ("current", "candidate"))
+    def number(a: Column, b: Column) -> Column:
         return F.array(
             F.coalesce(a, zero), a.isNotNull().cast("double"), F.coalesce(b, zero), b.isNotNull().cast("double"), F.coalesce(b - a, zero)
         )
@@ -150,7 +161,8 @@ def pair_vectors(pairs: DataFrame, spec: DataFrame) -> DataFrame:
     return _with_spec(
         pairs, spec,
         lambda: [
-            F.flatten(F.transform("numeric_names", number)), *(_hot("source_names", sources[i]) for i in sides),
+            F.flatten(F.zip_with(*(_by_name("numeric_names", F.col(f"{i}.values")) for i in sides), number)),
+            *(_hot("source_names", sources[i]) for i in sides),
             *(_hot("source_group_names", model_source_group(sources[i])) for i in sides), *(_hot("pool_names", pools[i]) for i in sides),
             *(_flag_hot(f"{i}_flag_names", F.col(f"{i}.flags")) for i in sides),
         ],

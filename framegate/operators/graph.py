@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from framegate.operators.order import exact_quantiles
 from framegate.operators.pixels import mask_geometry
 from framegate.operators.ranking import top_per_key
 from framegate.runtime import cut, stage, unstage
@@ -228,7 +229,7 @@ def prune_spurs(pixels: DataFrame, keys: Sequence[str], rounds: int = 3) -> Data
         placed = pixel_degrees(current, keys).join(axis, keys)
         off = F.abs((F.col("y") - F.col("cy")) * F.col("axis_x") - (F.col("x") - F.col("cx")) * F.col("axis_y"))
         placed = placed.withColumn("_off", off)
-        band = placed.groupBy(*keys).agg(F.percentile("_off", F.lit(0.82)).alias("_q"))
+        band = exact_quantiles(placed, keys, "_off", {"_q": 0.82})
         q, far = F.col("_q"), F.col("_off")
         spur = ((F.col("degree") <= 1) & (far > F.greatest(F.lit(0.75), q + 0.10))) | (
             (F.col("degree") <= 2) & (far > q + F.greatest(F.lit(0.45), 0.22 * F.greatest(F.lit(1.0), q)))

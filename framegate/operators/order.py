@@ -51,6 +51,21 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     return ranked.withColumn(name, F.col("_before") + F.col(INDEX) + 1).drop(PART, INDEX, "_before")
 
 
+def narrow_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """As ``global_rank`` for rows with wide columns: only the distinct order keys are range partitioned and written, and
+    the rows, shuffled once, pick up their place by a join on their key. Rows with equal keys are numbered by a hash of
+    their content, so a task that runs again gives every row the same place; nulls come first, as in a sort."""
+    key, before = "_order", "_before"
+    counts = df.groupBy(*order).agg(F.count("*").alias("_n"))
+    places = running_sums(counts, [], list(order), {before: "_n"}).select(
+        F.struct(*order).alias(key), (F.col(before) - F.col("_n")).alias(before)
+    )
+    content = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    ties = W.partitionBy(key).orderBy(F.xxhash64(*content), *order)
+    placed = df.withColumn(key, F.struct(*order)).join(places, key)
+    return placed.withColumn(name, F.col(before) + F.row_number().over(ties)).drop(key, before)
+
+
 def grouped_rank(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rank"
 ) -> DataFrame:

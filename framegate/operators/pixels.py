@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framegate.functions.geometry import box_shape, clip
+from framegate.operators.order import exact_quantiles
 
 
 def mask_shape(pixels: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:
@@ -366,7 +367,7 @@ def dominant_colour_mask(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     medians = middle.groupBy("frame_id").agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m{c}") for c in ("a", "b", "c")])
     square = sum(((F.col(c) - F.col(f"_m{c}")) * (F.col(c) - F.col(f"_m{c}")) for c in ("a", "b", "c")), F.lit(0.0))
     measured = placed.join(medians, "frame_id").withColumn("distance", F.sqrt(square))
-    cut80 = measured.filter("_in").groupBy("frame_id").agg(F.percentile("distance", F.lit(0.8)).alias("_p80"))
+    cut80 = exact_quantiles(measured.filter("_in"), ["frame_id"], "distance", {"_p80": 0.8})
     limit = F.greatest(F.lit(14.0), F.col("_p80") * 1.35 + 6.0)
     return measured.join(cut80, "frame_id").select(
         "frame_id", "x", "y", "distance", (F.col("distance") <= limit).alias("is_table"),

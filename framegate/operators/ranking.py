@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from framegate.operators.order import global_rank
+from framegate.operators.order import narrow_rank
 
 
 def top_per_key(
@@ -98,7 +98,7 @@ def resume_from(
     last_index: int | None = None, start: int | None = None,
 ) -> DataFrame:
     """Work list from the resume point on: explicit start, else the last path, else the clamped last index."""
-    ranked = global_rank(df, order, "_rank").withColumn("position", F.col("_rank") - 1)
+    ranked = narrow_rank(df, order, "_rank").withColumn("position", F.col("_rank") - 1)
     facts = ranked.agg(
         F.max("position").alias("_last"),
         F.min(F.when(F.lower(path_col) == (last_path or "").lower(), F.col("position"))).alias("_at_path"),

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framegate.functions.keys import HASH_BITS_SPAN, stable_fraction
-from framegate.operators.order import global_rank, hash_rank, null_safe_join
+from framegate.operators.order import hash_rank, narrow_rank, null_safe_join
 
 
 BLOCK_TURNS = 10_000
@@ -61,7 +61,7 @@ def stratified_split(
 
 def temporal_split(rows: DataFrame, order: Sequence[str], val_ratio: float) -> DataFrame:
     """Adds ``split``: the last share of a time order to ``val``, both sides non-empty."""
-    ranked = _with_totals(global_rank(rows, order, "_rank"), [])
+    ranked = _with_totals(narrow_rank(rows, order, "_rank"), [])
     n = F.col("_n")
     cut_at = F.greatest(F.lit(1), F.least(n - 1, _rounded_share(n, 1.0 - val_ratio)))
     return ranked.withColumn("split", F.when(F.col("_rank") <= cut_at, "train").otherwise("val")).drop("_rank", "_n")
@@ -120,8 +120,8 @@ def round_robin_negatives(
     Row ``i`` reuses source row ``i`` modulo the source size, so sources repeat evenly. Returns
     ``(sample_id, kind, source_rank)`` joined to the source's columns.
     """
-    pos = global_rank(positives, pos_order, "_rank").withColumn("_slot", F.col("_rank") - 1).drop("_rank")
-    neg = global_rank(negatives, neg_order, "_rank").withColumn("_slot", F.col("_rank") - 1).drop("_rank")
+    pos = narrow_rank(positives, pos_order, "_rank").withColumn("_slot", F.col("_rank") - 1).drop("_rank")
+    neg = narrow_rank(negatives, neg_order, "_rank").withColumn("_slot", F.col("_rank") - 1).drop("_rank")
     n_pos = positives.agg(F.count("*").alias("n_pos"))
     n_neg = negatives.agg(F.count("*").alias("n_neg"))
     counts = n_pos.crossJoin(n_neg)  # one row
