@@ -109,3 +109,45 @@ def test_vectors_leave_unknown_names_out(spark):
     assert got[1][:5] == [0.0, 0.0, 2.0, 1.0, 1.0] and got[1][-2:] == [0.0, 1.0]
     assert got[2][:5] == [0.0] * 5 and got[2][-2:] == [0.0, 0.0] and len({len(v) for v in got.values()}) == 1
     assert got[3][:5] == [0.0] * 5
+
+
+def test_board_is_evaluated_from_winners_to_report(spark):
+    from framegate.operators import evaluation
+
+    board = spark.createDataFrame(
+        [("a", "val", 1), ("b", "val", 2), ("b2", "neg", 2), ("c", "neg", 3), ("d", "neg", 4), ("e", "val", 5), ("f", "val", 6)],
+        "id string, split string, frame_id long",
+    )
+    winners = spark.createDataFrame(
+        [(1, "c1", "hough", 0.9, 4, ["fallback", "fallback"]), (2, "c1", "blob", 0.5, 0, []), (3, "c2", "hough", 0.4, 2, None), (6, "c1", None, 0.1, 3, ["rescue"]), (9, "c1", "x", 1.0, 9, [])],
+        "frame_id long, candidate_id string, candidate_source string, score double, final_pixels long, flags array<string>",
+    )
+    masks = spark.createDataFrame(
+        [(1, "c1", x, 0) for x in range(4)] + [(1, "c1", 0, 0), (1, "c9", 50, 50)] + [(2, "c1", x, 0) for x in range(9)]
+        + [(3, "c2", 0, 0), (3, "c2", 1, 0)] + [(6, "c1", 90, y) for y in range(3)] + [(9, "c1", 0, 0)],
+        "frame_id long, candidate_id string, x int, y int",
+    )
+    truth = spark.createDataFrame(
+        [(1, x, 0) for x in range(1, 5)] + [(2, 0, 0)] * 2 + [(5, 1, 1), (6, 0, 0), (9, 0, 0)], "frame_id long, x long, y long"
+    )
+    rows = evaluation.evaluate_board(board, winners, masks, truth).cache()
+    got = {r["id"]: (r["gt_pixels"], r["pred_pixels"], round(r["iou"], 6), r["failure_type"], r["winner_source"]) for r in rows.collect()}
+    assert got == {
+        "a": (4, 4, 0.6, "success", "hough"), "b": (1, 0, 0.0, "positive_no_prediction", "blob"), "b2": (1, 0, 0.0, "positive_no_prediction", "blob"),
+        "c": (0, 2, 0.0, "negative_false_positive", "hough"), "d": (0, 0, 1.0, "true_negative", None),
+        "e": (1, 0, 0.0, "positive_no_prediction", None), "f": (1, 3, 0.0, "positive_zero_iou_wrong_prediction", None),
+    }
+    report = {r["scope"]: r for r in evaluation.evaluation_report(rows).collect()}
+    assert set(report) == {"val", "neg", "overall"} and report["overall"]["count"] == 7
+    assert report["overall"]["winner_source_counts"] == {"None": 3, "blob": 2, "hough": 2}
+    assert report["val"]["winner_flag_counts"] == {"fallback": 1, "rescue": 1} and report["neg"]["winner_flag_counts"] == {}
+    assert report["neg"]["negative_false_positive_source_counts"] == {"hough": 1}
+    assert report["overall"]["failure_counts"]["positive_no_prediction"] == 3
+    assert [r["id"] for r in evaluation.worst_items(rows, 3).collect()] == ["f", "c", "b2"]
+    assert evaluation.evaluate_board(board, winners, masks, truth, ["neg"]).count() == 3
+    assert evaluation.evaluate_board(board.limit(0), winners, masks, truth).count() == 0
+    try:
+        evaluation.evaluate_board(board, winners, masks, truth, ["neg", "nowhere"])
+        raise AssertionError("an unknown split is an error")
+    except ValueError as error:
+        assert "nowhere" in str(error)
