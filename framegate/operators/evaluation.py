@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from framegate.operators.metrics import SUCCESS_IOU, count_entries, failure_label, gate_summary
 from framegate.operators.pixels import dice, iou, overlap_counts
 from framegate.operators.ranking import worst
+from framegate.runtime import stage
 
 # The count maps of a report, by the kind of their entries.
 COUNT_MAPS = {
@@ -42,11 +43,13 @@ def evaluate_board(
     rejected (no final pixels), or that has no mask rows, predicts nothing; so does a frame without a winner. Items of one
     frame share its counts; repeated pixels count once; a split the board doesn't have is an error.
 
-    Pixels are cut to the frames of the board and to winning masks before they meet, and both sides meet in one aggregation.
+    The board's winners are written once, since masks and rows both need them and they end a long plan. Pixels are cut to the
+    frames of the board and to winning masks before they meet, and both sides meet in one aggregation.
     """
     items = _chosen_splits(board, splits)
     frames = items.select("frame_id").distinct()
-    best = winners.join(frames, "frame_id", "left_semi")
+    narrow = winners.select("frame_id", "candidate_id", "candidate_source", "score", "flags", "final_pixels")
+    best = stage(narrow.join(frames, "frame_id", "left_semi"), "winners")
     shown = best.filter(F.col("final_pixels") > 0).select("frame_id", "candidate_id")
     spot = [F.col("frame_id"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")]
     predicted = masks.join(shown, ["frame_id", "candidate_id"], "left_semi").select(*spot, F.lit("pred").alias("side"))
@@ -66,8 +69,10 @@ def evaluate_board(
 def evaluation_report(rows: DataFrame) -> DataFrame:
     """Gate metrics and count maps of evaluated rows, one row per split and one for ``overall``.
 
-    Counts are taken once per split and summed again for all, so rows are aggregated once for the maps.
+    The columns it needs are written once, for metrics and maps; counts are taken per split and summed again for all.
     """
+    needed = ["split", "gt_pixels", "pred_pixels", "iou", "dice", "failure_type", "winner_source", "winner_flags"]
+    rows = stage(rows.select(*needed), "evaluated")
     flags = F.coalesce(F.array_compact("winner_flags"), F.array().cast("array<string>"))
     named = rows.withColumns({"winner_source": F.coalesce("winner_source", F.lit(NO_SOURCE)), "_flags": F.array_distinct(flags)})
     entries = count_entries(named, F.col("_flags"))
