@@ -7,6 +7,7 @@ from framegate.operators import pixels as P
 from framegate.operators import thresholds as T
 from framegate.plans.q_spatial import valued_pixels
 from framegate.plans.registry import query
+from framegate.runtime import stage
 
 
 def rounded(df, places=6):
@@ -171,7 +172,7 @@ def _(t):
 SELECT mode, threshold, round(composite, 6) AS composite_score FROM c QUALIFY row_number() OVER (PARTITION BY mode ORDER BY round(composite, 9) DESC, round(centerline_f1, 9) DESC, round(pixel_precision, 9) DESC, threshold) = 1""",
 )
 def _(t):
-    swept = sweep(t)
+    swept = stage(sweep(t), "sweep")  # a row per threshold, read once per mode
     best = [M.best_threshold(swept, mode).select(F.lit(mode).alias("mode"), "threshold", "composite_score") for mode in M.COMPOSITE_WEIGHTS]
     return rounded(best[0].unionAll(best[1]).unionAll(best[2]))
 
