@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from framegate.operators import spatial
+from framegate.operators import sequences, spatial
 from framegate.plans import registry
 from framegate.runtime import cut
 
@@ -34,3 +34,20 @@ def test_exploded_rows_are_not_broadcast(parts):
     kept = cut(pixels)
     met = kept.join(kept.select("frame_id", "x", "y", F.lit(1).alias("again")), ["frame_id", "x", "y"])
     assert "BroadcastHashJoin" not in plan(met) and met.count() > 0
+
+
+def test_frames_far_apart_share_a_chunk(spark):
+    frames = spark.range(300).select((F.col("id") % 3).alias("v"), (F.col("id") * 10_000).alias("i"), (F.col("id") % 7).alias("x"))
+    chunks = sequences._chunked(frames, "v", "i", "x", 50).groupBy("v", "_chunk").count().collect()
+    assert sorted((r["v"], r["_chunk"], r["count"]) for r in chunks) == [(v, c, 50) for v in range(3) for c in range(2)]
+
+
+def test_average_starts_again_after_a_missing_value(spark):
+    values = [None if i in (20, 39, 40) else float(i * 31 % 17) for i in range(90)]
+    df = spark.createDataFrame([(None, i * 1000, x) for i, x in enumerate(values)], "v string, i long, x double")
+    got = sequences.moving_average(df, "v", "i", "x", 0.9, 10).orderBy("i").collect()
+    state = None
+    for r, x in zip(got, values):
+        state = x if state is None or x is None else state * 0.9 + x * 0.1
+        now = None if r["average"] is None or r["average"] != r["average"] else r["average"]
+        assert now is None if state is None else abs(now - state) < 1e-9
