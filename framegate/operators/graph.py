@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framegate.operators.order import exact_quantiles
@@ -120,35 +120,62 @@ def shortest_paths(pixels: DataFrame, seeds: DataFrame, keys: Sequence[str]) ->
     """Hops from the seed and the path back to it for every reachable pixel.
 
     A skeleton is a thin set inside one image, and its breadth-first search needs as many steps as the path is
-    long, so each frame is walked by one small helper; frames are spread by Spark. ``path`` is the row of step
-    numbers from the seed; the first found path wins, neighbours are tried by row, then column.
+    long, so each frame is walked by one small helper. Frames are spread by Spark and arrive sorted in Arrow batches;
+    only the pixels of one frame are kept between batches. ``path`` is the row of step numbers from the seed; the first
+    found path wins, neighbours are tried by row, then column.
     """
     keys = list(keys)
-    marked = pixels.select(*keys, "x", "y").distinct().join(seeds.select(*keys, "x", "y").withColumn("_seed", F.lit(True)), [*keys, "x", "y"], "left")
+    seen = pixels.select(*keys, "x", "y", F.lit(False).alias("_seed"))
+    seen = seen.unionByName(seeds.select(*keys, "x", "y", F.lit(True).alias("_seed")), allowMissingColumns=True)
+    # A seed that is not a pixel is no start.
+    marked = seen.dropna().repartition(*keys).groupBy(*keys, "x", "y").agg(
+        F.bool_or("_seed").alias("_seed"), F.bool_and("_seed").alias("_only")
+    ).filter("NOT _only")
     types = dict(pixels.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", x bigint, y bigint, hops int, path string"
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = set(zip(pdf["y"], pdf["x"]))
-        front = [(y, x, "") for y, x in pdf.loc[pdf["_seed"].notna(), ["y", "x"]].itertuples(index=False)]
-        todo -= {(y, x) for y, x, _ in front}
-        found, hops = [], 0
+    def walk(todo: set, starts: list) -> Iterator[tuple]:
+        front = [(y, x, "") for y, x in starts]
+        todo.difference_update(starts)
+        hops = 0
         while front:
-            found += [(x, y, hops, path) for y, x, path in front]
             ahead = []
             for y, x, path in front:
+                yield x, y, hops, path
                 for number, (dy, dx) in enumerate(STEPS):
                     spot = (y + dy, x + dx)
                     if spot in todo:
                         todo.remove(spot)
                         ahead.append((*spot, path + str(number)))
             front, hops = ahead, hops + 1
-        out = pd.DataFrame(found, columns=["x", "y", "hops", "path"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
 
-    return marked.groupBy(*keys).applyInPandas(walk, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, todo, starts, found, kinds = None, set(), [], [], []
+
+        def built() -> pa.RecordBatch:
+            columns = zip(*found) if found else [[] for _ in range(len(keys) + 4)]
+            all_kinds = [*kinds, pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, all_kinds)]
+            return pa.RecordBatch.from_arrays(arrays, [*keys, "x", "y", "hops", "path"])
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            frames = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            for at, x, y, seed in zip(frames, *[batch.column(c).to_pylist() for c in ("x", "y", "_seed")]):
+                if at != frame:
+                    found += [(*frame, *row) for row in walk(todo, starts)] if starts else []
+                    frame, todo, starts = at, set(), []
+                todo.add((y, x))
+                if seed:
+                    starts.append((y, x))
+            yield built()
+            found = []
+        if starts:
+            found = [(*frame, *row) for row in walk(todo, starts)]
+            yield built()
+
+    placed = marked.select(*keys, "x", "y", "_seed").sortWithinPartitions(*keys, "y", "x")
+    return placed.mapInArrow(run, schema)
 
 
 def path_points(path: Column, x: Column, y: Column) -> Column:
@@ -251,12 +278,20 @@ def suppress_masks(masks: DataFrame, ranks: DataFrame, min_iou: float, max_masks
     """Greedy mask suppression: in rank order keep a mask unless it overlaps a kept one by ``min_iou``, at most
     ``max_masks`` per frame. ``masks`` has ``(frame_id, mask_id, x, y)``, ``ranks`` has ``(frame_id, mask_id, rank)``.
 
-    The best mask left in a frame is always kept, so a round keeps it and meets its pixels with those of the others: a
-    pixel has one kept mask at most, so that join gives no more rows than there are pixels, however many masks lie over
-    one. There are at most ``max_masks`` rounds.
+    Masks travel as tiles of 8x8 pixels, a word of bits each; a pixel counts once. The best mask left in a frame is always
+    kept, so a round keeps it and meets its tiles with those of the others: a tile has one kept mask at most, so that join
+    gives no more rows than there are tiles, however many masks lie over one. There are at most ``max_masks`` rounds.
     """
-    pixels = stage(masks.select("frame_id", "mask_id", "x", "y"), "masks")
-    sizes = pixels.groupBy("frame_id", "mask_id").agg(F.count("*").alias("area"))
+    spot = F.pmod(F.col("y"), F.lit(8)) * 8 + F.pmod(F.col("x"), F.lit(8))
+    # A pixel is one bit of the word of its 8x8 tile, set in every map task before anything moves.
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), spot.cast("int"))
+    tile = {"_tx": F.floor(F.col("x") / 8), "_ty": F.floor(F.col("y") / 8), "_bit": bit}
+    words = masks.select("frame_id", "mask_id", "x", "y").withColumns(tile).groupBy("frame_id", "mask_id", "_tx", "_ty").agg(
+        F.bit_or("_bit").alias("_bits"), F.count_if(F.col("_bit").isNull()).alias("_nowhere")
+    )
+    tiles = stage(words, "masks")
+    area = F.coalesce(F.bit_count("_bits"), F.lit(0)) + F.col("_nowhere")
+    sizes = tiles.groupBy("frame_id", "mask_id").agg(F.sum(area).alias("area"))
     left = stage(sizes.join(ranks, ["frame_id", "mask_id"]).select("frame_id", "mask_id", "rank", "area"), "left")
     kept: DataFrame | None = None
     for _ in range(max_masks):
@@ -264,13 +299,14 @@ def suppress_masks(masks: DataFrame, ranks: DataFrame, min_iou: float, max_masks
             break
         best = stage(top_per_key(left, ["frame_id"], ["rank"]), "best")
         kept = best if kept is None else kept.unionByName(best)
-        spots = pixels.join(best, ["frame_id", "mask_id"]).select("frame_id", "x", "y", F.col("area").alias("_area"))
-        others = pixels.join(left, ["frame_id", "mask_id"]).join(spots, ["frame_id", "x", "y"])
-        shared = others.groupBy("frame_id", "mask_id", "area", "_area").agg(F.count("*").alias("_i"))
+        spots = tiles.join(best, ["frame_id", "mask_id"]).select("frame_id", "_tx", "_ty", F.col("_bits").alias("_kept"), F.col("area").alias("_area"))
+        others = tiles.join(left, ["frame_id", "mask_id"]).join(spots, ["frame_id", "_tx", "_ty"])
+        both = F.bit_count(F.col("_bits").bitwiseAND(F.col("_kept")))
+        shared = others.groupBy("frame_id", "mask_id", "area", "_area").agg(F.sum(both).alias("_i")).filter("_i > 0")
         gone = shared.filter(F.col("_i") / (F.col("area") + F.col("_area") - F.col("_i")) >= min_iou)
         out = gone.select("frame_id", "mask_id").union(best.select("frame_id", "mask_id"))
         before = left
         left = stage(left.join(out, ["frame_id", "mask_id"], "left_anti"), "left")
         unstage(before)
-    unstage(pixels)
+    unstage(tiles)
     return left.limit(0) if kept is None else kept

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from framegate.operators import sequences, spatial
+from framegate.operators import graph, sequences, spatial
 from framegate.plans import registry
 from framegate.runtime import cut
 
@@ -51,3 +51,36 @@ def test_average_starts_again_after_a_missing_value(spark):
         state = x if state is None or x is None else state * 0.9 + x * 0.1
         now = None if r["average"] is None or r["average"] != r["average"] else r["average"]
         assert now is None if state is None else abs(now - state) < 1e-9
+
+
+def test_paths_walk_frames_without_a_data_frame_each(spark):
+    line = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("a", 2, 1), ("b", 5, 5), ("b", 9, 9), ("c", 1, 1), (None, 0, 0)], "frame string, x long, y long")
+    seeds = spark.createDataFrame([("a", 0, 0), ("b", 5, 5), ("c", 7, 7)], "frame string, x long, y long")
+    walked = graph.shortest_paths(line, seeds, ["frame"])
+    assert "FlatMapGroupsInPandas" not in plan(walked)
+    rows = sorted(tuple(r) for r in walked.collect())
+    assert rows == [("a", 0, 0, 0, ""), ("a", 1, 1, 1, "7"), ("a", 2, 1, 2, "74"), ("b", 5, 5, 0, "")]
+
+
+def test_mask_pixels_count_once(spark):
+    square = [(x, y) for x in range(-3, 7) for y in range(-3, 7)]
+    moved = [(x + 5, y) for x, y in square]  # half of it lies on the square: an overlap of a third
+    rows = [(1, 1, *p) for p in square + square[:40]] + [(1, 2, *p) for p in moved + moved[60:]] + [(1, 3, 50, 50)]
+    masks = spark.createDataFrame(rows, "frame_id long, mask_id long, x long, y long")
+    ranks = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3)], "frame_id long, mask_id long, rank long")
+
+    def kept(min_iou):
+        return sorted(r["mask_id"] for r in graph.suppress_masks(masks, ranks, min_iou, 5).collect())
+
+    assert kept(0.33) == [1, 3] and kept(0.34) == [1, 2, 3]
+
+
+def test_boxes_of_frames_without_points_are_not_copied(spark):
+    points = spark.createDataFrame([(1, 5, 5)], "frame_id long, px long, py long")
+    boxes = spark.range(1, 50).select(
+        F.col("id").alias("frame_id"), *[F.lit(v).alias(n) for n, v in (("x0", 0), ("y0", 0), ("x1", 99), ("y1", 99), ("area", 9801))],
+        F.lit(0.5).alias("score"), F.col("id").alias("pos"),
+    )
+    hit = spatial.smallest_containing(points, boxes, ["pos"])
+    assert "LeftSemi" in plan(hit)
+    assert [(r["frame_id"], r["pos"]) for r in hit.collect()] == [(1, 1)]
