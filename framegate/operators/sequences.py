@@ -42,16 +42,20 @@ def thin_decisions(index, value, last_index, last_value, min_gap: int, threshold
 
 def _chunked(frames: DataFrame, key: str, index: str, value: str, chunk: int) -> DataFrame:
     """The frames with their place in their sequence and the chunk of that place: ``chunk`` rows each, so that frame numbers
-    far apart don't make a chunk of each frame. Frames of one number are taken by value."""
-    rows = frames.select(key, F.col(index), F.col(value).cast("double").alias(value))
-    placed = grouped_rank(rows, [key], [index, value], "_at")
+    far apart don't make a chunk of each frame. Frames of one number are taken by value. Frames without a key are no
+    sequence: each range of ``chunk`` numbers among them (``_span``) is one of its own."""
+    rows = frames.select(
+        key, F.when(F.col(key).isNull(), F.floor(F.col(index) / chunk).cast("bigint")).alias("_span"), F.col(index),
+        F.col(value).cast("double").alias(value),
+    )
+    placed = grouped_rank(rows, [key, "_span"], [index, value], "_at")
     return placed.withColumn("_chunk", F.floor((F.col("_at") - 1) / chunk).cast("bigint"))
 
 
 def _sorted_runs(rows: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     """Rows of every chunk in order, led by one row that carries the chunk's start state (``_s1``, ``_s2``)."""
     led = rows.withColumn("_lead", F.lit(False)).unionByName(starts.withColumn("_lead", F.lit(True)), allowMissingColumns=True)
-    return led.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", F.col("_lead").desc(), "_at")
+    return led.repartition(key, "_span", "_chunk").sortWithinPartitions(key, "_span", "_chunk", F.col("_lead").desc(), "_at")
 
 
 def _numbers(batch: pa.RecordBatch, *names: str) -> list[list[float]]:
@@ -85,22 +89,22 @@ def _walk(
 
 
 def _ends(batches: Iterator[pa.RecordBatch], key: str, numbers: Sequence[str], step: Callable, made: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """One row per sorted run: its key, its chunk and the numbers ``made`` from the state in which ``step`` leaves it."""
+    """One row per sorted run: its key, span, chunk and the numbers ``made`` from the state in which ``step`` leaves it."""
     name, kind, state, last = None, None, None, []
 
     def closed(some: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array([r[0] for r in some], kind), pa.array([r[1] for r in some], pa.int64())]
-        ends = [pa.array([r[2][i] for r in some], pa.float64()) for i in range(len(made))]
-        return pa.RecordBatch.from_arrays([*columns, *ends], [key, "_chunk", *made])
+        columns = [pa.array([r[i] for r in some], t) for i, t in enumerate((kind, pa.int64(), pa.int64()))]
+        ends = [pa.array([r[3][i] for r in some], pa.float64()) for i in range(len(made))]
+        return pa.RecordBatch.from_arrays([*columns, *ends], [key, "_span", "_chunk", *made])
 
     for batch in batches:
         kind, out = batch.column(key).type, []
-        columns, keys, chunks = _numbers(batch, *numbers), batch.column(key), batch.column("_chunk")
+        columns, names = _numbers(batch, *numbers), [batch.column(c) for c in (key, "_span", "_chunk")]
         for lead, begin, end, start in _runs(batch, state):
             if lead is not None:
                 if name is not None:
                     out.append((*name, state))
-                name = (keys[lead].as_py(), chunks[lead].as_py())
+                name = [c[lead].as_py() for c in names]
             state = start
             if end > begin:
                 state = step(*[c[begin:end] for c in columns], state)[-1]
@@ -123,30 +127,31 @@ def thin_sequence(
     gap = max(0, min_gap)
     rows = cut(_chunked(frames, key, index, value, chunk))
     types = dict(rows.dtypes)
+    sequence, run_of = [key, "_span"], [key, "_span", "_chunk"]
 
     def decide(indexes, values, state):
         decisions, scores, *state = thin_decisions(indexes, values, *state, gap, threshold)
         return decisions, [None if s != s else s for s in scores], tuple(state)
 
     nothing = F.lit(None).cast("double")
-    chunks = cut(rows.select(key, "_chunk").distinct().withColumns({"_s1": nothing, "_s2": nothing}))
-    several = chunks.filter("_chunk > 0").select(key).distinct()
-    starts = cut(null_safe_join(chunks, several, [key], "left_semi"))
+    chunks = cut(rows.select(*run_of).distinct().withColumns({"_s1": nothing, "_s2": nothing}))
+    several = chunks.filter("_chunk > 0").select(*sequence).distinct()
+    starts = cut(null_safe_join(chunks, several, sequence, "left_semi"))
     todo, ends = starts, None
-    in_order = W.partitionBy(key).orderBy("_chunk")  # one row per chunk
+    in_order = W.partitionBy(*sequence).orderBy("_chunk")  # one row per chunk
     while not todo.isEmpty():
-        again = null_safe_join(rows, todo.select(key, "_chunk"), [key, "_chunk"], "left_semi")
+        again = null_safe_join(rows, todo.select(*run_of), run_of, "left_semi")
         run = _sorted_runs(again, todo, key).mapInArrow(
-            lambda b: _ends(b, key, [index, value], decide, ["_e1", "_e2"]), f"{key} {types[key]}, _chunk bigint, _e1 double, _e2 double"
+            lambda b: _ends(b, key, [index, value], decide, ["_e1", "_e2"]), f"{key} {types[key]}, _span bigint, _chunk bigint, _e1 double, _e2 double"
         )
         run = run.withColumns({c: F.nanvl(c, nothing) for c in ("_e1", "_e2")})
-        ends = cut(run if ends is None else run.unionByName(null_safe_join(ends, todo.select(key, "_chunk"), [key, "_chunk"], "left_anti")))
-        moved = cut(ends.select(key, "_chunk", *[F.lag(e).over(in_order).alias(s) for e, s in (("_e1", "_s1"), ("_e2", "_s2"))]))
+        ends = cut(run if ends is None else run.unionByName(null_safe_join(ends, todo.select(*run_of), run_of, "left_anti")))
+        moved = cut(ends.select(*run_of, *[F.lag(e).over(in_order).alias(s) for e, s in (("_e1", "_s1"), ("_e2", "_s2"))]))
         old = starts.withColumnsRenamed({"_s1": "_o1", "_s2": "_o2"})
         same = F.col("_s1").eqNullSafe(F.col("_o1")) & F.col("_s2").eqNullSafe(F.col("_o2"))
-        todo = cut(null_safe_join(moved, old, [key, "_chunk"]).filter(~same).drop("_o1", "_o2"))
+        todo = cut(null_safe_join(moved, old, run_of).filter(~same).drop("_o1", "_o2"))
         starts = moved
-    whole = null_safe_join(chunks, several, [key], "left_anti").unionByName(starts)
+    whole = null_safe_join(chunks, several, sequence, "left_anti").unionByName(starts)
     schema = f"{key} {types[key]}, {index} {types[index]}, {value} double, decision string, score double"
     made = [pa.field("decision", pa.string()), pa.field("score", pa.float64())]
     return _sorted_runs(rows, whole, key).mapInArrow(lambda b: _walk(b, [key, index, value], [index, value], decide, made), schema)
@@ -163,6 +168,7 @@ def moving_average(
     """
     rows = cut(_chunked(frames, key, index, value, chunk))
     types = dict(rows.dtypes)
+    sequence, run_of = [key, "_span"], [key, "_span", "_chunk"]
     take = 1.0 - keep
 
     def average(values, state):
@@ -181,13 +187,13 @@ def moving_average(
         return (first, zero, left),
 
     nothing = F.lit(None).cast("double")
-    chunks = cut(rows.select(key, "_chunk").distinct().withColumns({"_s1": nothing, "_s2": nothing}))
+    chunks = cut(rows.select(*run_of).distinct().withColumns({"_s1": nothing, "_s2": nothing}))
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _ends(batches, key, [value], lambda v, s: share(v, s if len(s) == 3 else (np.nan, 0.0, 1.0)), ["_first", "_zero", "_left"])
 
-    ends = _sorted_runs(rows, chunks, key).mapInArrow(shares, f"{key} {types[key]}, _chunk bigint, _first double, _zero double, _left double")
-    lead = ends.withColumn("_lead", F.lit(False)).repartition(key).sortWithinPartitions(key, "_chunk")
+    ends = _sorted_runs(rows, chunks, key).mapInArrow(shares, f"{key} {types[key]}, _span bigint, _chunk bigint, _first double, _zero double, _left double")
+    lead = ends.withColumn("_lead", F.lit(False)).repartition(*sequence).sortWithinPartitions(*run_of)
 
     def begin_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = np.nan
@@ -198,9 +204,9 @@ def moving_average(
                 starts.append(state)
                 # Nothing of a start is left after a missing value, nor is there anything to keep of an open one.
                 state = first if state != state else (left * state + zero)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_chunk"), pa.array(starts, pa.float64())], [key, "_chunk", "_s1"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in run_of], pa.array(starts, pa.float64())], [*run_of, "_s1"])
 
-    starts = lead.mapInArrow(begin_states, f"{key} {types[key]}, _chunk bigint, _s1 double").withColumn("_s2", nothing)
+    starts = lead.mapInArrow(begin_states, f"{key} {types[key]}, _span bigint, _chunk bigint, _s1 double").withColumn("_s2", nothing)
     schema = f"{key} {types[key]}, {index} {types[index]}, {value} double, average double"
     made = [pa.field("average", pa.float64())]
     return _sorted_runs(rows, starts, key).mapInArrow(lambda b: _walk(b, [key, index, value], [value], average, made), schema)

@@ -44,7 +44,7 @@ def test_frames_far_apart_share_a_chunk(spark):
 
 def test_average_starts_again_after_a_missing_value(spark):
     values = [None if i in (20, 39, 40) else float(i * 31 % 17) for i in range(90)]
-    df = spark.createDataFrame([(None, i * 1000, x) for i, x in enumerate(values)], "v string, i long, x double")
+    df = spark.createDataFrame([("v", i * 1000, x) for i, x in enumerate(values)], "v string, i long, x double")
     got = sequences.moving_average(df, "v", "i", "x", 0.9, 10).orderBy("i").collect()
     state = None
     for r, x in zip(got, values):
@@ -84,3 +84,12 @@ def test_boxes_of_frames_without_points_are_not_copied(spark):
     hit = spatial.smallest_containing(points, boxes, ["pos"])
     assert "LeftSemi" in plan(hit)
     assert [(r["frame_id"], r["pos"]) for r in hit.collect()] == [(1, 1)]
+
+
+def test_frames_without_a_video_are_cut_by_frame_number(spark):
+    rows = [(None, i * 4, float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "v long, i long, x double")
+    averages = {r["i"]: r["average"] for r in sequences.moving_average(df, "v", "i", "x", 0.9, 20).collect()}
+    assert (averages[0], averages[20]) == (0.0, 5.0) and len(averages) == 10
+    thinned = {r["i"]: r["decision"] for r in sequences.thin_sequence(df, "v", "i", "x", 100, 0.0, 20).collect()}
+    assert [i for i, d in sorted(thinned.items()) if d == "kept"] == [0, 20]
