@@ -175,7 +175,7 @@ def moving_average(
         now, out = state[0], []
         for v in values:
             now = v if now != now else keep * now + take * v
-            out.append(now)
+            out.append(now if now == now else None)
         return out, (now, state[1])
 
     def share(values, state):
