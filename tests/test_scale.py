@@ -92,3 +92,23 @@ def test_frames_without_a_video_are_cut_by_frame_number(spark):
     assert (averages[0], averages[20]) == (0.0, 5.0) and len(averages) == 10
     thinned = {r["i"]: r["decision"] for r in sequences.thin_sequence(df, "v", "i", "x", 100, 0.0, 20).collect()}
     assert [i for i, d in sorted(thinned.items()) if d == "kept"] == [0, 20]
+
+
+def test_circle_neighbours_meet_once_in_grids_of_their_size(spark):
+    rows = [(f, (i * 37) % 211, (i * 53) % 307, 1 + (i * i) % (3, 40, 900)[f % 3], 0) for f in range(3) for i in range(60)]
+    df = spark.createDataFrame([*rows, *rows[:20], (0, None, 1, 1, 0)], "frame_id long, cx long, cy long, radius long, x int")
+    got = spatial.circle_neighbours(df)
+    assert plan(got).count("SortMergeJoin") == 1
+    copies = {}
+    for f, x, y, r, _ in [*rows, *rows[:20]]:
+        copies[f, x, y, r] = copies.get((f, x, y, r), 0) + 1
+    for g in got.filter("cx IS NOT NULL").collect():
+        me = (g["frame_id"], g["cx"], g["cy"], g["radius"])
+        conflicts = neighbours = 0
+        for (f, x, y, r), n in copies.items():
+            d2 = (x - me[1]) ** 2 + (y - me[2]) ** 2
+            if f == me[0] and (f, x, y, r) != me:
+                conflicts += n * (d2 < max(r, me[3]) ** 2)
+                neighbours += n * (0.25 * me[3] ** 2 < d2 < 6.25 * me[3] ** 2 and 0.4 * me[3] <= r <= 1.6 * me[3])
+        assert (g["copies"], g["n_conflicts"], g["n_neighbours"]) == (copies[me], conflicts, neighbours), me
+    assert got.count() == len(copies) + 1
