@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from framegate.runtime import scratch_path
 
 #: Rows and bytes of one Arrow batch that goes to Python; a single longer row travels alone.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 LAST_ID = (1 << 63) - 1
 T = TypeVar("T")
 

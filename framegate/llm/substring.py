@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from framegate.llm.common import extend, map_batches, order_id, stage, text_or_empty, unstage
 
 WINDOW, GRAM, VARIANTS = 50, 25, 256
-#: Words of a reference shard, about; words handled at a time.
-SHARD_WORDS, STEP = 200_000, 1 << 17
+#: Words of a reference shard, about (its automaton takes some 400 bytes a word); words handled at a time.
+SHARD_WORDS, STEP = 50_000, 1 << 17
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SEGMENTS = "anchor long, variant long, id long, th long, start int, n int"

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import edge
 import numpy as np
@@ -317,3 +318,14 @@ def test_queries_return_one_row_per_row(spark):
     n = spark.read.parquet(f"{edge.SF_DIR}/documents.parquet").count()
     assert QUERIES["op5_simhash_near_dedup"](spark, edge.SF_DIR).count() == n
     assert QUERIES["op9_substring_dedup"](spark, edge.SF_DIR).count() == n
+
+
+def test_a_reference_shard_stays_small():
+    tracemalloc.start()
+    automaton = substring.SuffixAutomaton()
+    words = [b"w%d" % (i * 7919 % 30011) for i in range(substring.SHARD_WORDS)]
+    for doc in range(0, len(words), 63):
+        automaton.add(words[doc : doc + 63], doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
