@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from framegate.operators import graph, sequences, spatial
+from framegate.operators import features, graph, sequences, spatial
 from framegate.plans import registry
 from framegate.runtime import cut
 
@@ -112,3 +112,12 @@ def test_circle_neighbours_meet_once_in_grids_of_their_size(spark):
                 neighbours += n * (0.25 * me[3] ** 2 < d2 < 6.25 * me[3] ** 2 and 0.4 * me[3] <= r <= 1.6 * me[3])
         assert (g["copies"], g["n_conflicts"], g["n_neighbours"]) == (copies[me], conflicts, neighbours), me
     assert got.count() == len(copies) + 1
+
+
+def test_name_lists_are_compared_before_they_are_taken_apart(spark):
+    df = spark.createDataFrame([({"a": 1.0}, "s", ["f"]), ({"b": 2.0, "a": None}, None, [])] * 3, "values map<string,double>, source string, flags array<string>")
+    spec = features.feature_spec(df)
+    text = plan(spec)
+    assert "HashAggregate" in text[text.index("Generate"):]
+    vectors = [r["vector"] for r in features.dense_vectors(df, spec).collect()]
+    assert vectors[:2] == [[1, 1, 0, 0, 0, 1, 0, 1, 1], [0, 0, 2, 1, 1, 0, 1, 0, 0]]
