@@ -121,3 +121,47 @@ def test_name_lists_are_compared_before_they_are_taken_apart(spark):
     assert "HashAggregate" in text[text.index("Generate"):]
     vectors = [r["vector"] for r in features.dense_vectors(df, spec).collect()]
     assert vectors[:2] == [[1, 1, 0, 0, 0, 1, 0, 1, 1], [0, 0, 2, 1, 1, 0, 1, 0, 0]]
+
+
+def brute_frames(rows):
+    """Kept (frame, x, y, r) of rows (frame, x, y, r, score), scores all different."""
+    kept = {}
+    for f, x, y, r, _ in sorted(rows, key=lambda c: -c[4]):
+        if all((x - a) ** 2 + (y - b) ** 2 >= max(r, c, 1) ** 2 for a, b, c in kept.setdefault(f, [])):
+            kept[f].append((x, y, r))
+    return sorted((f, *c) for f, found in kept.items() for c in found)
+
+
+def circle_rows(frames, each):
+    return [(f, i * 37 % 211 - 90, i * (53 + f) % 307, i * i % 17, ((i * 7919 + f) % 10_007) / 10_007) for f in range(frames) for i in range(each)]
+
+
+CIRCLES = "frame_id long, cx long, cy long, radius long, score double"
+
+
+def test_frames_that_a_task_holds_are_not_cut_to_blocks(spark, monkeypatch):
+    """One shuffle of the rows, whatever the side of a block; frames go on over the borders of Arrow batches."""
+    rows = circle_rows(9, 120)
+    odd = [(1, None, 5, 5, 9.0), (1, None, 5, 5, 8.0), (2, 3, 3, None, 9.0), (None, 1, 1, 1, 9.0)]
+    df = spark.createDataFrame([*rows, *rows[:30], *odd], CIRCLES)
+    monkeypatch.setattr(spatial, "_settle_blocks", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        kept = spatial.suppress_overlaps(df, [-F.col("score")], 2)
+        assert plan(kept).count("Exchange hashpartitioning(frame_id") == 2  # rows with a place, and those without
+        found = [tuple(r) for r in kept.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r[:4] for r in found if None not in r) == brute_frames(rows)
+    assert sorted((r for r in found if None in r), key=str) == sorted((odd[0], odd[2], odd[3]), key=str)
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_crowded_frames_are_cut_and_settled_blocks_get_no_copies(spark, monkeypatch, block):
+    rows = circle_rows(3, 40) + [(7, *r[1:]) for r in circle_rows(1, 200)] + [(8, 100 * i, 0, 9, 1 - i / 1000) for i in range(300)]
+    foreign, settle = [], spatial._settle_blocks
+    monkeypatch.setattr(spatial, "FRAME_ROWS", 50)
+    monkeypatch.setattr(spatial, "_settle_blocks", lambda *a: (foreign.append(a[0].filter("NOT own AND frame_id = 8").count()), settle(*a))[1])
+    kept = spatial.suppress_overlaps(spark.createDataFrame(rows, CIRCLES), [-F.col("score")], block)
+    assert sorted(tuple(r)[:4] for r in kept.collect()) == brute_frames(rows)
+    assert foreign[0] > 0 and not any(foreign[1:])
