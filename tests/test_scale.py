@@ -165,3 +165,28 @@ def test_crowded_frames_are_cut_and_settled_blocks_get_no_copies(spark, monkeypa
     kept = spatial.suppress_overlaps(spark.createDataFrame(rows, CIRCLES), [-F.col("score")], block)
     assert sorted(tuple(r)[:4] for r in kept.collect()) == brute_frames(rows)
     assert foreign[0] > 0 and not any(foreign[1:])
+
+
+def test_assembly_meets_its_frames_in_one_join(spark):
+    """Proposals are put together, labelled and reduced before; the last plan has no join for labels, keys or the scene."""
+    schema = "frame_id long, cx long, cy long, radius long, score double, candidate_source string, pos int"
+    sizes = [(f, 0, 0, 640, 360, 640, 360) for f in (1, 2, 3, 4, 5, 6, 6, None)]
+    frames = spark.createDataFrame(sizes, "frame_id long, x0 long, y0 long, x1 long, y1 long, width long, height long")
+    main = [(1, 50 * i, 100, 9, 0.9 - i / 10, "main", i) for i in range(5)] + [(2, 50 * i, 100, 9, 0.9 - i / 10, "main", i) for i in range(3)]
+    main += [(2, None, 1, 9, 2.0, "main", 9), (6, None, 1, 9, 2.0, "main", 0)]  # a place among the best, but no crop
+    blobs = [(f, 300, 300, 9, 0.95, "blob", 0) for f in (1, 2, 3, 99)]
+    late = [(2, 0, 100, 9, 0.1, "late", 0), (4, 7, 7, 9, 0.1, "late", 0)]  # the first one is a copy of a main proposal
+    main, blobs, late = (spark.createDataFrame(r, schema) for r in (main, blobs, late))
+    found = spatial.assemble_candidates(frames, main, blobs, [-F.col("score"), "_step", "pos", "cx", "cy", "radius"], late=[late])
+    text = plan(found)
+    assert text.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in text and "BroadcastNestedLoopJoin" not in text
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["frame_id"], []).append((r["candidate_id"], r["candidate_source"], r["cx"], r["score"]))
+    assert sorted(got[1]) == [(f"crop_0{i}", "main", 50 * i, 0.9 - i / 10) for i in range(5)]
+    assert sorted(got[2]) == [
+        ("crop_01", "blob", 300, 0.95), ("crop_02", "late", 0, 0.9), ("crop_03", "main", 50, 0.8), ("crop_04", "main", 100, 0.7),
+    ]
+    assert got[3] == [("crop_00", "blob", 300, 0.95)] and got[4] == [("crop_00", "late", 7, 0.1)]
+    assert [r[:2] for r in sorted(got[5])] == [(f"crop_0{i}", "grid") for i in range(6)]
+    assert got[6] == [("crop_00", "scene_fallback", 320, 0.0)] * 2 and got[None] == got[6][:1] and 99 not in got
