@@ -1,5 +1,6 @@
 """The cascade moves and sorts no whole item or state where a frame's narrow columns decide."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from framegate.operators import cascade
@@ -63,3 +64,58 @@ def test_context_is_asked_for_frames_a_rule_can_reject_only(spark):
     after = cascade.run(cascade.initial_state(pool), pool, policy, last="reject_context", context=context)
     assert {r["frame_id"]: r["final_pixels"] for r in cascade.report(after).collect()} == {1: 0, 2: 3}
     assert asked == [1]
+
+
+def test_flat_rows_move_before_items_are_made(spark):
+    data = [(f, f"c{i}", "x", "primary", 0.1 * i, 0.0, i, (i * 7) % 5) for f in range(9) for i in range(5)]
+    flat = spark.createDataFrame(data, NAMES).withColumn("features", F.create_map(F.lit("reach"), F.col("score")))
+    placed = cascade.as_items(cascade.place(flat.drop("features"), "frame_id", ["pos"]).withColumn("features", F.create_map(F.lit("reach"), F.col("score"))), ["pos"])
+    below = plan(placed)
+    assert "candidate" not in below[below.index("Exchange"):].split("\n")[0] and "named_struct" not in below[below.index("Exchange"):]
+    pools = [cascade.write_pool(cascade.as_items(flat, ["pos"]), ["pos"]), cascade.write_pool(placed, ["pos"], placed=True)]
+    first, second = ([(r["frame_id"], r["candidate"]) for r in p.orderBy("frame_id", "item_no").collect()] for p in pools)
+    assert first == second and [c["candidate_id"] for f, c in second if f == 3] == ["c0", "c3", "c1", "c4", "c2"]
+
+
+def test_external_numbers_are_summed_in_columns_and_come_once(spark):
+    pool = written_pool(spark, [(1, "a", "x", "primary", 0.5, 0.0, 3, 0)])
+    names = "frame_id long, band string, pred_area long, prob_mean double"
+    state = cascade.initial_state(pool, spark.createDataFrame([(1, "main", 7, 0.3), (2, "mid", 1, 0.9)], names))
+    assert "collect_list" not in plan(state) and "ObjectHashAggregate" not in plan(state)
+    twice = spark.createDataFrame([(1, "main", 7, 0.3), (1, "main", 7, 0.3)], names)
+    with pytest.raises(Exception, match="twice"):
+        cascade.external(cascade.initial_state(pool, twice), {"main": {"max_score": 0.6}}).collect()
+
+
+def test_refine_moves_nothing_that_lies_in_buckets(spark):
+    data = [(1, "a", "x", "primary", 0.5, 0.0, 3, 0), (1, "b", "x", "primary", 0.4, 0.0, 5, 1), (2, "a", "x", "primary", 0.5, 0.0, 4, 0)]
+    pool = written_pool(spark, data)
+    state = cascade.bucketed(cascade.initial_state(pool))
+    item = F.col("candidate")
+    rows = pool.select("frame_id", item["candidate_id"].alias("candidate_id"), item["selector_pool"].alias("selector_pool"), item["pred_pixels"].alias("n"))
+    asked = []
+
+    def masks(winners):
+        asked.append(winners)
+        own = cascade.of_winners(rows, winners).groupBy("frame_id", "candidate_id", "selector_pool").agg((F.max("n") - 3).alias("refined_pixels"))
+        return own.withColumn("refined_features", F.create_map(F.lit("reach"), F.lit(0.25)))
+
+    after = cascade.refine(state, masks)
+    assert "Exchange" not in plan(after)
+    sizes = {r["frame_id"]: (r["current"]["candidate_id"], r["current"]["mask_pixels"], r["current"]["flags"]) for r in after.collect()}
+    assert sizes == {1: ("a", 3, []), 2: ("a", 1, ["final_refine"])}
+    assert sorted(tuple(r) for r in asked[0].collect()) == [(1, "a", "primary"), (2, "a", "primary")]
+    whole = rows.select("frame_id", "candidate_id", "selector_pool", (F.col("n") - 3).alias("refined_pixels"), F.create_map(F.lit("reach"), F.lit(0.25)).alias("refined_features"))
+    assert {r["frame_id"]: r["current"] for r in cascade.refine(state, whole).collect()} == {r["frame_id"]: r["current"] for r in after.collect()}
+
+
+def test_context_comes_to_the_buckets_of_the_state(spark):
+    pool = written_pool(spark, [(1, "a", "x", "primary", 0.5, 0.0, 3, 0), (2, "b", "y", "primary", 0.5, 0.0, 3, 0)])
+    state = cascade.bucketed(cascade.initial_state(pool))
+
+    def context(frames):
+        return frames.repartition(50, "frame_id").select("frame_id", F.create_map(F.lit("candidate_count"), F.lit(2.0)).alias("context"))
+
+    after = cascade.run(state, pool, {"reject_context": [{"source": "x", "min_candidate_count": 1}]}, last="reject_context", context=context)
+    assert plan(after).count(", 50)") == 1
+    assert {r["frame_id"]: r["final_pixels"] for r in cascade.report(after).collect()} == {1: 0, 2: 3}
