@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from framegate.operators.order import exact_quantiles
+from framegate.operators.order import quantiles_together
 from framegate.operators.pixels import mask_geometry
 from framegate.operators.ranking import top_per_key
-from framegate.runtime import cut, stage, unstage
+from framegate.runtime import bucketed, buckets, cut, stage, unstage
 
 ROW_BITS = 31
 STEPS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
@@ -82,6 +83,67 @@ def pixel_components(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return runs_of.join(labels, [*keys, "id"]).select(*keys, "x", "y", "label")
 
 
+def components_together(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As ``pixel_components``, for masks that one image bounds: a frame is labelled in one task, whole frames at a time, and
+    rows that lie in buckets by the keys don't move. Unknown spots and keys have no label and no row, as there."""
+    keys = list(keys)
+    known = pixels.select(*keys, "x", "y").dropna().distinct()
+    placed = known.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("y", "x")))
+    kinds = dict(pixels.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "x", "y"]) + ", label bigint"
+
+    def first_runs(frame: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For pixels of whole frames, numbered and sorted by frame, row and column, without repeats: the row of the first
+        pixel of the first run, in reading order, of each one's component."""
+        starts = np.r_[True, (np.diff(frame) != 0) | (np.diff(y) != 0) | (np.diff(x) != 1)]
+        first = np.flatnonzero(starts)
+        last = np.r_[first[1:], len(x)] - 1
+        # Frame and row as one dense number, so that a spot is one sortable number whatever the size of the images.
+        new_row = np.r_[True, (np.diff(frame) != 0) | (np.diff(y) != 0)]
+        row = np.cumsum(new_row) - 1
+        below = np.r_[(np.diff(frame[new_row]) == 0) & (np.diff(y[new_row]) == 1), False][row[first]]
+        x = x - x.min()
+        wide = int(x.max()) + 3
+        left, right = row[first] * wide + x[first] + 1, row[first] * wide + x[last] + 1
+        low = np.searchsorted(right, left + wide - 1)
+        many = np.where(below, np.searchsorted(left, right + wide + 1, "right") - low, 0)
+        a = np.repeat(np.arange(len(first)), many)
+        b = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        root = np.arange(len(first))
+        while True:
+            up, down = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            apart = up != down
+            if not apart.any():
+                return first[root][np.cumsum(starts) - 1]
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, down[apart], up[apart])
+            while (root[root] != root).any():
+                root = root[root]
+
+    def labelled(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        frame, x, y = (table[c].to_numpy().astype(np.int64) for c in ("_n", "x", "y"))
+        at = first_runs(np.cumsum(frame == 1), x, y)
+        label = pa.array((y[at] << ROW_BITS) + x[at], pa.int64())
+        yield from table.drop_columns(["_n"]).append_column("label", label).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_n").to_numpy() == 1)
+            if len(begins):
+                held.append(batch.slice(0, begins[-1]))
+                if sum(b.num_rows for b in held):
+                    yield from labelled(held)
+                held = [batch.slice(begins[-1])]
+            else:
+                held.append(batch)
+        if sum(b.num_rows for b in held):
+            yield from labelled(held)
+
+    return placed.mapInArrow(run, schema)
+
+
 def label_position(label: Column) -> tuple[Column, Column]:
     """``(y, x)`` of the first pixel a component label stands for."""
     return F.shiftright(label, ROW_BITS), label.bitwiseAND((1 << ROW_BITS) - 1)
@@ -223,14 +285,17 @@ def grow_from_seeds(allowed: DataFrame, seeds: DataFrame, keys: Sequence[str]) -
 
 
 def component_filter(
-    pixels: DataFrame, keys: Sequence[str], min_area: int, balls: DataFrame | None = None, keep_best: bool = True
+    pixels: DataFrame, keys: Sequence[str], min_area: int, balls: DataFrame | None = None, keep_best: bool = True,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     """Components of at least ``min_area``; optionally only the best one by area plus 10000 per pixel on the ball.
 
-    The ball is a disc grown by two pixels. The first component in reading order wins a tie.
+    The ball is a disc grown by two pixels. The first component in reading order wins a tie. ``labelled`` are the pixels
+    with their ``label``, if they are at hand with the rows of a frame together.
     """
-    keys = list(keys)
-    labelled = pixel_components(pixels, keys)
+    keys, together = list(keys), labelled is not None
+    if not together:
+        labelled = pixel_components(pixels, keys)
     touch = F.lit(0)
     rows = labelled
     if balls is not None:
@@ -242,36 +307,54 @@ def component_filter(
     kept = sizes.filter(F.col("area") >= min_area).withColumn("score", F.col("area") + 10_000 * F.col("touch"))
     if keep_best:
         kept = top_per_key(kept, keys, [F.desc("score"), "label"])
+    if keep_best and together:
+        # One component a frame: the frame alone is the key, so pixels in buckets by it stay there.
+        kept = kept.withColumnRenamed("label", "_kept").hint("shuffle_hash")
+        best = labelled.join(kept, keys).filter(F.coalesce(F.col("label") == F.col("_kept"), F.lit(False)))
+        return best.select(*keys, "x", "y", "label", "area", "score")
     return labelled.join(kept, [*keys, "label"]).select(*keys, "x", "y", "label", "area", "score")
 
 
 def prune_spurs(pixels: DataFrame, keys: Sequence[str], rounds: int = 3) -> DataFrame:
     """Trim one-pixel nubs off the principal axis, at most ``rounds`` times; a frame stops when a round would
-    remove nothing or too much, and keeps its largest component after each round."""
+    remove nothing or too much, and keeps its largest component after each round.
+
+    One image bounds a skeleton, so pixels move to the bucket of their frame once and every step of every round works
+    inside the buckets; what a round has written is deleted when the next pixels are, and a frame that stops is not copied.
+    """
     keys = list(keys)
-    done: DataFrame | None = None
-    current = cut(pixels.select(*keys, "x", "y").distinct())
+    spread = pixels.select(*keys, "x", "y").repartition(buckets(pixels.sparkSession), *keys)
+    current = bucketed(spread.distinct(), *keys)
+    done: list[DataFrame] = []
     for _ in range(rounds):
         axis = mask_geometry(current, keys).filter("area >= 3").select(*keys, "area", "cx", "cy", "axis_x", "axis_y")
-        placed = pixel_degrees(current, keys).join(axis, keys)
         off = F.abs((F.col("y") - F.col("cy")) * F.col("axis_x") - (F.col("x") - F.col("cx")) * F.col("axis_y"))
-        placed = placed.withColumn("_off", off)
-        band = exact_quantiles(placed, keys, "_off", {"_q": 0.82})
+        met = pixel_degrees(current, keys).join(axis.hint("shuffle_hash"), keys)
+        placed = bucketed(met.select(*keys, "x", "y", "degree", "area", off.alias("_off")), *keys)
+        band = bucketed(quantiles_together(placed, keys, "_off", {"_q": 0.82}), *keys)
         q, far = F.col("_q"), F.col("_off")
         spur = ((F.col("degree") <= 1) & (far > F.greatest(F.lit(0.75), q + 0.10))) | (
             (F.col("degree") <= 2) & (far > q + F.greatest(F.lit(0.45), 0.22 * F.greatest(F.lit(1.0), q)))
         )
-        judged = cut(placed.join(band, keys).select(*keys, "x", "y", "area", spur.alias("_spur")))
+        judged = placed.join(band.hint("shuffle_hash"), keys).select(*keys, "x", "y", "area", spur.alias("_spur"))
         removed = judged.groupBy(*keys).agg(F.count_if("_spur").alias("_r"), F.max("area").alias("_a"))
         limit = F.greatest(F.lit(3), F.bround(F.col("_a") * 0.08).cast("bigint"))
-        go_on = removed.filter((F.col("_r") > 0) & (F.col("_r") <= limit) & (F.col("_r") < F.col("_a"))).select(*keys)
-        stopped = current.join(go_on, keys, "left_anti")
-        done = cut(stopped if done is None else done.unionByName(stopped))
-        rest = judged.filter(~F.col("_spur")).join(go_on, keys, "left_semi").select(*keys, "x", "y")
-        if rest.isEmpty():
-            return done
-        current = cut(component_filter(rest, keys, 1).select(*keys, "x", "y"))
-    return current if done is None else done.unionByName(current)
+        trimmed = removed.filter((F.col("_r") > 0) & (F.col("_r") <= limit) & (F.col("_r") < F.col("_a"))).select(*keys)
+        go_on = bucketed(trimmed, *keys)
+        done.append(current.join(go_on.hint("shuffle_hash"), keys, "left_anti"))
+        rest = judged.filter(~F.col("_spur")).join(go_on.hint("shuffle_hash"), keys, "left_semi").select(*keys, "x", "y")
+        labelled = bucketed(components_together(rest, keys), *keys)
+        unstage(placed, band)
+        current = bucketed(component_filter(labelled, keys, 1, labelled=labelled).select(*keys, "x", "y"), *keys)
+        unstage(labelled)
+        if current.isEmpty():
+            break
+    else:
+        done.append(current)
+    result = done[0]
+    for part in done[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def suppress_masks(masks: DataFrame, ranks: DataFrame, min_iou: float, max_masks: int) -> DataFrame:

@@ -128,12 +128,30 @@ def exact_quantiles(
     running = running_sums(counts, keys, [value], {"_cum": "_n"})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     joined = null_safe_join(running, totals, keys) if keys else running.crossJoin(F.broadcast(totals))
+    return _interpolated(joined, keys, value, probabilities)
+
+
+def quantiles_together(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """As ``exact_quantiles``, for groups of a bounded size: the values of a key are ranked in one task. Rows that lie in
+    buckets by the keys don't move."""
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    ranks = F.row_number().over(W.partitionBy(*keys).orderBy(value)).alias("_cum")
+    totals = F.count("*").over(W.partitionBy(*keys)).alias("_total")
+    return _interpolated(known.select(*keys, value, ranks, totals), keys, value, probabilities)
+
+
+def _interpolated(
+    ranked: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """Quantiles per key from rows that know how many come up to them (``_cum``) and how many there are (``_total``)."""
     picks = []
     for name, p in probabilities.items():
         at = F.lit(p) * (F.col("_total") - 1)
         picks.append(F.min(F.when(F.col("_cum") > F.floor(at), F.col(value))).cast("double").alias(f"_lo_{name}"))
         picks.append(F.min(F.when(F.col("_cum") > F.ceil(at), F.col(value))).cast("double").alias(f"_hi_{name}"))
-    picked = joined.groupBy(*keys).agg(F.first("_total").alias("_total"), *picks)
+    picked = ranked.groupBy(*keys).agg(F.first("_total").alias("_total"), *picks)
 
     def between(name, p):
         at = F.lit(p) * (F.col("_total") - 1)

@@ -66,6 +66,39 @@ def test_spurs_equal_the_plain_version(spark):
     assert any(len(got[f]) < len(line) for f, line in frames.items())
 
 
+def test_spurs_are_trimmed_inside_buckets(spark):
+    line = spark.range(40).selectExpr("id % 4 AS frame_id", "id DIV 4 AS x", "CAST(0 AS BIGINT) AS y")
+    nub = spark.range(4).selectExpr("id AS frame_id", "CAST(4 AS BIGINT) AS x", "CAST(1 AS BIGINT) AS y")
+    result = graph.prune_spurs(line.unionByName(nub), ["frame_id"])
+    text = result._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "ExistingRDD" not in text
+    assert result.distinct().count() == result.count() > 0
+
+
+def test_components_of_whole_frames_equal_those_of_links(spark):
+    rng = np.random.default_rng(7)
+    spots = [(f"f{f}", int(x), int(y)) for f in range(12) for x, y in rng.integers(0, 14, (5 + 9 * f, 2))]
+    spots += [("far", 2_000_000_000, 5), ("far", 2_000_000_000, 6), ("far", 0, 7), ("neg", -1, 3), ("neg", 0, 4), (None, 1, 1), ("f1", None, 2), ("f1", 2, None)]
+    pixels = spark.createDataFrame(spots + spots[:50], "frame_id string, x long, y long").repartition(7)
+    got = sorted(map(tuple, graph.components_together(pixels, ["frame_id"]).collect()))
+    assert got == sorted(map(tuple, graph.pixel_components(pixels.dropna(), ["frame_id"]).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert got == sorted(map(tuple, graph.components_together(pixels, ["frame_id"]).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_quantiles_in_one_task_equal_spread_ones(spark):
+    rows = [(k, v) for k in (1, 2, None) for v in (0.5, 0.25, 0.25, None, 7.0, 1e-3)] + [(3, None), (4, 2.0)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    wanted = {"low": 0.1, "mid": 0.5, "high": 0.82}
+    key = lambda r: (r[0] is None, r[0] or 0)
+    spread = sorted(map(tuple, order.exact_quantiles(df, ["k"], "v", wanted).collect()), key=key)
+    assert spread == sorted(map(tuple, order.quantiles_together(df, ["k"], "v", wanted).collect()), key=key)
+
+
 def test_classifier_equals_newton_steps(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 3)) * [1.0, 4.0, 0.2] + [0.0, 2.0, -1.0]
