@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,13 +33,14 @@ def _chosen_splits(board: DataFrame, splits: Sequence[str] | None) -> DataFrame:
 
 
 def evaluate_board(
-    board: DataFrame, winners: DataFrame, masks: DataFrame, truth: DataFrame, splits: Sequence[str] | None = None,
-    success_iou: float = SUCCESS_IOU,
+    board: DataFrame, winners: DataFrame, masks: DataFrame | Callable[[DataFrame], DataFrame], truth: DataFrame,
+    splits: Sequence[str] | None = None, success_iou: float = SUCCESS_IOU,
 ) -> DataFrame:
     """One row per board item: pixel counts, IoU, dice, failure label and the winner of its frame.
 
     ``board`` has ``(id, split, frame_id)``, ``winners`` the rows of ``cascade.report``, ``masks`` the pixels of all
-    candidates ``(frame_id, candidate_id, x, y)``, ``truth`` the true pixels ``(frame_id, x, y)``. A winner whose mask was
+    candidates ``(frame_id, candidate_id, x, y)``, or gives those of the candidates ``(frame_id, candidate_id)`` it is called
+    with, so that no others need be drawn, ``truth`` the true pixels ``(frame_id, x, y)``. A winner whose mask was
     rejected (no final pixels), or that has no mask rows, predicts nothing; so does a frame without a winner. Items of one
     frame share its counts; repeated pixels count once; a split the board doesn't have is an error.
 
@@ -52,7 +53,8 @@ def evaluate_board(
     best = stage(narrow.join(frames, "frame_id", "left_semi"), "winners")
     shown = best.filter(F.col("final_pixels") > 0).select("frame_id", "candidate_id")
     spot = [F.col("frame_id"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")]
-    predicted = masks.join(shown, ["frame_id", "candidate_id"], "left_semi").select(*spot, F.lit("pred").alias("side"))
+    drawn = masks(shown) if callable(masks) else masks.join(shown, ["frame_id", "candidate_id"], "left_semi")
+    predicted = drawn.select(*spot, F.lit("pred").alias("side"))
     true = truth.join(frames, "frame_id", "left_semi").select(*spot, F.lit("gt").alias("side"))
     counts = overlap_counts(true.unionByName(predicted))
     chosen = best.select(

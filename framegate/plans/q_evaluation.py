@@ -24,12 +24,16 @@ ev AS (SELECT id, split, gt_pixels, pred_pixels, CASE WHEN gt_pixels + pred_pixe
 def evaluated(t):
     board = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("split"), F.col("o_orderkey").alias("frame_id"))
     frame = F.col("frame_id")
-    along = t.fx_pool.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pred_pixels").cast("int") - 1)))
-    rise = F.floor(F.col("i") * (frame % 7) / F.lit(7.0)).cast("bigint")
-    masks = along.select(
-        "frame_id", "candidate_id", (frame % 50 + F.col("l_partkey") % 5 + F.col("i")).alias("x"),
-        (frame % 30 + rise + F.col("l_suppkey") % 2).alias("y"),
-    )
+
+    def masks(shown):
+        own = t.fx_pool.join(shown, ["frame_id", "candidate_id"], "left_semi")
+        along = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pred_pixels").cast("int") - 1)))
+        rise = F.floor(F.col("i") * (frame % 7) / F.lit(7.0)).cast("bigint")
+        return along.select(
+            "frame_id", "candidate_id", (frame % 50 + F.col("l_partkey") % 5 + F.col("i")).alias("x"),
+            (frame % 30 + rise + F.col("l_suppkey") % 2).alias("y"),
+        )
+
     truth = t.fx_pixels.filter("side = 'gt'").select("frame_id", "x", "y")
     return V.evaluate_board(board, C.report(cascade(t)), masks, truth)
 

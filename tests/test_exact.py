@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from framegate.operators import features, graph, order, ranking, splits
+from framegate.operators import evaluation, features, graph, order, ranking, splits
 
 
 def plain_largest(pixels):
@@ -184,3 +184,25 @@ def test_board_is_evaluated_from_winners_to_report(spark):
         raise AssertionError("an unknown split is an error")
     except ValueError as error:
         assert "nowhere" in str(error)
+
+
+def test_masks_are_drawn_for_shown_winners_only(spark):
+    board = spark.createDataFrame([("a", "val", 1), ("b", "val", 2), ("c", "neg", 3)], "id string, split string, frame_id long")
+    winners = spark.createDataFrame(
+        [(1, "c1", "hough", 0.9, 4, []), (2, "c1", "blob", 0.5, 0, []), (3, "c2", "hough", 0.4, 2, []), (9, "c1", "x", 1.0, 9, [])],
+        "frame_id long, candidate_id string, candidate_source string, score double, final_pixels long, flags array<string>",
+    )
+    sizes = spark.createDataFrame([(f, c, n) for f in (1, 2, 3, 9) for c, n in (("c1", 4), ("c2", 3))], "frame_id long, candidate_id string, n int")
+    truth = spark.createDataFrame([(1, x, 0) for x in range(1, 5)] + [(2, 0, 0)], "frame_id long, x long, y long")
+    asked = []
+
+    def drawn(rows):
+        return rows.select("frame_id", "candidate_id", F.explode(F.expr("sequence(0, n - 1)")).alias("x"), F.lit(0).alias("y"))
+
+    def masks(shown):
+        asked.extend(tuple(r) for r in shown.collect())
+        return drawn(sizes.join(shown, ["frame_id", "candidate_id"], "left_semi"))
+
+    rows, whole = (sorted(map(tuple, evaluation.evaluate_board(board, winners, m, truth).collect())) for m in (masks, drawn(sizes)))
+    assert sorted(asked) == [(1, "c1"), (3, "c2")]
+    assert rows == whole and [r[3:5] for r in rows] == [(4, 4), (1, 0), (0, 3)]
